@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.llm.credentials import credentials, literal_values
 from codequarry.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from codequarry.llm.similar_vectors import most_similar
 from codequarry.session import read_table
@@ -25,6 +26,20 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf, "chunks"), "chunk_id", "content", threshold=0.7, width=3).withColumnRenamed("id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every credential in chunks and in embedder configurations."""
+    found = credentials(read_table(spark, sf, "chunks"), "chunk_id", "content")
+    chunks = found.select(F.lit("chunk").alias("source"), F.col("id").alias("record_id"), F.explode("findings.line_no").alias("line_no"))
+    configs = literal_values(read_table(spark, sf, "embedder_configs"), "config_id", "api_key")
+    return chunks.union(configs.select(F.lit("config"), F.col("id"), F.lit(1))).distinct()
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of every chunk that holds a credential, with the credential masked."""
+    found = credentials(read_table(spark, sf, "chunks"), "chunk_id", "content")
+    return found.select(F.col("id").alias("chunk_id"), F.size("findings").alias("n_findings"), "redacted").distinct()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks with cosine 0.9 or more, one among the other's five nearest."""
     near = most_similar(read_table(spark, sf, "chunks"), "chunk_id", "vector", 5, min_cosine=0.9, probes=8)
@@ -37,7 +52,7 @@ def p4_knn(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("query_id").cast("long").alias("vec_id"), F.col("neighbour_id").cast("long").alias("neighbour_id"), "rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_knn)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn)}
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
