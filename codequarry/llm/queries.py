@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.credentials import credentials, literal_values
+from codequarry.llm.generated_files import classify_files
 from codequarry.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from codequarry.llm.similar_vectors import most_similar
 from codequarry.session import read_table
@@ -52,7 +53,17 @@ def p4_knn(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("query_id").cast("long").alias("vec_id"), F.col("neighbour_id").cast("long").alias("neighbour_id"), "rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn)}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that were not written by hand in this project."""
+    return p6_files(spark, sf).where("kind != 'handwritten'").select("file_path")
+
+
+def p6_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file with its kind."""
+    return classify_files(read_table(spark, sf, "chunks"), "file_path", "content", "chunk_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files)}
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
