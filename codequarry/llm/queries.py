@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.credentials import credentials, literal_values
 from codequarry.llm.generated_files import classify_files
+from codequarry.llm.leaks import leaks
 from codequarry.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from codequarry.llm.packing import pack_documents
 from codequarry.llm.similar_vectors import most_similar
 from codequarry.session import read_table
 
@@ -63,7 +65,38 @@ def p6_files(spark: SparkSession, sf: str) -> DataFrame:
     return classify_files(read_table(spark, sf, "chunks"), "file_path", "content", "chunk_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that had to be split over several contexts."""
+    packed = pack_documents(read_table(spark, sf, "documents"), "doc_id", "text")
+    return packed.where("piece = 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """The context of every document or piece of a document."""
+    return pack_documents(read_table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(read_table(spark, sf, "documents"), "doc_id", "text", read_table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold 13 or more consecutive words of an evaluation item."""
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p9_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every longest verbatim match with its place."""
+    return _leaks(spark, sf)
+
+
+def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that no item leaked into."""
+    docs = read_table(spark, sf, "documents")
+    return docs.join(_leaks(spark, sf).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files, p8_found, p8_contexts, p9_found, p9_matches, p9_clean)}
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
