@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINT_DIR = os.path.join(tempfile.gettempdir(), "codequarry-checkpoints")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_codequarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="codequarry-")) / "codequarry.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._codequarry_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder; one Parquet file or folder per table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     Used where a result is read more than once (a Python stage must not run
     twice) and between the rounds of iterative operators.
     """
+    ship(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
