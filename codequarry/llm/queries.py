@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.credentials import credentials, literal_values
 from codequarry.llm.generated_files import classify_files
+from codequarry.llm.languages import languages
 from codequarry.llm.leaks import leaks
 from codequarry.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from codequarry.llm.packing import pack_documents
@@ -96,7 +97,18 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(_leaks(spark, sf).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files, p8_found, p8_contexts, p9_found, p9_matches, p9_clean)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """True language where the label is missing or wrong, and of every foreign block."""
+    said = languages(read_table(spark, sf, "documents"), "doc_id", "text", "lang")
+    return said.where("block_no > 0 or label is null or label != lang").select(F.col("id").alias("doc_id"), "block_no", "lang")
+
+
+def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Main language of every document and language of every foreign block, with confidence."""
+    return languages(read_table(spark, sf, "documents"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files, p8_found, p8_contexts, p9_found, p9_matches, p9_clean, p10_found, p10_languages)}
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
