@@ -14,6 +14,7 @@ from codequarry.llm.leaks import leaks
 from codequarry.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from codequarry.llm.packing import pack_documents
 from codequarry.llm.similar_vectors import most_similar
+from codequarry.llm.splitting import split_oversized
 from codequarry.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,17 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf, "chunks"), "chunk_id", "content", threshold=0.7, width=3).withColumnRenamed("id", "chunk_id")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that had to be cut."""
+    return split_oversized(read_table(spark, sf, "chunk_infos")).where("n_pieces > 1").select(F.col("id").alias("info_id")).distinct()
+
+
+def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every item."""
+    infos = read_table(spark, sf, "chunk_infos").dropDuplicates(["info_id"])
+    return split_oversized(infos).withColumnRenamed("id", "info_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Place of every credential in chunks and in embedder configurations."""
     found = credentials(read_table(spark, sf, "chunks"), "chunk_id", "content")
@@ -108,7 +120,7 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
     return languages(read_table(spark, sf, "documents"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files, p8_found, p8_contexts, p9_found, p9_matches, p9_clean, p10_found, p10_languages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files, p8_found, p8_contexts, p9_found, p9_matches, p9_clean, p10_found, p10_languages)}
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
@@ -123,6 +135,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT a AS chunk_id_a, b AS chunk_id_b
         FROM p JOIN n AS na ON na.chunk_id = a JOIN n AS nb ON nb.chunk_id = b
         WHERE k >= 0.7 * (na.n + nb.n - k)""",
+    "p2_found": """
+        SELECT DISTINCT info_id FROM chunk_infos
+        WHERE strlen(content) > 4 * CASE WHEN chunk_size > 0 THEN chunk_size ELSE 512 END""",
     "p4_found": """
         WITH v AS (
             SELECT chunk_id, any_value(vector)::DOUBLE[] AS v FROM chunks
