@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codequarry.plans import graphs
+
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (graphs,)
+QUERIES: dict[str, Query] = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
