@@ -90,21 +90,25 @@ def spans_of(data: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class SVM:
-    """Linear machine for a squared hinge loss, by accelerated gradient steps."""
+    """Linear machines for a squared hinge loss, by accelerated gradient steps."""
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> np.ndarray:
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-        weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))).astype(np.float32) * np.float32(cost / len(y))
-        v = np.ones(x.shape[1], np.float32)
-        for _ in range(6):  # largest eigenvalue, for the step
-            v = x.T @ (weight * (x @ v))
-            top = np.linalg.norm(v)
-            v /= max(top, 1e-12)
-        step, w, u, t = 1.0 / (1.0 + 2.0 * top), np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 1.0
+    def fit(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
+        """One machine per column of ``y`` (1 and -1); the last row holds the biases."""
+        yes = (y > 0).sum(0, keepdims=True)
+        weight = np.where(y > 0, len(y) / (2.0 * np.maximum(1, yes)), len(y) / (2.0 * np.maximum(1, len(y) - yes))).astype(np.float32) * np.float32(cost / max(1, len(y)))
+        out = lambda w: x @ w[:-1] + w[-1]
+        back = lambda g: np.vstack([x.T @ g, g.sum(0, keepdims=True)])
+        v = np.ones((x.shape[1] + 1, y.shape[1]), np.float32)
+        top = np.ones(y.shape[1], np.float32)
+        for _ in range(6):  # largest eigenvalues, for the steps
+            v = back(weight * out(v))
+            top = np.maximum(np.linalg.norm(v, axis=0), 1e-12).astype(np.float32)
+            v /= top
+        step = (1.0 / (1.0 + 2.0 * top)).astype(np.float32)
+        w, u, t = np.zeros_like(v), np.zeros_like(v), 1.0
         for _ in range(rounds):
-            slack = np.maximum(0, 1 - y * (x @ u)).astype(np.float32)
-            new = u - np.float32(step) * (u - 2 * (x.T @ (weight * y * slack)))
+            new = u - step * (u - 2 * back(weight * y * np.maximum(0, 1 - y * out(u))))
             t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
             u = new + np.float32((t - 1) / t_new) * (new - w)
             w, t = new, t_new
@@ -128,23 +132,32 @@ class Model:
             x[i] = c * (self.scale / max(1, c.sum()))
         self.known = tuple(sorted(set(labels) & set(LANGUAGES)))
         self.families = {f: tuple(m for m in ms if m in self.known) for f, ms in FAMILIES.items() if set(ms) & set(self.known)}
-        lab = np.array(labels)
-        keep = np.isin(lab, self.known)
-        for _ in range(2):  # the second time without the rows whose label the first fit denies
-            self._fit(x[keep], lab[keep])
-            if _ == 0 and keep.any():
-                said, _c = self.classify_rows(x)
-                keep &= said == lab
+        lab = np.array(labels, dtype="U8")
+        known = np.isin(lab, self.known)
+        if not known.all():
+            x, lab = x[known], lab[known]
+        self._fit(x, lab)
+        if len(lab):  # once more without the rows whose label the first fit denies
+            keep = self.classify_rows(x)[0] == lab
+            if not keep.all():
+                x, lab = x[keep], lab[keep]
+                self._fit(x, lab)
 
     def _fit(self, x: np.ndarray, lab: np.ndarray) -> None:
+        sign = lambda yes: np.where(yes, 1, -1).astype(np.float32)
         fam = {m: f for f, ms in self.families.items() for m in ms}
-        own = np.array([fam[a] for a in lab]) if len(lab) else np.zeros(0, str)
-        fit = lambda rows, yes: SVM.fit(x[rows], np.where(yes, 1, -1).astype(np.float32))
+        own = np.array([fam[a] for a in lab], dtype="U16")
         self.names = list(self.families)
-        every = np.ones(len(lab), bool)
-        self.top = np.stack([fit(every, own == f) for f in self.names], 1) if len(lab) else np.zeros(((1 << BITS) + 1, max(1, len(self.names))), np.float32)
+        self.top = SVM.fit(x, np.stack([sign(own == f) for f in self.names], 1)) if len(lab) else np.zeros(((1 << BITS) + 1, len(self.names)), np.float32)
         self.pairs = {f: list(combinations(ms, 2)) for f, ms in self.families.items()}
-        self.duel = {f: np.stack([fit((lab == a) | (lab == b), (lab == a)[(lab == a) | (lab == b)]) for a, b in ps], 1) for f, ps in self.pairs.items() if ps}
+        self.duel = {}
+        for f, ps in self.pairs.items():
+            fits = []
+            for a, b in ps:
+                rows = (lab == a) | (lab == b)
+                fits.append(SVM.fit(x[rows], sign(lab[rows] == a)[:, None])[:, 0])
+            if fits:
+                self.duel[f] = np.stack(fits, 1)
 
     def _decide(self, top: np.ndarray, duels) -> tuple[np.ndarray, np.ndarray]:
         """duels(family, rows) gives the pair margins of those rows."""
@@ -198,7 +211,7 @@ class Model:
         return self._decide(margins(self.top, every), lambda f, r: margins(self.duel[f], r))
 
 
-def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = 300) -> Model:
+def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = 200) -> Model:
     """A model fitted on at most ``per_language`` documents of each known label,
     chosen by hash; each gives its longest block of prose."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), normal_label(F.col(label_col)).alias("lang")).where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
@@ -214,7 +227,7 @@ def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     return Model(texts, labels)
 
 
-def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_language: int = 300, foreign_confidence: float = 0.5, model: Model | None = None) -> DataFrame:
+def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_language: int = 200, foreign_confidence: float = 0.57, model: Model | None = None) -> DataFrame:
     """``(id, block_no, lang, confidence, label)``.
 
     ``block_no`` 0 is the document's main language (of most of its prose); a row
