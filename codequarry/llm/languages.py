@@ -227,7 +227,7 @@ def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     return Model(texts, labels)
 
 
-def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_language: int = 200, foreign_confidence: float = 0.57, model: Model | None = None) -> DataFrame:
+def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_language: int = 200, foreign_confidence: float = 0.57, related_confidence: float = 0.75, model: Model | None = None) -> DataFrame:
     """``(id, block_no, lang, confidence, label)``.
 
     ``block_no`` 0 is the document's main language (of most of its prose); a row
@@ -241,6 +241,9 @@ def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_
     shared = spark.sparkContext.broadcast(model or train(df, text_col, label_col, id_col, per_language))
     kind = df.schema[id_col].dataType.simpleString()
 
+    codes = np.array(["", *LANGUAGES])
+    family = np.array([-1, *(next(i for i, ms in enumerate(FAMILIES.values()) if x in ms) for x in LANGUAGES)])
+
     def run(batches):
         m = shared.value
         for batch in batches:
@@ -251,7 +254,6 @@ def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_
                 continue
             doc, number, s, e = np.array(found, np.int64).T
             lang, conf = m.classify(data, np.stack([s, e], 1))
-            codes = np.array(["", *LANGUAGES])
             li = np.searchsorted(codes, lang)
             size = (e - s).astype(np.float64)
             weight = np.zeros((len(off) - 1, len(codes)))
@@ -261,7 +263,8 @@ def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_
             right = np.zeros(len(off) - 1)
             np.add.at(right, doc, np.where(li == main[doc], conf * size, 0))
             share = right / np.maximum(1, weight[np.arange(len(main)), main])
-            odd = np.flatnonzero((li != main[doc]) & (conf >= foreign_confidence))
+            related = family[li] == family[main[doc]]
+            odd = np.flatnonzero((li != main[doc]) & (conf >= np.where(related, related_confidence, foreign_confidence)))
             who = np.concatenate([has, doc[odd]])
             yield pa.RecordBatch.from_arrays(
                 [
