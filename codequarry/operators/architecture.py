@@ -26,7 +26,7 @@ def kinds_per_package(symbols: DataFrame) -> DataFrame:
 
 #: Import lines by language family; group 1 is the target.
 IMPORT_PATTERNS = (
-    r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$",
+    r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w.~-]+(?:/[\w.~-]+)*)\"\s*$",
     r"^\s*from\s+([\w.]+)\s+import\b",
     r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*;?\s*$",
     r"^\s*import\s.*?from\s+['\"]([^'\"]+)['\"]",
@@ -47,7 +47,9 @@ def import_target(text: Column) -> Column:
 def import_edges(lines: DataFrame, segments: int = 2) -> DataFrame:
     """Distinct ``(from_pkg, to_pkg)`` without self edges; a target is the last
     ``segments`` parts of the imported path."""
-    hit = lines.where(F.col("text").rlike(r"^\s*(?:import|from|use|#include|const|let|var|\"|[\w.]+ \")")).select("path", import_target(F.col("text")).alias("target")).where("target is not null")
+    go = F.col("path").endswith(".go")
+    block = go & F.col("text").rlike(r"^\s*(?:import\s|\"|[\w.]+ \")")
+    hit = lines.where(block | ~go & F.col("text").rlike(r"^\s*(?:import|from|use|#\s*include|const|let|var)\b")).select("path", import_target(F.col("text")).alias("target")).where("target is not null")
     parts = F.split("target", r"[/.]|::")
     to = F.concat_ws("/", F.slice(parts, F.greatest(F.size(parts) - segments + 1, F.lit(1)), segments))
     return hit.select(directory(F.col("path")).alias("from_pkg"), to.alias("to_pkg")).where("from_pkg != to_pkg").distinct()
@@ -130,22 +132,34 @@ def walk_tree(root: str, children: dict[str, list[str]], max_depth: int) -> list
     return out
 
 
-def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
-    """``(root, seq, parent_seq, depth, name, marker)`` for every root ``(root)``.
-
-    The edges a root can reach within the depth are gathered level by level by joins,
-    so a task holds one root's own edges, not the graph. Children come in name order.
-    """
+def _levels(roots: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(edges ``(root, name, child)`` each root can reach, nodes ``(root, name)`` reached
+    within ``depth`` calls), gathered level by level."""
     e = edges.select(F.col("caller").alias("name"), F.col("callee").alias("child")).where("name is not null and child is not null and name != '' and child != ''").distinct()
-    front = roots.select("root").distinct().withColumn("name", F.col("root"))
-    seen, own = front, None
-    for _ in range(max_depth + 1):
+    front = seen = roots.select("root").distinct().withColumn("name", F.col("root"))
+    own = roots.select("root", F.col("root").alias("name"), F.lit(None).cast("string").alias("child")).limit(0)
+    for _ in range(depth):
         step = cut(front.join(e, "name").select("root", "name", "child"))
-        own = step if own is None else own.union(step)
+        own = own.union(step)
         front = cut(step.select("root", F.col("child").alias("name")).distinct().join(seen, ["root", "name"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.union(front)
+    return own, seen
+
+
+def reachable(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """Distinct ``(root, name)`` within ``depth`` calls of each root, itself included."""
+    return _levels(roots, edges, depth)[1]
+
+
+def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
+    """``(root, seq, parent_seq, depth, name, marker)`` for every root ``(root)``.
+
+    The edges a root can reach within the depth are gathered level by level by joins,
+    so a task holds one root's own edges, not the graph. Children come in name order.
+    """
+    own, _ = _levels(roots, edges, max_depth + 1)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         children: dict[str, list[str]] = {}

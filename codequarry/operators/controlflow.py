@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.operators.languages import BY_NAME
-from codequarry.operators.symbols import plain
+from codequarry.operators.symbols import _STRINGS, plain
 
 MAX_PATHS, INLINE_DEPTH = 64, 2
 
@@ -274,7 +274,20 @@ def parse_function(source: str, language: str, start_line: int = 1) -> list[Stmt
     lang = BY_NAME.get(language)
     if lang is None or lang.style == "unsupported":
         return None
-    src = [(start_line + k, plain(x.rstrip("\r"), lang.comments)) for k, x in enumerate(source.split("\n"))]
+    literals: list[str] = []
+
+    def mask(line: str) -> str:
+        """Strings become numbered marks, so that nothing in them looks like code."""
+        out, at = "", 0
+        for m in _STRINGS.finditer(line):
+            if any(c in line[at : m.start()] for c in lang.comments):
+                break
+            out += line[at : m.start()] + f"\ue000{len(literals)}\ue001"
+            literals.append(m[0])
+            at = m.end()
+        return plain(out + line[at:], lang.comments)
+
+    src = [(start_line + k, mask(x.rstrip("\r"))) for k, x in enumerate(source.split("\n"))]
     src = [(n, t) for n, t in src if t.strip()]
     if lang.style == "brace":
         nodes = _brace_nodes(src)
@@ -291,7 +304,17 @@ def parse_function(source: str, language: str, start_line: int = 1) -> list[Stmt
         nodes = _keyword_nodes([(n, re.sub(r"\b(then|do)\s*$", "", t)) for n, t in inner], *_SHELL)
     else:
         nodes = _keyword_nodes(src, *_SQLKW)
-    return _statements(nodes, lang.style)
+    stmts = _statements(nodes, lang.style)
+    _restore(stmts, lambda t: re.sub("\ue000(\\d+)\ue001", lambda m: literals[int(m[1])], t))
+    return stmts
+
+
+def _restore(stmts: list[Stmt], back) -> None:
+    for s in stmts:
+        s.text, s.cond = back(s.text), back(s.cond)
+        s.cases = [(back(label), default, line, body) for label, default, line, body in s.cases]
+        for part in (s.body, s.other, *(c[3] for c in s.cases)):
+            _restore(part, back)
 
 
 class Graph:

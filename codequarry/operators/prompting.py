@@ -8,8 +8,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.functions.scalars import token_estimate
-
 #: Phrases of a response that says a prompt is too long.
 LIMIT_PHRASES = ("max_prompt_tokens_exceeded", "exceeds the limit", "context length", "too long", "prompt is too long", "maximum context length", "token limit", "context_length_exceeded")
 
@@ -123,10 +121,6 @@ def function_context(symbols: DataFrame, lines: DataFrame, path: str, line: int,
     }
 
 
-def estimate_column(text: Column) -> Column:
-    return token_estimate(text)
-
-
 def choose_repositories(repos: DataFrame, name: str | None = None, every: bool = False, with_current: bool = False, current: str | None = None) -> DataFrame:
     """One named repository, all of them, all and the current one, or only the current
     one; two choices at once, an unknown name and an empty choice are errors."""

@@ -20,6 +20,11 @@ BOOST_RULES = (
 )
 
 
+#: Scores are compared to so many decimals, so that an order does not hang on the
+#: sequence in which a sum was added up.
+DECIMALS = 9
+
+
 def fetch_size(limit: int) -> int:
     return max(3 * limit, 20)
 
@@ -36,7 +41,7 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int, prefix: str | Non
     if prefix:
         rows = rows.where(F.col("file_path").startswith(prefix))
     q = F.array(*(F.lit(float(x)) for x in query))
-    return rows.select("chunk_id", cosine(F.col("vector"), q).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
+    return rows.select("chunk_id", F.round(cosine(F.col("vector"), q), DECIMALS).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -44,7 +49,7 @@ def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame
     checked: beyond 10,000 queries the join is not broadcast."""
     few = queries.limit(10_001).count() <= 10_000
     pairs = chunks.where(F.size("vector") > 0).crossJoin(F.broadcast(queries) if few else queries)
-    scored = pairs.select("query_id", "chunk_id", cosine(F.col("vector"), F.col("query_vector")).alias("score"))
+    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("query_vector")), DECIMALS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -52,7 +57,7 @@ def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame
 def keyword_score(text: Column, path: Column, terms: list[str]) -> Column:
     """Sum over terms of log1p(occurrences in the text) + 2 x occurrences in the path."""
     low, low_path = F.lower(text), F.lower(path)
-    return sum((F.log1p(byte_count(low, t).cast("double")) + 2.0 * byte_count(low_path, t) for t in terms), F.lit(0.0))
+    return F.round(sum((F.log1p(byte_count(low, t).cast("double")) + 2.0 * byte_count(low_path, t) for t in terms), F.lit(0.0)), DECIMALS)
 
 
 def keyword_topk(chunks: DataFrame, query: str, k: int, prefix: str | None = None) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.plans import graphs
+from codequarry.plans import code, graphs, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (graphs,)
+_PARTS = (retrieval, code, graphs)
 QUERIES: dict[str, Query] = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid search: the reference pipeline end to end."""
+    return retrieval.i3_hybrid_search(spark, sf)

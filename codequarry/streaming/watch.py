@@ -58,7 +58,7 @@ def suppress_unchanged_stream(events: DataFrame) -> DataFrame:
                 last = h
         if last is not None:
             state.update((last,))
-        yield rows[keep]
+        yield rows[keep].astype({"content_hash": object})
 
     src = events.select("path", "op", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("seq").cast("long").alias("seq"), "content_hash")
     return src.groupBy("path").applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
