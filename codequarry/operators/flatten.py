@@ -46,7 +46,7 @@ def parse_deep(text: str):
             if mark == ",":
                 expect = "key" if isinstance(stack[-1][0], dict) else "value"
                 continue
-            if mark not in "}]" or (mark == "}") != isinstance(stack[-1][0], dict):
+            if mark not in ("}", "]") or (mark == "}") != isinstance(stack[-1][0], dict):
                 raise ValueError("comma expected")
         elif mark == "{" or mark == "[":
             stack.append(({} if mark == "{" else [], key))

@@ -169,6 +169,31 @@ def symbol_table(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, _SCHEMA)
 
 
+_FUNCTIONS = "id string, path string, language string, name string, parent string, start_line int, source string"
+
+
+def function_table(files: DataFrame, id_col: str, path_col: str, text_col: str, line_col: str | None = None) -> DataFrame:
+    """Every function and method with its own text; ``id`` is the row's id, ``#`` and the
+    function's ordinal. ``line_col`` is the file line of the text's first line."""
+    src = files.select(
+        F.col(id_col).cast("string").alias("id"), F.col(path_col).cast("string").alias("path"), language_of(F.col(path_col)).alias("language"),
+        F.col(text_col).cast("string").alias("text"), (F.col(line_col).cast("int") if line_col else F.lit(1)).alias("line"),
+    ).where("id is not null and text is not null and language is not null")
+    names = [c.split()[0] for c in _FUNCTIONS.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, path, language, text, line in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = text.split("\n")
+                for k, s in enumerate(x for x in extract(text, language) if x["kind"] in ("function", "method")):
+                    rows.append((f"{key}#{k}", path, language, s["name"], s["parent"], max(line or 1, 1) + s["start_line"] - 1, "\n".join(lines[s["start_line"] - 1 : s["end_line"]])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "start_line" else pa.string()) for n, c in zip(names, zip(*rows))], names=names)
+
+    return src.mapInArrow(run, _FUNCTIONS)
+
+
 def find_candidates(symbols: DataFrame, name: str, kinds: list[str] = (), file_part: str = "", language: str = "", parent: str = "") -> DataFrame:
     """Symbols of a name under optional filters, one per place, by file and line."""
     out = symbols.where((F.col("name") == name) & (F.col("start_line") > 0))

@@ -11,7 +11,7 @@ from codequarry.functions import scalars as x
 from codequarry.operators import architecture as arch
 from codequarry.operators import trace
 from codequarry.operators.controlflow import graph_table
-from codequarry.operators.symbols import language_of, symbol_table
+from codequarry.operators.symbols import function_table, symbol_table
 from codequarry.session import LOCAL_CHECKPOINT_DIR, read_table
 from codequarry.streaming import watch
 
@@ -127,8 +127,9 @@ def g7_reachable(spark, sf):
 
 
 def _graphs(spark, sf):
-    i = _items(spark, sf).withColumn("language", language_of(F.col("file_path")))
-    return graph_table(i, "info_id", "symbol_name", "language", "content", "start_line")
+    """Control flow of every function in every item."""
+    f = function_table(_items(spark, sf), "info_id", "file_path", "content", "start_line")
+    return graph_table(f, "id", "name", "language", "source", "start_line")
 
 
 def g17_blocks(spark, sf):
