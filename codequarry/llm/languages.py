@@ -136,12 +136,19 @@ class Model:
         known = np.isin(lab, self.known)
         if not known.all():
             x, lab = x[known], lab[known]
+        # each half is judged by a fit on the other one, so a wrong label cannot vouch
+        # for itself; rows that are denied are left out of the last fit
+        keep, half = np.ones(len(lab), bool), np.arange(len(lab)) % 2
+        for h in (0, 1):
+            other, mine = np.flatnonzero(half != h), np.flatnonzero(half == h)
+            if len(other) and len(mine):
+                self._fit(x[other], lab[other])
+                names, counts = np.unique(lab[other], return_counts=True)
+                judged = np.isin(lab[mine], names[counts >= 5])
+                keep[mine] = ~judged | (self.classify_rows(x[mine])[0] == lab[mine])
+        if not keep.all():
+            x, lab = x[keep], lab[keep]
         self._fit(x, lab)
-        if len(lab):  # once more without the rows whose label the first fit denies
-            keep = self.classify_rows(x)[0] == lab
-            if not keep.all():
-                x, lab = x[keep], lab[keep]
-                self._fit(x, lab)
 
     def _fit(self, x: np.ndarray, lab: np.ndarray) -> None:
         sign = lambda yes: np.where(yes, 1, -1).astype(np.float32)
@@ -176,8 +183,9 @@ class Model:
             for j, (a, b) in enumerate(self.pairs[f]):
                 ia, ib = ms.index(a), ms.index(b)
                 p = 1 / (1 + np.exp(-3 * margin[:, j]))
-                votes[:, ia] += p
-                votes[:, ib] += 1 - p
+                # a duel won counts; the sum of margins only breaks a tie
+                votes[:, ia] += (p >= 0.5) + p / (4 * len(ms))
+                votes[:, ib] += (p < 0.5) + (1 - p) / (4 * len(ms))
                 least[:, ia] = np.minimum(least[:, ia], p)
                 least[:, ib] = np.minimum(least[:, ib], 1 - p)
             won = votes.argmax(1)
