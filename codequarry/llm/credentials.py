@@ -27,9 +27,9 @@ class Rule(NamedTuple):
 
 
 _QUOTED = r"""(?P<v>"[^"\n]*"(?:\s*\+\s*"[^"\n]*")*|'[^'\n]*'(?:\s*\+\s*'[^'\n]*')*|`[^`\n]*`)"""
-_ASSIGN = r"""["'\]]?\s*(?::\s*[&*]?[A-Za-z][\w.<>\[\]]*\s*=|:=|=>|=(?!=)|:)\s*(?:[bru]|String::from\(|new String\()?"""
+_ASSIGN = r"""(?=["'\]\t :=])["'\]]?\s*(?::\s*[&*]?[A-Za-z][\w.<>\[\]]*\s*=|:=|=>|=(?!=)|:)\s*(?:[bru]|String::from\(|new String\()?"""
 _STRONG_NAME = r"(?:passwords?|passwd|pwd|passphrase|passcode|secret|(?:user|login|db|admin|smtp|mail|root|ftp|ldap|account)[_-]?pass|(?:api|secret|signing|encryption|private|access|auth|master|deploy|account|storage|shared|client|service|license|admin|root|webhook)[_-]?key)"
-_WEAK_NAME = r"(?:token|credentials?|creds?|bearer|pass|auth|pat)"
+_WEAK_NAME = r"(?:token|credentials?|creds?|bearer|pass|auth)"
 
 RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr]|[#/*;-]|[\"'+])*(?P<v>[A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr]|[#/*;]|--(?!---)|[\"'+])+[A-Za-z0-9+/=]{4,})*)"),
@@ -51,14 +51,15 @@ RULES = (
     Rule("key_header", r"(?i:x-(?:api|auth|access)-(?:key|token)[\"']?\s*[:,=]\s*[\"']?(?P<v>[A-Za-z0-9._~+/=-]{8,}))"),
     Rule("flag", r"(?i:--(?:[a-z]+[_-])?(?:password|passwd|passphrase|token|secret|api[_-]?key|access[_-]?key)=[\"']?(?P<v>[^\s\"']{6,}))"),
     Rule("flag_apart", r"(?i:--(?:[a-z]+[_-])?(?:password|passwd|passphrase|token|secret|api[_-]?key|access[_-]?key)\s+[\"']?(?P<v>[^\s\"'-][^\s\"']{11,}))", weak=True),
-    Rule("named_value", rf"(?i:(?<![A-Za-z0-9])[A-Za-z0-9_.-]{{0,60}}{_STRONG_NAME}{_ASSIGN}{_QUOTED})"),
-    Rule("token_value", rf"(?i:(?<![A-Za-z0-9])[A-Za-z0-9_.-]{{0,60}}{_WEAK_NAME}{_ASSIGN}{_QUOTED})", weak=True),
+    Rule("named_value", rf"(?i:{_STRONG_NAME}{_ASSIGN}{_QUOTED})"),
+    Rule("token_value", rf"(?i:{_WEAK_NAME}{_ASSIGN}{_QUOTED})", weak=True),
     Rule("element", rf"(?i:<[A-Za-z0-9_.-]{{0,60}}(?:{_STRONG_NAME}|{_WEAK_NAME}|_pw|-pw)>[ \t]*(?P<v>[^\s<>]{{4,}})[ \t]*</)"),
     Rule("element_pw", r"<[A-Za-z0-9_.-]{0,60}(?:[a-z0-9](?=Pw)|<(?=pw|PW)|_(?=PW))[pP][wW]>[ \t]*(?P<v>[^\s<>]{4,})[ \t]*</"),
     Rule("login_pair", r"(?i:(?:login|log in|account|user|admin|box|pass|credentials?)\b[^\n/\"']{0,40} / (?P<v>[^\s\"'/]{6,})[ \t\r]*(?:$|\n|\*/))"),
     Rule("pw_value", rf"(?:(?<=[a-z0-9_])Pw|(?<![A-Za-z])(?:pw|PW))[ :=\"'](?:[ \t]*[&*]?[A-Za-z][\w.<>]*[ \t]*=|[ \t]*(?::=|=>|=|:)?)[ \t]*{_QUOTED}"),
     Rule("pw_bare", r"(?:(?<=[a-z0-9_])Pw|(?<![A-Za-z])(?:pw|PW))[:=\"'][ \t:=]*(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})[ \t]*(?:$|[\r\n},;])", weak=True),
-    Rule("bare_value", rf"(?i:(?<![A-Za-z0-9])[A-Za-z0-9_.-]{{0,60}}(?:{_STRONG_NAME}|{_WEAK_NAME})[\"']?(?:=|:[ \t]+)(?P<v>[A-Za-z0-9+/_-]{{8,}}={{0,2}})[ \t]*(?:$|[\r\n}},;]))", weak=True),
+    Rule("bare_value", rf"(?i:{_STRONG_NAME}(?=[\"'=:])[\"']?(?:=|:[ \t]+)(?P<v>[A-Za-z0-9+/_-]{{8,}}={{0,2}})[ \t]*(?:$|[\r\n}},;]))", weak=True),
+    Rule("bare_token", rf"(?i:{_WEAK_NAME}(?=[\"'=:])[\"']?(?:=|:[ \t]+)(?P<v>[A-Za-z0-9+/_-]{{8,}}={{0,2}})[ \t]*(?:$|[\r\n}},;]))", weak=True),
 )
 
 #: Words that stand in for a credential.
@@ -71,6 +72,7 @@ _REFERENCE = re.compile(
     r"^(?:\$|%[A-Za-z_][A-Za-z0-9_]*%$|\{\{|\{%|<|#\{|@|env[.:(\[]|vault[:.(]|file:|secrets?[./:(]|ssm:|arn:|keyring|keychain|op://|ref\+|process\.env|os\.(?:environ|getenv)|getenv|ENV[\[.]|System\.getenv|config[.\[(]|settings[.\[(]|!)"
 )
 _STAND_IN = re.compile(r"(?i:^(?:todo\b|fixme\b|tbd\b|your[-_ ]|my[-_](?:api|secret|token|key|pass)|insert[-_ ]|enter[-_ ]|put[-_ ]|replace[-_ ]|change[-_ ]|<.*>$|example[-_.]|dummy[-_]|fake[-_]|test[-_]))|x{8,}|(?:^|[-_])x{4,}$|\*{3,}|•{2,}|^\.{3}|\.{3}$|…|EXAMPLE$")
+_NAME_BEFORE = re.compile(r"[\w.-]*$")
 _NOT_A_SECRET_NAME = re.compile(r"(?i)(?:public|pub)[_-]?key$")
 
 
@@ -110,13 +112,13 @@ def find(text: str, rules) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             raw = m["v"]
             value = _unquote(raw)
-            if rule.name in ("named_value", "token_value", "bare_value", "pw_value", "pw_bare", "element", "login_pair"):
+            if rule.name in ("named_value", "token_value", "bare_value", "bare_token", "pw_value", "pw_bare", "element", "login_pair"):
                 if re.search(r"\s", value) or len(value) < 4 or re.search(r"[\[\](){}^]", value):
                     continue
-                name = re.match(r"[\w.-]+", m[0])
-                if name and _NOT_A_SECRET_NAME.search(name[0]):
+                name = _NAME_BEFORE.search(text, max(0, m.start() - 60), m.start())[0] + re.match(r"[\w.-]*", m[0])[0]
+                if _NOT_A_SECRET_NAME.search(name):
                     continue
-            if rule.name in ("bare_value", "pw_bare") and not _encoded(value):
+            if rule.name in ("bare_value", "bare_token", "pw_bare") and not _encoded(value):
                 continue
             if not is_literal_secret(value) or rule.weak and not _looks_random(value):
                 continue

@@ -15,7 +15,7 @@ import numpy as np
 
 from codequarry.llm.textkernels import LOWER
 
-MAX_EXACT = 24  # alternatives kept as exact strings while a pattern is walked
+MAX_EXACT = 1024  # alternatives kept as exact strings while a pattern is walked
 TRUE = ("and", ())
 
 
@@ -47,7 +47,7 @@ def _walk(tree) -> tuple[set[str] | None, tuple]:
             words = {chr(arg).lower()} if arg < 128 else None
         elif op is sre.IN:
             chars = {chr(v).lower() for o, v in arg if o is sre.LITERAL and v < 128}
-            words = chars if all(o is sre.LITERAL for o, _ in arg) and len(chars) <= 8 else None
+            words = chars if all(o is sre.LITERAL for o, _ in arg) and len(chars) <= 10 else None
         elif op is sre.SUBPATTERN:
             words, req = _walk(arg[3])
         elif op is sre.BRANCH:
@@ -66,6 +66,11 @@ def _walk(tree) -> tuple[set[str] | None, tuple]:
                 if w is not None and len(w) == 1 and low <= 32:  # e.g. -{5}
                     exact = {e + next(iter(w)) * low for e in exact}
                 req = _both("and", [_grams(w) if w is not None else TRUE, r])
+        elif op is sre.ASSERT and arg[0] == 1:  # what must follow, without taking it
+            words, req = _walk(arg[1])
+            ahead = {e + w for e in exact for w in words} if words is not None and len(words) * len(exact) <= MAX_EXACT else exact
+            need += [_grams(ahead), req if words is None else TRUE]
+            continue
         elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
             continue
         if words is not None and len(words) * len(exact) <= MAX_EXACT:
