@@ -70,6 +70,15 @@ ORACLE_SQL = {
     UNION ALL SELECT 'flow', n.node_id::VARCHAR, coalesce(up.root, n.node_id)::VARCHAR, coalesce(up.depth, 0)::INT
       FROM n LEFT JOIN up ON up.node = n.node_id WHERE n.node_id NOT IN (SELECT node FROM low) AND n.node_id NOT IN (SELECT node FROM c)
     UNION ALL SELECT 'call', node, root, -1 FROM d""",
+    "p5_paths": _FLOW_REACH
+    + """,
+    w AS (SELECT node_id AS node, node_id::VARCHAR AS path FROM n WHERE node_id NOT IN (SELECT b FROM e) AND node_id NOT IN (SELECT node FROM c)
+          UNION ALL SELECT e.b, w.path || '/' || e.b FROM w JOIN e ON e.a = w.node WHERE e.b NOT IN (SELECT node FROM c) AND e.b NOT IN (SELECT node FROM low)),
+    k AS (SELECT r.a AS node, count(*) AS n FROM r WHERE r.b NOT IN (SELECT node FROM c) AND r.b NOT IN (SELECT node FROM low) GROUP BY r.a)
+    SELECT w.node, split_part(w.path, '/', 1)::BIGINT AS root, (strlen(w.path) - strlen(replace(w.path, '/', '')))::INT AS depth, 'tree' AS state, coalesce(k.n, 0) AS n_descendants, w.path
+      FROM w LEFT JOIN k USING (node)
+    UNION ALL SELECT node, root, -1, 'cycle', NULL, '' FROM c
+    UNION ALL SELECT node, NULL, NULL, 'below', NULL, '' FROM low WHERE node NOT IN (SELECT node FROM c)""",
     "p5_descendants": _FLOW_REACH
     + """
     SELECT r.a AS ancestor, r.b AS descendant, (coalesce(x.depth, 0) - coalesce(y.depth, 0))::INT AS distance

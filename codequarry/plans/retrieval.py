@@ -287,6 +287,14 @@ ORACLE_SQL = {
         SELECT DISTINCT file_path FROM chunks
         WHERE len(list_intersect(string_split(file_path, '/'), ['node_modules', 'dist'])) > 0 OR regexp_matches(file_path, '(^|/)vendor/')
            OR starts_with(file_path, 'test/') OR (file_path LIKE '%.sql' AND NOT regexp_matches(file_path, '^core/[^/]*\\.sql$'))""",
+    "f16_languages": r"""
+        WITH f AS (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '(\.[^./]*)$', 1)) AS e FROM chunks),
+        l AS (SELECT file_path, CASE e WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.java' THEN 'java'
+              WHEN '.rs' THEN 'rust' WHEN '.c' THEN 'c' WHEN '.rb' THEN 'ruby' WHEN '.sql' THEN 'sql' WHEN '.sh' THEN 'shell' WHEN '.yaml' THEN 'yaml' END AS language FROM f)
+        SELECT file_path, language, coalesce(CASE language WHEN 'go' THEN regexp_matches(file_path, '_test\.go$') WHEN 'python' THEN regexp_matches(file_path, 'test_|_test\.py$')
+               WHEN 'javascript' THEN regexp_matches(file_path, '\.(test|spec)\.|__tests__') WHEN 'typescript' THEN regexp_matches(file_path, '\.(test|spec)\.|__tests__')
+               WHEN 'java' THEN regexp_matches(file_path, 'Test\.java$|/test/') WHEN 'c' THEN contains(file_path, 'test') WHEN 'rust' THEN regexp_matches(file_path, 'tests/|_test\.rs$')
+               WHEN 'ruby' THEN regexp_matches(file_path, '_spec\.rb$|_test\.rb$') ELSE false END, false) AS is_test FROM l""",
     "a16_document_tokens": "SELECT source, sum(strlen(text))::BIGINT // 4 AS n_tokens, count(*) AS n_messages FROM documents GROUP BY source",
     "a17_context": f"""{_HYBRID}
         SELECT string_agg('File: ' || file_path || ':' || coalesce(start_line::VARCHAR || '-', '') || coalesce(end_line::VARCHAR || chr(10), '') || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, chunk_id) AS context FROM t
