@@ -122,6 +122,13 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_knn, p6_found, p6_files, p8_found, p8_contexts, p9_found, p9_matches, p9_clean, p10_found, p10_languages)}
 
+_LEAKS = r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+        ig AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
+        hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)) """
+
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
         WITH t AS (
@@ -138,6 +145,8 @@ ORACLE_SQL: dict[str, str] = {
     "p2_found": """
         SELECT DISTINCT info_id FROM chunk_infos
         WHERE strlen(content) > 4 * CASE WHEN chunk_size > 0 THEN chunk_size ELSE 512 END""",
+    "p9_found": _LEAKS + "SELECT doc_id, item_id FROM hit",
+    "p9_clean": _LEAKS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     "p4_found": """
         WITH v AS (
             SELECT chunk_id, any_value(vector)::DOUBLE[] AS v FROM chunks
