@@ -187,7 +187,7 @@ def most_similar(
     min_cosine: float | None = None,
     queries: Column | None = None,
     probes: int = 16,
-    pool_factor: int = 6,
+    pool_factor: int = 12,
     list_rows: int = 256,
     max_lists: int = 4096,
     train_rows: int = 65536,
