@@ -86,9 +86,12 @@ def entry_points(symbols: DataFrame, lines: DataFrame) -> DataFrame:
             entry = entry | ((F.col("language") == x.name) & F.col("name").isin(list(x.entries)))
     main = symbols.where((F.col("kind") == "function") & entry).select(*at, F.when(F.col("name") == "init", "init").otherwise("main").alias("kind"), F.when(F.col("name") == "init", directory(F.col("path"))).otherwise(F.col("name")).alias("label"))
     first = funcs.groupBy("name").agg(F.min(F.struct("path", "start_line")).alias("f")).select("name", F.col("f.path").alias("path"), F.col("f.start_line").alias("line"))
+    # a command's label is the first word of the nearest Use in the twenty lines before it
+    run = lines.select("path", "line", F.regexp_extract("text", r"\bRunE?\s*:\s*(\w+)", 1).alias("name")).where("name != ''")
+    use = lines.select(F.col("path").alias("_p"), F.col("line").alias("at"), F.regexp_extract("text", r"\bUse:\s*\"([^\"\s]+)", 1).alias("use")).where("use != ''")
+    said = run.join(use, (F.col("path") == F.col("_p")) & F.col("at").between(F.col("line") - 20, F.col("line")), "left")
+    commands = said.groupBy("name").agg(F.max_by("use", F.struct("at")).alias("use")).join(first, "name").select("name", "path", "line", F.lit("command").alias("kind"), F.coalesce("use", "name").alias("label"))
     named = []
-    run = lines.select(F.regexp_extract("text", r"\bRunE?\s*:\s*(\w+)", 1).alias("name"), F.lit("command").alias("kind"))
-    named.append(run.where("name != ''"))
     for p, g in ROUTE_PATTERNS:
         named.append(lines.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias("name"), F.lit("handler").alias("kind")))
     refs = named[0]
@@ -100,7 +103,7 @@ def entry_points(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     pick = Window.partitionBy("path", "mark").orderBy("start_line")
     annotated = near.withColumn("_r", F.row_number().over(pick)).where("_r = 1").select("name", "path", F.col("start_line").alias("line"), F.lit("handler").alias("kind"), "label")
     classes = symbols.where(F.col("kind") == "class")
-    out = main.unionByName(handlers).unionByName(annotated)
+    out = main.unionByName(commands).unionByName(handlers).unionByName(annotated)
     for p, methods, label in FRAMEWORKS:
         own = classes.where(F.col("signature").rlike(p)).select("path", F.col("name").alias("parent")).distinct()
         out = out.unionByName(funcs.where(F.col("name").isin(list(methods))).join(own, ["path", "parent"]).select(*at, F.lit("handler").alias("kind"), F.lit(label).alias("label")))

@@ -6,6 +6,7 @@ function into one statement tree; one builder turns the tree into blocks and edg
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -451,6 +452,17 @@ class Graph:
         return "\n".join(rows)
 
 
+def graph_text(g: Graph) -> str:
+    """Blocks with their edges, then the paths with their decisions."""
+    rows = [f"B{b['id']} [{b['kind']}] {b['label']}" + "".join(f"\n    -> B{e['dst']}" + (f" ({e['label']})" if e["label"] else "") + (" back" if e["back"] else "") for e in g.edges if e["src"] == b["id"]) for b in g.blocks]
+    rows += [f"path {k}: " + " > ".join(f"B{b}" for b in blocks) + (f" | {'; '.join(d)}" if d else "") for k, (blocks, d) in enumerate(g.paths(), 1)]
+    return "\n".join([*rows, *(f"note: {n}" for n in dict.fromkeys(g.notes))])
+
+
+def graph_json(g: Graph) -> str:
+    return json.dumps({"blocks": [{k: v for k, v in b.items() if k != "code"} for b in g.blocks], "edges": g.edges, "entry_id": g.entry, "exit_id": g.exit, "notes": g.notes})
+
+
 def build_graph(name: str, source: str, language: str, start_line: int = 1) -> Graph | None:
     stmts = parse_function(source, language, start_line)
     if stmts is None:

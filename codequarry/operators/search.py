@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.functions.scalars import byte_count, cosine
+from codequarry.functions.scalars import byte_count, cosine, snippet, truncate_bytes
 
 DEFAULT_LIMIT, FUSION_K = 20, 60
 
@@ -123,3 +123,9 @@ def federated(results: list[tuple[str, str, DataFrame]], limit: int) -> DataFram
 def result_json(results: DataFrame) -> DataFrame:
     """One JSON text per result; scores with four digits."""
     return results.select(F.to_json(F.struct(F.col("file_path").alias("file"), "start_line", "end_line", F.format_string("%.4f", "score").alias("score"), "content")).alias("json"))
+
+
+def result_text(results: DataFrame) -> DataFrame:
+    """One text per result: place, score and the first two lines, cut at 100 bytes."""
+    head = truncate_bytes(snippet(F.col("content"), 2), 100)
+    return results.select(F.concat("file_path", F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("?")), F.format_string(" (%.4f)\n", "score"), head).alias("text"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from codequarry.sources.scan import MAX_FILE_BYTES, is_text_file
+
 OPS = ("create", "write", "remove", "rename")
 
 
@@ -72,6 +76,18 @@ def debounce(events: DataFrame, tick: str, watermark: str | None = None) -> Data
     return src.groupBy(F.window("ts", tick).alias("w"), "path").agg(last.alias("e"), F.count("*").alias("n_events")).select(F.col("w.start").alias("tick_start"), "path", F.col("e.op").alias("op"), F.col("e.ts").alias("ts"), "n_events")
 
 
+def file_changes(spark: SparkSession, root: str) -> DataFrame:
+    """Stream of ``(path, op, ts, seq, content_hash, mod_time, content)`` over the files of a
+    tree; new folders are seen as they appear. Hidden and non-text files are left out."""
+    base = "^(?:file:)?/*" + re.escape(os.path.abspath(root).strip("/")) + "/"
+    src = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(root)
+    rows = src.select(
+        F.regexp_replace("path", base, "").alias("path"), F.lit("write").alias("op"), F.col("modificationTime").cast("timestamp_ntz").alias("ts"), F.unix_micros("modificationTime").alias("seq"),
+        F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("mod_time"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"),
+    )
+    return drop_hidden(rows).where(is_text_file(F.col("path")) & (F.col("size") <= MAX_FILE_BYTES)).drop("size")
+
+
 def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("op").agg(F.count("*").alias("n_events"), F.max("ts").alias("last_event"))
 

@@ -1,11 +1,13 @@
 """Symbols, traces, call trees, control flow and change events on small fixtures."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import architecture as arch
 from codequarry.operators import trace
-from codequarry.operators.controlflow import build_graph, graph_table, inline
+from codequarry.operators.controlflow import build_graph, graph_json, graph_table, graph_text, inline
 from codequarry.operators.languages import LANGUAGES
 from codequarry.operators.symbols import Ambiguous, NotFound, extract, find_candidates, is_test_path, language_of, select_one, symbol_table
 from codequarry.streaming import watch
@@ -162,3 +164,35 @@ def test_debounce_and_ops(spark):
     assert sorted((r.path, r.op) for r in out) == [("X", "remove"), ("Y", "write")]
     ops = spark.createDataFrame([(["write", "create"],), (["rename"],), ([],)], "f array<string>").select(watch.map_op(F.col("f")).alias("o")).collect()
     assert [r.o for r in ops] == ["create", "rename", "write"]
+
+
+def test_entry_points(spark):
+    files = spark.createDataFrame(
+        [
+            ("cmd/root.go", "package cmd\n\nvar c = &Command{\n\tUse:   \"serve [port]\",\n\tRunE: runServe,\n}\n\nfunc runServe() error {\n\treturn nil\n}\n\nfunc init() {\n}\n"),
+            ("web/routes.go", "package web\n\nfunc setup(m *Mux) {\n\tm.HandleFunc(\"/a\", listUsers)\n}\n\nfunc listUsers() {\n}\n"),
+            ("app/views.py", "@app.route(\"/x\")\ndef show():\n    pass\n\nclass Home(ListView):\n    def get(self):\n        pass\n"),
+        ],
+        "path string, content string",
+    )
+    got = {(r.name, r.kind, r.label) for r in arch.entry_points(symbol_table(files, "path", "content"), trace.lines_table(files, "path", "content")).collect()}
+    assert got == {("runServe", "command", "serve"), ("init", "init", "cmd"), ("listUsers", "handler", "listUsers"), ("show", "handler", '@app.route("/x")'), ("get", "handler", "django")}
+
+
+def test_renderings():
+    g = build_graph("f", "func f(x int) {\n\tif x > 0 {\n\t\ty()\n\t}\n}", "go")
+    text = graph_text(g)
+    assert "B2 [branch] if x > 0" in text and "-> B3 (true)" in text and "path 2: B0 > B2 > B1 | if x > 0 = false" in text
+    assert json.loads(graph_json(g))["exit_id"] == 1
+
+
+def test_file_stream(spark, tmp_path):
+    root = tmp_path / "src"
+    (root / "sub").mkdir(parents=True)
+    (root / ".git").mkdir()
+    for p, t in {"a.go": "package a", "sub/b.py": "x = 1", ".git/c.go": "no", "d.bin": "no"}.items():
+        (root / p).write_text(t)
+    seen = {}
+    q = watch.start_watch(watch.file_changes(spark, str(root)), lambda df, i: seen.update({r.path: (r.op, r.content) for r in df.collect()}), str(tmp_path / "ck"), {"availableNow": True})
+    q.awaitTermination()
+    assert seen == {"a.go": ("write", "package a"), "sub/b.py": ("write", "x = 1")}

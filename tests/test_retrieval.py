@@ -66,6 +66,11 @@ def test_boost_and_search(spark, chunks):
     assert s.search(chunks.limit(0), [1.0, 0.0, 0.0], "login").count() == 0
 
 
+def test_results_as_text(spark, chunks):
+    top = s.search(chunks, [1.0, 0.0, 0.0], "login", limit=1)
+    assert s.result_text(top).first().text.startswith("src/auth.go:1 (") and '"file":"src/auth.go"' in s.result_json(top).first().json
+
+
 def test_store(spark, chunks, tmp_path):
     new = spark.createDataFrame([("db_0", "src/db.go", 1, 1, "new", [1.0])], SCHEMA)
     merged = store.upsert(chunks, new, "chunk_id")
