@@ -1,15 +1,17 @@
 """Vector, keyword and hybrid search over a chunk table.
 
-Scores are row-wise columns; each list is cut by a top-k (a heap per partition), so
-only a few rows meet in the fusion. Ties rank by chunk id.
+Keyword scores are row-wise columns, cosines one matrix product per Arrow batch; each
+list is cut by a top-k (a heap per partition), so only a few rows meet in the fusion. Ties rank by chunk id.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.functions.scalars import byte_count, cosine, snippet, truncate_bytes
+from codequarry.functions.scalars import byte_count, snippet, truncate_bytes
 
 DEFAULT_LIMIT, FUSION_K = 20, 60
 
@@ -35,23 +37,69 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def _scorer(queries: list[tuple], k: int, kind: pa.DataType, query_kind: pa.DataType):
+    """Cosines of a batch's vectors to all queries by one matrix product per dimension.
+    Only rows that can be among a query's k best of the batch leave it, ties included."""
+    by_dim: dict[int, list[tuple]] = {}
+    for qid, v in queries:
+        by_dim.setdefault(len(v), []).append((qid, v))
+    sides = {}
+    for dim, own in by_dim.items():
+        q = np.array([v for _, v in own], np.float64).reshape(len(own), dim)
+        n = np.sqrt((q * q).sum(1, keepdims=True))
+        sides[dim] = ([i for i, _ in own], np.divide(q, n, out=np.zeros_like(q), where=n > 0))
+
+    def run(batches):
+        for batch in batches:
+            col = batch.column(1)
+            size = np.diff(col.offsets.to_numpy(zero_copy_only=False))
+            for dim, (ids, q) in sides.items():
+                rows = np.flatnonzero(size == dim)
+                scores = np.zeros((len(ids), batch.num_rows))
+                if len(rows) and dim:
+                    x = col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                    n = np.sqrt((x * x).sum(1, keepdims=True))
+                    ok = np.isfinite(n) & (n > 0)
+                    scores[:, rows] = q @ np.divide(x, n, out=np.zeros_like(x), where=ok).T
+                scores = np.round(scores, DECIMALS) + 0.0
+                least = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else np.full((len(ids), 1), -2.0)
+                at, row = np.nonzero(scores >= least)
+                if len(at):
+                    who = pa.array([ids[i] for i in at], query_kind)
+                    yield pa.RecordBatch.from_arrays([who, batch.column(0).take(pa.array(row)).cast(kind), pa.array(scores[at, row])], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+
+
+def _scores(rows: DataFrame, queries: list[tuple], k: int, query_type: str) -> DataFrame:
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    src = rows.where(F.size("vector") > 0).select("chunk_id", F.col("vector").cast("array<float>").alias("vector"))
+    return src.mapInArrow(_scorer(queries, k, _ARROW[kind], _ARROW[query_type]), f"query_id {query_type}, chunk_id {kind}, score double")
+
+
 def vector_topk(chunks: DataFrame, query: list[float], k: int, prefix: str | None = None) -> DataFrame:
-    """``(chunk_id, score)`` of the k chunks nearest by cosine; chunks without a vector are left out."""
-    rows = chunks.where(F.size("vector") > 0)
-    if prefix:
-        rows = rows.where(F.col("file_path").startswith(prefix))
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return rows.select("chunk_id", F.round(cosine(F.col("vector"), q), DECIMALS).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
-
-
-def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As ``vector_topk`` for a small table ``(query_id, query_vector)``. Its size is
-    checked: beyond 10,000 queries the join is not broadcast."""
-    few = queries.limit(10_001).count() <= 10_000
-    pairs = chunks.where(F.size("vector") > 0).crossJoin(F.broadcast(queries) if few else queries)
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("query_vector")), DECIMALS).alias("score"))
+    """``(chunk_id, score)`` of the k chunks nearest by exact cosine; chunks without a
+    vector are left out, vectors of another length or all zero score 0."""
+    rows = chunks.where(F.col("file_path").startswith(prefix)) if prefix else chunks
+    return _scores(rows, [(0, query)], k, "int").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
+def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """As ``vector_topk`` for a stated query set ``(query_id, query_vector)``, taken in
+    blocks of about ``block`` queries, each one pass over the chunks."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = queries.where("query_id is not null and query_vector is not null").dropDuplicates(["query_id"])
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(blocks):
+        own = [(r.query_id, r.query_vector) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()]
+        part = _scores(chunks, own, k, kind)
+        out = part if out is None else out.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def keyword_score(text: Column, path: Column, terms: list[str]) -> Column:

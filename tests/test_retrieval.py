@@ -66,6 +66,17 @@ def test_boost_and_search(spark, chunks):
     assert s.search(chunks.limit(0), [1.0, 0.0, 0.0], "login").count() == 0
 
 
+def test_query_set_in_blocks(spark, chunks):
+    q = spark.createDataFrame([(i, v) for i, v in enumerate([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 0.0], [1.0, 2.0], [0.5, 0.5, 0.0]])] + [(9, None), (0, [1.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
+    extra = chunks.union(spark.createDataFrame([("short", "a", 1, 1, "x", [1.0, 2.0])], SCHEMA))
+    want = None
+    for block in (4096, 2):
+        got = sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in s.vector_topk_many(extra, q, 2, block).collect())
+        assert want in (None, got)
+        want = got
+    assert [(a, b, c) for a, b, c, _ in want] == [(0, 1, "auth_0"), (0, 2, "test_0"), (1, 1, "db_0"), (1, 2, "mock_0"), (2, 1, "auth_0"), (2, 2, "auth_1"), (3, 1, "short"), (3, 2, "auth_0"), (4, 1, "mock_0"), (4, 2, "handler_0")]
+
+
 def test_results_as_text(spark, chunks):
     top = s.search(chunks, [1.0, 0.0, 0.0], "login", limit=1)
     assert s.result_text(top).first().text.startswith("src/auth.go:1 (") and '"file":"src/auth.go"' in s.result_json(top).first().json
