@@ -216,7 +216,9 @@ def most_similar(
     if not n:
         return spark.createDataFrame([], out)
     lists = int(np.clip(n // list_rows, 1, max_lists))
-    rows = reps.select("vec").orderBy(F.xxhash64("hi", "lo")).limit(min(train_rows, max(8192, 48 * lists))).collect()
+    # a hash share, not an ordered limit: that would send every partition's first rows here
+    share = min(1.0, min(train_rows, max(8192, 48 * lists)) / n)
+    rows = reps.where(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("vec").collect() if share < 1 else reps.select("vec").collect()
     index = Index(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, dim), lists)
     shared = spark.sparkContext.broadcast(index)  # at most max_lists centroids and 8 x 256 codes
 
