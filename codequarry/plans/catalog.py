@@ -15,5 +15,5 @@ ORACLE_SQL: dict[str, str] = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.item
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Hybrid search: the reference pipeline end to end."""
+    """Hybrid search, end to end."""
     return retrieval.i3_hybrid_search(spark, sf)
