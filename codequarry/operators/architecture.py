@@ -55,6 +55,29 @@ def import_edges(lines: DataFrame, segments: int = 2) -> DataFrame:
     return hit.select(directory(F.col("path")).alias("from_pkg"), to.alias("to_pkg")).where("from_pkg != to_pkg").distinct()
 
 
+def is_internal_import(target: Column, module: str) -> Column:
+    """An import of the project itself: below its module, an internal folder, or relative."""
+    return target.startswith(module) & F.lit(bool(module)) | target.contains("/internal/") | target.startswith("./")
+
+
+def is_comment_line(text: Column, prefixes: list[str]) -> Column:
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | F.ltrim(text).startswith(p)
+    return out
+
+
+def large_packages(packages: DataFrame, least: int) -> DataFrame:
+    """Packages of at least ``least`` files, without the root folder."""
+    return packages.where((F.col("n_files") >= least) & (F.col("dir") != "."))
+
+
+def order_entry_points(entries: DataFrame) -> DataFrame:
+    """Main, commands, handlers, init; by name within each."""
+    rank = F.when(F.col("kind") == "main", 0).when(F.col("kind") == "command", 1).when(F.col("kind") == "handler", 2).otherwise(3)
+    return entries.orderBy(rank, "name", "path")
+
+
 #: Route registrations; the last group is the handler.
 ROUTE_PATTERNS = (
     (r"\.(?:HandleFunc|Handle)\s*\(\s*\"[^\"]*\"\s*,\s*(\w+)", 1),

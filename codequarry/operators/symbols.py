@@ -194,6 +194,23 @@ def function_table(files: DataFrame, id_col: str, path_col: str, text_col: str,
     return src.mapInArrow(run, _FUNCTIONS)
 
 
+def traceable(files: DataFrame, path_col: str, skip_names: list[str] = ()) -> DataFrame:
+    """Files that traces read: a known language, no test file, no hidden or listed folder;
+    ignore rules and the size limit do not apply."""
+    p = F.col(path_col)
+    language = language_of(p)
+    folders = F.slice(F.split(p, "/"), 1, F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0)))
+    skipped = F.exists(folders, lambda x: x.startswith(".") | x.isin(list(skip_names)) if skip_names else x.startswith("."))
+    return files.where(language.isNotNull() & ~is_test_path(p, language) & ~skipped)
+
+
+def find_functions(symbols: DataFrame, name: str, language: str = "", file_part: str = "") -> DataFrame:
+    """Function candidates with a usable range; languages without control flow are hidden
+    unless one is asked for."""
+    out = find_candidates(symbols, name, ["function", "method"], file_part, language).where("end_line >= start_line")
+    return out if language else out.where(F.col("language").isin([x.name for x in LANGUAGES if x.style != "unsupported"]))
+
+
 def find_candidates(symbols: DataFrame, name: str, kinds: list[str] = (), file_part: str = "", language: str = "", parent: str = "") -> DataFrame:
     """Symbols of a name under optional filters, one per place, by file and line."""
     out = symbols.where((F.col("name") == name) & (F.col("start_line") > 0))

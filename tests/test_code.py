@@ -9,7 +9,7 @@ from codequarry.operators import architecture as arch
 from codequarry.operators import trace
 from codequarry.operators.controlflow import build_graph, graph_json, graph_table, graph_text, inline
 from codequarry.operators.languages import LANGUAGES
-from codequarry.operators.symbols import Ambiguous, NotFound, extract, find_candidates, is_test_path, language_of, select_one, symbol_table
+from codequarry.operators.symbols import Ambiguous, NotFound, extract, find_candidates, find_functions, is_test_path, language_of, select_one, symbol_table, traceable
 from codequarry.streaming import watch
 
 FILES = {
@@ -196,3 +196,18 @@ def test_file_stream(spark, tmp_path):
     q = watch.start_watch(watch.file_changes(spark, str(root)), lambda df, i: seen.update({r.path: (r.op, r.content) for r in df.collect()}), str(tmp_path / "ck"), {"availableNow": True})
     q.awaitTermination()
     assert seen == {"a.go": ("write", "package a"), "sub/b.py": ("write", "x = 1")}
+
+
+def test_predicates(spark, project):
+    files, lines, symbols = project
+    more = files.select("path").union(spark.createDataFrame([("a_test.go",), (".git/x.go",), ("skip/y.go",), ("z.txt",)], "path string"))
+    assert {r.path for r in traceable(more, "path", ["skip"]).collect()} == set(FILES)
+    assert find_functions(symbols, "Login").count() == 1 and find_functions(symbols, "User").count() == 0
+    df = spark.createDataFrame([("mod/x/a",), ("fmt",), ("a/internal/b",), ("./c",)], "t string")
+    assert [r.i for r in df.select(arch.is_internal_import(F.col("t"), "mod/x").alias("i")).collect()] == [True, False, True, True]
+    c = spark.createDataFrame([("  // a",), ("b // c",), ("# d",)], "t string")
+    assert [r.i for r in c.select(arch.is_comment_line(F.col("t"), ["//", "#"]).alias("i")).collect()] == [True, False, True]
+    e = spark.createDataFrame([("b", "p", "init"), ("z", "p", "main"), ("a", "p", "handler"), ("c", "p", "command")], "name string, path string, kind string")
+    assert [r.name for r in arch.order_entry_points(e).collect()] == ["z", "c", "a", "b"]
+    p = spark.createDataFrame([(".", 9), ("a", 3), ("b", 1)], "dir string, n_files int")
+    assert [r.dir for r in arch.large_packages(p, 2).collect()] == ["a"]
