@@ -65,6 +65,26 @@ def test_hierarchy(spark, seed, most):
                 assert got[n].path == path[::-1]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_size_of_a_component_changes_nothing(spark, seed):
+    r = random.Random(seed)
+    shared = [(a, b) for b in range(101, 140) for a in r.sample(range(100, b), min(b - 100, 2))]
+    df = spark.createDataFrame([*random_forest(seed), *shared, (150, 139), (151, 150), (152, 120)], "a long, b long")
+    one, far = (hierarchy(df, "a", "b", max_component=most).collect() for most in (10**6, 3))
+    assert sorted(far) == sorted(one)
+    assert all(x.path and x.path[-1] == x.node and len(x.path) == x.depth + 1 for x in far if x.state == "tree")
+    short = hierarchy(df, "a", "b", max_component=3, paths=False)
+    assert sorted(tuple(x)[:6] for x in short.collect()) == sorted(tuple(x)[:6] for x in one)
+    assert short.where("path is not null").isEmpty()
+
+
+def test_paths_of_a_large_component(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    tree = hierarchy(chain, "a", "b", max_component=10)
+    assert descendants(tree).count() == 61 * 60 // 2
+    assert {(x.post - x.pre - 1) // 2 + x.depth for x in tree.collect()} == {60}
+
+
 @pytest.mark.parametrize("most", [10**6, 2])
 def test_only_cycles(spark, most):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "x"), ("m", "n"), ("n", "hub"), ("a", "hub"), ("p", "q"), ("q", "p"), ("q", "a")]
