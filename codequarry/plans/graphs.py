@@ -6,20 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators.flatten import flatten
-from codequarry.operators.hierarchy import descendants, hierarchy
-from codequarry.session import read_table
+from codequarry.operators.hierarchy import hierarchy, reach
+from codequarry.session import cut, read_table
 
 
-def _flow(spark: SparkSession, sf: str, paths: bool) -> DataFrame:
+def _flow_links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     nodes = read_table(spark, sf, "flow_nodes")
     links = nodes.select("node_id", F.explode("children").alias("child_id"))
+    return links.join(nodes.select(F.col("node_id").alias("child_id")).distinct(), "child_id", "left_semi").select("node_id", "child_id"), nodes
+
+
+def _flow(spark: SparkSession, sf: str, paths: bool) -> DataFrame:
+    links, nodes = _flow_links(spark, sf)
     return hierarchy(links, "node_id", "child_id", nodes, "node_id", paths=paths)
 
 
-def _calls(spark: SparkSession, sf: str) -> DataFrame:
+def _call_links(spark: SparkSession, sf: str) -> DataFrame:
     trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    edges = read_table(spark, sf, "call_edges").select(trim("caller").alias("caller"), trim("callee").alias("callee")).where("caller != '' and callee != ''")
-    return hierarchy(edges, "caller", "callee", paths=False, only_cycles=True)
+    return read_table(spark, sf, "call_edges").select(trim("caller").alias("caller"), trim("callee").alias("callee")).where("caller != '' and callee != ''")
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy(_call_links(spark, sf), "caller", "callee", paths=False, only_cycles=True)
+
+
+def _above_trees(links: DataFrame, parent: str, child: str, tree: DataFrame) -> DataFrame:
+    """Pairs whose descendant is neither on nor below a cycle: all its ancestors are such nodes too."""
+    inside = tree.where("state = 'tree'").select(F.col("node").alias(child))
+    return reach(links.join(inside, child, "left_semi"), parent, child)
+
+
+def _with_counts(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The columns of a path query; ``n_descendants`` counts distinct nodes, however many parents they have."""
+    n = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n"))
+    count = F.coalesce("n", F.when(F.col("state") == "tree", F.lit(0).cast("long")))
+    return tree.join(n, "node", "left").select("node", "root", "depth", "state", count.alias("n_descendants"), F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,14 +50,29 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Full path, depth, root and interval of every flow node."""
-    t = _flow(spark, sf, True)
-    return t.select("node", "root", "depth", "state", ((F.col("post") - F.col("pre") - 1) / 2).cast("long").alias("n_descendants"), F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+    """Full path, depth, root and number of descendants of every flow node."""
+    links, _ = _flow_links(spark, sf)
+    t = cut(_flow(spark, sf, True))
+    return _with_counts(t, _above_trees(links, "node_id", "child_id", t))
 
 
 def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of a flow node and one of its descendants."""
-    return descendants(_flow(spark, sf, True))
+    """Every pair of a flow node and one of its descendants, both neither on nor below a cycle."""
+    links, _ = _flow_links(spark, sf)
+    return _above_trees(links, "node_id", "child_id", cut(_flow(spark, sf, False)))
+
+
+def p5_call_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Path (by the smallest caller at each step), depth, root and number of distinct functions
+    below every function; those on or below a cycle have no path, but all their descendants count."""
+    links = _call_links(spark, sf)
+    return _with_counts(cut(hierarchy(links, "caller", "callee")), reach(links, "caller", "callee")).withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
+
+
+def p5_call_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a function and one that it calls over any number of calls, with the fewest
+    calls between them; a function on a cycle calls itself."""
+    return reach(_call_links(spark, sf), "caller", "callee")
 
 
 def p7_flat(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +85,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_flat(spark, sf).select("record_id", "entity", "seq", "parent_seq")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p7_found, p7_flat)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p5_call_paths, p5_call_descendants, p7_found, p7_flat)}
 
 _FLOW_REACH = """
     WITH RECURSIVE n AS (SELECT node_id, any_value(children) AS children FROM flow_nodes GROUP BY node_id),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from codequarry.operators.components import connected_components
 from codequarry.operators.flatten import entities, flatten, parse, parse_deep, tables
-from codequarry.operators.hierarchy import descendants, hierarchy
+from codequarry.operators.hierarchy import descendants, hierarchy, reach
+from codequarry.plans import graphs
 
 
 def brute(edges, nodes):
@@ -85,6 +86,26 @@ def test_paths_of_a_large_component(spark):
     assert {(x.post - x.pre - 1) // 2 + x.depth for x in tree.collect()} == {60}
 
 
+def test_reach_of_shared_nodes_and_cycles(spark):
+    r = random.Random(5)
+    edges = [*random_forest(3), *((a, b) for b in range(101, 140) for a in r.sample(range(100, b), min(b - 100, 2))), *((i, i + 1) for i in range(200, 237))]
+    _, below, _, _ = brute(edges, {n for e in edges for n in e})
+    got = {(x.ancestor, x.descendant): x.distance for x in reach(spark.createDataFrame([*edges, edges[0], (None, 1), (2, None)], "a long, b long"), "a", "b").collect()}
+    assert got.keys() == {(a, b) for a in below for b in below[a]}
+    assert got[200, 237] == 37 and all(d == 1 for (a, b), d in got.items() if (a, b) in edges)
+
+
+def test_call_queries_give_shared_functions_to_all_callers(spark, tmp_path):
+    rows = [(" a", "s"), ("b", "s "), ("a", "b"), ("s", "t"), ("x", "y"), ("y", "x"), ("y", "z"), ("", "q"), ("q", None)]
+    spark.createDataFrame(rows, "caller string, callee string").write.parquet(f"{tmp_path}/call_edges.parquet")
+    pairs = {tuple(x) for x in graphs.p5_call_descendants(spark, str(tmp_path)).collect()}
+    want = {("a", "s", 1), ("a", "b", 1), ("a", "t", 2), ("b", "s", 1), ("b", "t", 2), ("s", "t", 1)}
+    assert pairs == want | {("x", "y", 1), ("y", "x", 1), ("y", "z", 1), ("x", "z", 2), ("x", "x", 2), ("y", "y", 2)}
+    got = {x.node: tuple(x)[1:] for x in graphs.p5_call_paths(spark, str(tmp_path)).collect()}
+    assert got["s"] == ("a", 1, "tree", 1, "a/s") and got["b"] == ("a", 1, "tree", 2, "a/b") and got["t"] == ("a", 2, "tree", 0, "a/s/t")
+    assert got["x"] == ("x", -1, "cycle", 3, "") and got["z"] == (None, None, "below", 0, "")
+
+
 @pytest.mark.parametrize("most", [10**6, 2])
 def test_only_cycles(spark, most):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "x"), ("m", "n"), ("n", "hub"), ("a", "hub"), ("p", "q"), ("q", "p"), ("q", "a")]
