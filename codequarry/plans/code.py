@@ -115,17 +115,23 @@ def _roots(edges: DataFrame) -> DataFrame:
 
 
 def g7_call_trees(spark, sf):
-    """Call tree, three levels deep, of every function that nobody calls."""
+    """Call tree, eight levels deep, of every function that nobody calls."""
     e = _edges(spark, sf)
-    return arch.call_trees(_roots(e), e, max_depth=3)
+    return arch.call_trees(_roots(e), e, max_depth=8)
 
 
 def g7_reachable(spark, sf):
-    """Functions within three calls of a function that nobody calls."""
+    """Functions within three calls of a function that nobody calls: the compact depth, as in its SQL."""
     e = _edges(spark, sf)
     return arch.reachable(_roots(e), e, 3).groupBy("root").agg(F.count("*").alias("n_reached"))
 
 
+def g7_reachable_full(spark, sf):
+    """Functions within eight calls, the default depth, of a function that nobody calls."""
+    e = _edges(spark, sf)
+    return arch.reachable(_roots(e), e, 8).groupBy("root").agg(F.count("*").alias("n_reached"))
+
+
 def _graphs(spark, sf):
     """Control flow of every function in every item."""
     f = function_table(_items(spark, sf), "info_id", "file_path", "content", "start_line")
@@ -179,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a9_distinct_calls, g13_callers, g14_callees, g_call_degrees, j8_enclosing_chunk, j9_known_calls, g15_references, g_symbols, g13_call_sites, a3_packages,
-        a4_kinds_per_package, g11_imports, g1_entry_points, g7_call_trees, g7_reachable, g17_blocks, g17_edges, g19_paths, w3_suppressed, w3_suppressed_stream,
+        a4_kinds_per_package, g11_imports, g1_entry_points, g7_call_trees, g7_reachable, g7_reachable_full, g17_blocks, g17_edges, g19_paths, w3_suppressed, w3_suppressed_stream,
         w4_debounced, a19_watch_counters,
     )
 }

@@ -10,6 +10,7 @@ from codequarry.operators import trace
 from codequarry.operators.controlflow import build_graph, graph_json, graph_table, graph_text, inline
 from codequarry.operators.languages import LANGUAGES
 from codequarry.operators.symbols import Ambiguous, NotFound, extract, find_candidates, find_functions, is_test_path, language_of, select_one, symbol_table, traceable
+from codequarry.plans import code as plans
 from codequarry.streaming import watch
 
 FILES = {
@@ -211,3 +212,11 @@ def test_predicates(spark, project):
     assert [r.name for r in arch.order_entry_points(e).collect()] == ["z", "c", "a", "b"]
     p = spark.createDataFrame([(".", 9), ("a", 3), ("b", 1)], "dir string, n_files int")
     assert [r.dir for r in arch.large_packages(p, 2).collect()] == ["a"]
+
+
+def test_call_queries_go_eight_deep(spark, tmp_path):
+    edges = [(f"f{i}", "a.go", i, f"f{i + 1}") for i in range(12)]
+    spark.createDataFrame(edges, "caller string, caller_file string, caller_line int, callee string").write.parquet(f"{tmp_path}/call_edges.parquet")
+    got = {(r.name, r.marker) for r in plans.g7_call_trees(spark, str(tmp_path)).collect()}
+    assert got == {("f8", "cap"), *((f"f{i}", None) for i in range(8))}
+    assert [tuple(r) for r in plans.g7_reachable_full(spark, str(tmp_path)).collect()] == [("f0", 9)]
