@@ -93,6 +93,7 @@ def _list(v) -> list:
 
 #: Where each entity stands and the fields its row keeps.
 ARRAYS = {"block": "blocks", "edge": "edges", "caller": "callers"}
+GRAPH = {"blocks", "edges", "entryid", "exitid", "function"}
 MARKS = {"blocks", "edges", "callers", "callees", "references", "symbol", "root", "entrypoint", "entryid", "function"}
 
 
@@ -125,24 +126,40 @@ def _text(v):
     return v if isinstance(v, str) else None if v is None else json.dumps(v)
 
 
-def entities(value) -> list[tuple]:
-    """(entity, seq, parent_seq, pre, post, name, file_path, line, src, dst, detail) of one payload."""
-    out, seq, clock = [], dict.fromkeys((*ARRAYS, "flow_node"), 0), 0
+def _array(v, one) -> list | None:
+    return None if v is None else [one(x) for x in _list(v)]
+
+
+def entities(value, headers: bool = False) -> list[tuple]:
+    """(entity, seq, parent_seq, pre, post, name, file_path, line, src, dst, detail, cond, code, lines,
+    end_line, language, parent, notes) of one payload; with ``headers`` a ``graph`` row per control-flow graph."""
+    out, seq, clock = [], dict.fromkeys((*ARRAYS, "flow_node", "graph"), 0), 0
+    none = (None,) * 7
     for f in documents(value):
+        graph = None
+        if headers and GRAPH & f.keys():
+            seq["graph"] += 1
+            clock, graph = clock + 1, len(out)
+            more = (None, None, None, _int(f.get("endline")), _text(f.get("language")), _text(f.get("parent")), _array(f.get("notes"), _text))
+            out.append(("graph", seq["graph"], 0, clock, 0, _text(f.get("function")), _text(f.get("file")), _int(f.get("startline")), _int(f.get("entryid")), _int(f.get("exitid")), None, *more))
         for entity, key in ARRAYS.items():
             for x in _list(f.get(key)):
                 seq[entity] += 1
                 if not isinstance(x, dict):
                     continue
                 g = _fields(x)
-                pre, clock = clock + 1, clock + 2
+                pre, clock, more = clock + 1, clock + 2, none
                 if entity == "block":
                     row = (_text(g.get("kind")), None, None, _int(g.get("id")), None, _text(g.get("label")))
+                    more = (_text(g.get("cond")), _array(g.get("code"), _text), _array(g.get("lines"), _int), *none[3:])
                 elif entity == "edge":
                     row = (_text(g.get("label")), None, None, _int(g.get("from")), _int(g.get("to")), "back" if g.get("back") is True else None)
                 else:
                     row = (_text(g.get("caller")), _text(g.get("callerfile")), _int(g.get("callerline")), None, None, _text(g.get("callee")))
-                out.append((entity, seq[entity], 0, pre, clock, *row))
+                out.append((entity, seq[entity], 0, pre, clock, *row, *more))
+        if graph is not None:
+            clock += 1
+            out[graph] = (*out[graph][:4], clock, *out[graph][5:])
         work = [(x, 0, None) for x in reversed(_list(f.get("root")))]
         while work:
             x, parent, at = work.pop()
@@ -157,16 +174,16 @@ def entities(value) -> list[tuple]:
             seq["flow_node"] += 1
             mine = seq["flow_node"]
             marks = ",".join(k for k in ("ref", "cycle", "depthcap") if g.get(k) is True) or None
-            out.append(("flow_node", mine, parent, clock, 0, _text(g.get("name")), _text(g.get("filepath")), _int(g.get("line")), None, None, marks))
+            out.append(("flow_node", mine, parent, clock, 0, _text(g.get("name")), _text(g.get("filepath")), _int(g.get("line")), None, None, marks, *none))
             work.append((None, 0, len(out) - 1))
             work += [(c, mine, None) for c in reversed(_list(g.get("children")))]
     return out
 
 
-_COLUMNS = "entity string, seq int, parent_seq int, pre int, post int, name string, file_path string, line int, src int, dst int, detail string"
+_COLUMNS = "entity string, seq int, parent_seq int, pre int, post int, name string, file_path string, line int, src int, dst int, detail string, cond string, code array<string>, lines array<int>, end_line int, language string, parent string, notes array<string>"
 
 
-def flatten(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+def flatten(df: DataFrame, id_col: str, payload_col: str, *, headers: bool = False) -> DataFrame:
     """``(id, entity, seq, parent_seq, pre, post, ...)``: a row per object of a payload.
 
     ``seq`` counts from 1 within record and entity: array position without null
@@ -175,10 +192,14 @@ def flatten(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     payload that is null, empty or not valid JSON gives no row, nor does a null id;
     a repeated record counts once. Key spelling, wrapping objects, arrays around
     the object and JSON inside a string do not matter. Other columns are ignored.
+
+    A block keeps its condition, code and lines. With ``headers`` each control-flow
+    graph gives a ``graph`` row too, whose interval holds its blocks and edges: name
+    is its function, line and end_line its place, src and dst its entry and exit block.
     """
     kind = df.schema[id_col].dataType.simpleString()
     records = df.select(F.col(id_col).alias("id"), F.col(payload_col).cast("string").alias("payload")).where("id is not null and payload is not null").dropDuplicates(["id"])
-    types = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), *[pa.int32()] * 3, pa.string()]
+    types = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), *[pa.int32()] * 3, pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
 
     def run(batches):
@@ -186,7 +207,7 @@ def flatten(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
             who, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 try:
-                    own = entities(parse(text))
+                    own = entities(parse(text), headers)
                 except ValueError:
                     continue
                 who += [i] * len(own)
@@ -198,11 +219,14 @@ def flatten(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
 
 
 def tables(flat: DataFrame) -> dict[str, DataFrame]:
-    """One table per entity, with the columns it has; all keep ``id`` and ``parent_seq``."""
+    """One table per entity, with the columns it has; all keep ``id`` and ``parent_seq``.
+    ``block_lines`` has a row per line of a block; ``graphs`` is empty without headers."""
     keep = ["id", "seq", "parent_seq", "pre", "post"]
     pick = lambda e, **cols: flat.where(F.col("entity") == e).select(*keep, *(F.col(c).alias(n) for n, c in cols.items()))
     return {
-        "blocks": pick("block", block_id="src", kind="name", label="detail"),
+        "blocks": pick("block", block_id="src", kind="name", label="detail", cond="cond", code="code", lines="lines"),
+        "block_lines": flat.where("entity = 'block'").select("id", F.col("seq").alias("block_seq"), F.posexplode("lines").alias("at", "line")).where("line is not null"),
+        "graphs": pick("graph", function="name", file_path="file_path", start_line="line", end_line="end_line", entry_id="src", exit_id="dst", language="language", parent="parent", notes="notes"),
         "edges": pick("edge", src="src", dst="dst", label="name", back="detail"),
         "callers": pick("caller", caller="name", caller_file="file_path", caller_line="line", callee="detail"),
         "flow_nodes": pick("flow_node", name="name", file_path="file_path", line="line", marker="detail"),

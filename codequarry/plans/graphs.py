@@ -76,13 +76,13 @@ def p5_call_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_flat(spark: SparkSession, sf: str) -> DataFrame:
-    """All flat rows of all payloads."""
-    return flatten(read_table(spark, sf, "raw_results"), "record_id", "payload").withColumnRenamed("id", "record_id")
+    """All flat rows of all payloads, with a row per control-flow graph."""
+    return flatten(read_table(spark, sf, "raw_results"), "record_id", "payload", headers=True).withColumnRenamed("id", "record_id")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Key and parent of every object of every payload."""
-    return p7_flat(spark, sf).select("record_id", "entity", "seq", "parent_seq")
+    return flatten(read_table(spark, sf, "raw_results"), "record_id", "payload").select(F.col("id").alias("record_id"), "entity", "seq", "parent_seq")
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p5_call_paths, p5_call_descendants, p7_found, p7_flat)}

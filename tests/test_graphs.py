@@ -162,6 +162,21 @@ def test_flatten(spark):
     assert flatten(spark.createDataFrame([], "record_id long, payload string"), "record_id", "payload").count() == 0
 
 
+def test_flatten_keeps_the_fields_of_graphs_and_blocks(spark):
+    block = {"ID": 0, "Kind": "cond", "Label": "l", "Cond": "x > 1", "Code": ["a()", "b()"], "Lines": [4, None, 6]}
+    cfg = {"Function": "f", "File": "a.go", "Language": "go", "start_line": 3, "EndLine": 9, "EntryID": 0, "ExitID": 2, "Parent": "T", "Notes": ["n"], "Blocks": [block, {"ID": 2}], "Edges": []}
+    df = spark.createDataFrame([(1, json.dumps([cfg, {"result": cfg}]))], "record_id long, payload string")
+    got = {k: v.collect() for k, v in tables(flatten(df, "record_id", "payload", headers=True)).items()}
+    b, bare = sorted(got["blocks"], key=lambda r: r.seq)[:2]
+    assert (b.cond, b.code, b.lines) == ("x > 1", ["a()", "b()"], [4, 6]) and (bare.cond, bare.code, bare.lines) == (None, None, None)
+    assert sorted((r.block_seq, r.at, r.line) for r in got["block_lines"]) == [(1, 0, 4), (1, 1, 6), (3, 0, 4), (3, 1, 6)]
+    first, second = sorted(got["graphs"], key=lambda r: r.seq)
+    assert tuple(first)[5:] == ("f", "a.go", 3, 9, 0, 2, "go", "T", ["n"]) and first.parent_seq == 0
+    held = [[r.seq for r in got["blocks"] if g.pre < r.pre and r.post < g.post] for g in (first, second)]
+    assert [sorted(h) for h in held] == [[1, 2], [3, 4]]
+    assert flatten(df, "record_id", "payload").where("entity = 'graph'").isEmpty()
+
+
 def test_deep_json():
     text = '{"root":' + '{"name":"n","children":[' * 20000 + "]}" * 20000 + "}"
     assert len(entities(parse(text))) == 20000
