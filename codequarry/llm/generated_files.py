@@ -120,7 +120,7 @@ def _measurer():
             rows["n_chars"] = [len(t) for t in text]
             rows["n_space"] = [len(t) - len("".join(t.split())) for t in text]
             rows["n_lines"] = [t.count("\n") + 1 for t in text]
-            rows["n_data"] = [data_chars(t) if any(c.isdigit() for c in t[:4000]) else 0 for t in text]
+            rows["n_data"] = [data_chars(t) for t in text]
             rows["n_boiler"] = [len(_BOILERPLATE.findall(t)) for t in text]
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 

@@ -404,3 +404,12 @@ def test_languages(spark):
     assert not {mixed + 1, mixed + 2, mixed + 3, None} & set(main)
     assert len(got) == len({(x.id, x.block_no) for x in got}) and all(0 < x.confidence <= 1 for x in got)
     assert lg.languages(df.limit(0), "doc", "body", "lang").count() == 0
+
+
+def test_data_is_measured_over_the_whole_text(spark):
+    prose = "// " + "words without figures " * 200 + "\n"
+    late = prose + "".join(f"{i}, {i + 1}, {i + 2}, {i + 3}, {i + 4}, {i + 5}, {i + 6}, {i + 7}, {i + 8}\n" for i in range(800))
+    strings = "x = [\n" + '{"name": "alpha", "kind": "beta", "place": "gamma"},\n' * 40 + "]\n"
+    df = spark.createDataFrame([("late.js", late, "late.js_0"), ("strings.py", strings, "strings.py_0"), ("prose.go", prose, "prose.go_0")], "p string, t string, c string")
+    assert len(prose) > 4000
+    assert {r.file_path: r.kind for r in gf.classify_files(df, "p", "t", "c").collect()} == {"late.js": "data", "strings.py": "data", "prose.go": "handwritten"}
