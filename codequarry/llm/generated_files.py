@@ -80,7 +80,7 @@ def _automaton():
 
 def head_kind(text: str, automaton) -> str | None:
     """What the comments at the head of a file say it is: ``generated``, ``vendored`` or None."""
-    for line in text.split("\n", 12)[:12]:
+    for line in text.split("\n"):  # ends at the first line of code
         if not line.strip():
             continue
         m = _COMMENT.match(line.rstrip("\r"))

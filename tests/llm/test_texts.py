@@ -413,3 +413,10 @@ def test_data_is_measured_over_the_whole_text(spark):
     df = spark.createDataFrame([("late.js", late, "late.js_0"), ("strings.py", strings, "strings.py_0"), ("prose.go", prose, "prose.go_0")], "p string, t string, c string")
     assert len(prose) > 4000
     assert {r.file_path: r.kind for r in gf.classify_files(df, "p", "t", "c").collect()} == {"late.js": "data", "strings.py": "data", "prose.go": "handwritten"}
+
+
+def test_notice_below_a_long_licence_comment():
+    licence = "".join(f"// clause {i} of the terms\n" for i in range(40))
+    a = gf._automaton()
+    assert gf.head_kind(licence + "\n// Code generated by tool. DO NOT EDIT.\npackage x\n", a) == "generated"
+    assert gf.head_kind(licence + "func f() {}\n// Code generated by tool. DO NOT EDIT.\n", a) is None
