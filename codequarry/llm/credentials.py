@@ -30,20 +30,30 @@ _QUOTED = r"""(?P<v>"[^"\n]*"(?:\s*\+\s*"[^"\n]*")*|'[^'\n]*'(?:\s*\+\s*'[^'\n]*
 _ASSIGN = r"""(?=["'\]\t :=])["'\]]?\s*(?::\s*[&*]?[A-Za-z][\w.<>\[\]]*\s*=|:=|=>|=(?!=)|:)\s*(?:[bru]|String::from\(|new String\()?"""
 _STRONG_NAME = r"(?:passwords?|passwd|pwd|passphrase|passcode|secret|(?:user|login|db|admin|smtp|mail|root|ftp|ldap|account)[_-]?pass|(?:api|secret|signing|encryption|private|access|auth|master|deploy|account|storage|shared|client|service|license|admin|root|webhook)[_-]?key)"
 _WEAK_NAME = r"(?:token|credentials?|creds?|bearer|pass|auth)"
+_ACCOUNT = r"log ?in|sign ?in|account|user(?:name)?|admin|box|pass|credentials?|creds"
 
 RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr]|[#/*;-]|[\"'+])*(?P<v>[A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr]|[#/*;]|--(?!---)|[\"'+])+[A-Za-z0-9+/=]{4,})*)"),
+    # Token formats as their providers document them.
     Rule("aws_key_id", r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])"),
     Rule("github_token", r"(?<![A-Za-z0-9_])(?P<v>gh[opsur]_[A-Za-z0-9]{30,})"),
     Rule("github_fine_token", r"(?<![A-Za-z0-9_])(?P<v>github_pat_[A-Za-z0-9_]{30,})"),
-    Rule("gitlab_token", r"(?<![A-Za-z0-9_])(?P<v>glpat-[A-Za-z0-9_-]{16,})"),
+    Rule("gitlab_token", r"(?<![A-Za-z0-9_])(?P<v>gl(?:pat|ptt|dt|rt|cbt|agent)-[A-Za-z0-9_-]{16,})"),
     Rule("slack_token", r"(?<![A-Za-z0-9_])(?P<v>xox[abeoprs]-[A-Za-z0-9-]{10,})"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/(?P<v>T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{16,})"),
     Rule("secret_key_dash", r"(?<![A-Za-z0-9_])(?P<v>sk-(?:proj-|ant-|svcacct-)?[A-Za-z0-9_-]{20,})"),
     Rule("payment_key", r"(?<![A-Za-z0-9_])(?P<v>[rs]k_(?:live|test)_[A-Za-z0-9]{16,})"),
     Rule("google_key", r"(?<![A-Za-z0-9_])(?P<v>AIza[0-9A-Za-z_-]{30,})"),
+    Rule("google_secret", r"(?<![A-Za-z0-9_])(?P<v>GOCSPX-[0-9A-Za-z_-]{20,})"),
+    Rule("google_token", r"(?<![A-Za-z0-9_.])(?P<v>ya29\.[0-9A-Za-z_-]{30,})"),
     Rule("npm_token", r"(?<![A-Za-z0-9_])(?P<v>npm_[A-Za-z0-9]{30,})"),
     Rule("pypi_token", r"(?<![A-Za-z0-9_])(?P<v>pypi-[A-Za-z0-9_-]{30,})"),
     Rule("hub_token", r"(?<![A-Za-z0-9_])(?P<v>hf_[A-Za-z0-9]{30,})"),
+    Rule("mail_key", r"(?<![A-Za-z0-9_.])(?P<v>SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})"),
+    Rule("bot_token", r"(?<![A-Za-z0-9_:])(?P<v>[0-9]{8,10}:AA[A-Za-z0-9_-]{32,34})(?![A-Za-z0-9_-])"),
+    Rule("shop_token", r"(?<![A-Za-z0-9_])(?P<v>shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32})"),
+    Rule("cloud_token", r"(?<![A-Za-z0-9_])(?P<v>(?:do[opr]_v1_[0-9a-f]{64}|dapi[0-9a-f]{32}|hv[sb]\.[A-Za-z0-9_-]{24,}|glsa_[A-Za-z0-9_]{32,}|lin_api_[A-Za-z0-9]{32,}|dp\.(?:pt|st|ct)\.[A-Za-z0-9]{40,}))"),
+    Rule("age_key", r"(?P<v>AGE-SECRET-KEY-1[0-9A-Z]{50,})"),
     Rule("jwt", r"(?<![A-Za-z0-9_])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{10,})"),
     Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>]*:(?P<v>[^\s@\"'<>/]+)@[A-Za-z0-9\[]"),
     Rule("connection_password", r"(?i:(?<![A-Za-z0-9_-])(?:password|pwd|accountkey|sharedaccesskey)\s?=(?P<v>[^;\"'\s&,]{4,}))(?=;|[\"'])"),
@@ -55,11 +65,13 @@ RULES = (
     Rule("token_value", rf"(?i:{_WEAK_NAME}{_ASSIGN}{_QUOTED})", weak=True),
     Rule("element", rf"(?i:<[A-Za-z0-9_.-]{{0,60}}(?:{_STRONG_NAME}|{_WEAK_NAME}|_pw|-pw)>[ \t]*(?P<v>[^\s<>]{{4,}})[ \t]*</)"),
     Rule("element_pw", r"<[A-Za-z0-9_.-]{0,60}(?:[a-z0-9](?=Pw)|<(?=pw|PW)|_(?=PW))[pP][wW]>[ \t]*(?P<v>[^\s<>]{4,})[ \t]*</"),
-    Rule("login_pair", r"(?i:(?:login|log in|account|user|admin|box|pass|credentials?)\b[^\n/\"']{0,40} / (?P<v>[^\s\"'/]{6,})[ \t\r]*(?:$|\n|\*/))"),
+    Rule("account_pair", rf"(?i:(?:{_ACCOUNT})\b[^\n\"'=]{{0,60}}[\s:(](?!https?:)[\w.@+-]{{2,40}}(?: [/|] | ?:(?!/)[ ]?)(?P<v>[^\s\"'/<>=,;]{{8,}})[)]?[ \t\r]*(?:$|\n|\*/|-->))"),
     Rule("pw_value", rf"(?:(?<=[a-z0-9_])Pw|(?<![A-Za-z])(?:pw|PW))[ :=\"'](?:[ \t]*[&*]?[A-Za-z][\w.<>]*[ \t]*=|[ \t]*(?::=|=>|=|:)?)[ \t]*{_QUOTED}"),
-    Rule("pw_bare", r"(?:(?<=[a-z0-9_])Pw|(?<![A-Za-z])(?:pw|PW))[:=\"'][ \t:=]*(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})[ \t]*(?:$|[\r\n},;])", weak=True),
-    Rule("bare_value", rf"(?i:{_STRONG_NAME}(?=[\"'=:])[\"']?(?:=|:[ \t]+)(?P<v>[A-Za-z0-9+/_-]{{8,}}={{0,2}})[ \t]*(?:$|[\r\n}},;]))", weak=True),
-    Rule("bare_token", rf"(?i:{_WEAK_NAME}(?=[\"'=:])[\"']?(?:=|:[ \t]+)(?P<v>[A-Za-z0-9+/_-]{{8,}}={{0,2}})[ \t]*(?:$|[\r\n}},;]))", weak=True),
+    Rule("pw_bare", r"(?:(?<=[a-z0-9_])Pw|(?<![A-Za-z])(?:pw|PW))[:=\"'][ \t:=]*(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})[ \t]*(?:$|[\r\n},;])"),
+    Rule("bare_value", rf"(?i:{_STRONG_NAME}(?=[\"'=:])[\"']?(?:=|:[ \t]+)(?P<v>[A-Za-z0-9+/_-]{{8,}}={{0,2}})[ \t]*(?:$|[\r\n}},;]))"),
+    Rule("bare_token", rf"(?i:{_WEAK_NAME}(?=[\"'=:])[\"']?(?:=|:[ \t]+)(?P<v>[A-Za-z0-9+/_-]{{8,}}={{0,2}})[ \t]*(?:$|[\r\n}},;]))"),
+    Rule("env_value", r"(?m:^[ \t]*(?:(?:export|set|ENV|ARG)[ \t]+)?[A-Z0-9_]*(?:PASSWORD|PASSWD|PASSPHRASE|PASS|PWD|SECRET|TOKEN|API_?KEY|ACCESS_KEY|PRIVATE_KEY|ENCRYPTION_KEY|SIGNING_KEY|CREDENTIALS?)=(?P<v>[^\s\"'`$<>(){}]{8,})[ \t\r]*$)", weak=True),
+    Rule("setting_value", rf"(?im:^[ \t]*(?:-[ \t]+)?[\w.-]{{0,60}}{_STRONG_NAME}(?=[ \t]*[=:])(?:[ \t]*=|[ \t]*:[ \t])[ \t]*(?P<v>[^\s\"'`$<>(){{}}\[\],;]{{8,}})[ \t\r]*$)", weak=True),
 )
 
 #: Words that stand in for a credential.
@@ -68,10 +80,18 @@ STAND_INS = frozenset(
     "test testing demo foo bar foobar secret password passwd token key apikey api_key redacted removed hidden masked not-needed not_needed notneeded unused "
     "n/a na no-key nokey ollama lm-studio lmstudio local localhost keyring keychain true false string xxx your-key".split()
 )
+_FILLERS = frozenset("a an and ci fake for here in insert it local me my no not of only or please put real replace set some the this to use user value with your api access auth client private service".split())
 _REFERENCE = re.compile(
     r"^(?:\$|%[A-Za-z_][A-Za-z0-9_]*%$|\{\{|\{%|<|#\{|@|env[.:(\[]|vault[:.(]|file:|secrets?[./:(]|ssm:|arn:|keyring|keychain|op://|ref\+|process\.env|os\.(?:environ|getenv)|getenv|ENV[\[.]|System\.getenv|config[.\[(]|settings[.\[(]|!)"
 )
-_STAND_IN = re.compile(r"(?i:^(?:todo\b|fixme\b|tbd\b|your[-_ ]|my[-_](?:api|secret|token|key|pass)|insert[-_ ]|enter[-_ ]|put[-_ ]|replace[-_ ]|change[-_ ]|<.*>$|example[-_.]|dummy[-_]|fake[-_]|test[-_]))|x{8,}|(?:^|[-_])x{4,}$|\*{3,}|•{2,}|^\.{3}|\.{3}$|…|EXAMPLE$")
+_STAND_IN = re.compile(r"(?i:^(?:todo\b|fixme\b|tbd\b|(?:your|my|insert|enter|put|replace|change|example)[-_. ][^0-9]*$|(?:dummy|fake)[-_]|<.*>$|\[.*\]$|\(.*\)$|\{.*\}$))|x{8,}|(?:^|[-_])x{4,}$|\*{3,}|•{2,}|^\.{3}|\.{3}$|…|^AKIA[A-Z0-9]*EXAMPLE$|EXAMPLEKEY$")
+#: A name that is called or indexed, and a name in braces: the value is made elsewhere.
+_MADE_ELSEWHERE = re.compile(r"^[A-Za-z_$][\w$.:>-]*(?:\(.*\)|\[.*\]);?$|\{[A-Za-z_][\w.]*\}|%\([A-Za-z_]\w*\)s")
+#: Words of a sentence, not of a passphrase.
+_SENTENCE = frozenset(
+    "a an and are at be by can for from has have in invalid is it key match must no not of on or password passwords please required reset secret show the this to token use was were will with wrong your "
+    "bitte das der die ein eine falsch ist nicht passwort und de la le el los las es un une est mot passe contraseña del por para il lo di non è het een niet wachtwoord".split()
+)
 _NAME_BEFORE = re.compile(r"[\w.-]*$")
 _NOT_A_SECRET_NAME = re.compile(r"(?i)(?:public|pub)[_-]?key$")
 
@@ -81,7 +101,16 @@ def is_literal_secret(value: str) -> bool:
     v = value.strip().strip("\"'`").strip()
     if v.lower().startswith(("bearer ", "basic ", "token ")):
         v = v.split(None, 1)[1].strip()
-    return bool(v) and v.lower() not in STAND_INS and not _REFERENCE.search(v) and not _STAND_IN.search(v) and "${" not in v and "{{" not in v and "$(" not in v and len(set(v)) > 2
+    if not v or len(set(v)) < 3 or _REFERENCE.search(v) or _STAND_IN.search(v) or "${" in v or "{{" in v or "$(" in v:
+        return False
+    parts = [p for p in re.split(r"[\W_]+", v.lower()) if p]
+    return v.lower() not in STAND_INS and not (parts and all(p in STAND_INS or p in _FILLERS or p.isdigit() and len(p) < 5 for p in parts))
+
+
+def _passphrase(v: str) -> bool:
+    """Several words: a passphrase has at least three and none of those that make a sentence."""
+    words = v.lower().split()
+    return len(words) == 1 or len(words) >= 3 and not any(w.strip(".,:;!?()") in _SENTENCE for w in words) and all(re.search(r"\w", w) for w in words)
 
 
 def _looks_random(v: str) -> bool:
@@ -89,9 +118,14 @@ def _looks_random(v: str) -> bool:
     return len(v) >= 8 and kinds >= 2 and not re.fullmatch(r"[A-Za-z]+(?:[._-][A-Za-z]+)*", v) or (len(v) >= 20 and kinds >= 2)
 
 
+def _dense(v: str) -> bool:
+    """An unquoted setting: digits and letters with a sign or both cases, and no code or path in it."""
+    return bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v) and (re.search(r"[^\w.:/-]", v) or re.search("[a-z]", v) and re.search("[A-Z]", v))) and not re.search(r"^\w+(?:\.\w+)+$|::|->|/.*/", v)
+
+
 def _encoded(v: str) -> bool:
     """An unquoted value: padded base64, base64 of a readable text, or long and mixed."""
-    if len(v) % 4 == 0 and re.search("[0-9=+/]", v):
+    if len(v) % 4 == 0 and (len(v) >= 12 or re.search("[0-9=+/]", v)):  # few words of that length happen to decode
         try:
             plain = base64.b64decode(v, validate=True).decode("ascii")
             if len(plain) >= 5 and plain.isprintable():
@@ -105,6 +139,10 @@ def _unquote(v: str) -> str:
     return "".join(re.findall(r"[\"'`]([^\"'`\n]*)[\"'`]", v)) if v[:1] in "\"'`" else v
 
 
+#: Rules in which a name says that its value is a credential.
+_NAMED = ("named_value", "token_value", "bare_value", "bare_token", "pw_value", "pw_bare", "element", "account_pair", "env_value", "setting_value")
+
+
 def find(text: str, rules) -> list[tuple[int, int, str]]:
     """(start, end, rule) of every credential, without overlaps, by position."""
     hits = []
@@ -112,13 +150,15 @@ def find(text: str, rules) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             raw = m["v"]
             value = _unquote(raw)
-            if rule.name in ("named_value", "token_value", "bare_value", "bare_token", "pw_value", "pw_bare", "element", "login_pair"):
-                if re.search(r"\s", value) or len(value) < 4 or re.search(r"[\[\](){}^]", value):
+            if rule.name in _NAMED:
+                if len(value) < 4 or _MADE_ELSEWHERE.search(value) or not (_passphrase(value) if rule.name in ("named_value", "pw_value") else not re.search(r"\s", value)):
+                    continue
+                if rule.name == "account_pair" and not re.search(r"[a-z][A-Z]|[0-9]|[^\w.-]", value):
                     continue
-                name = _NAME_BEFORE.search(text, max(0, m.start() - 60), m.start())[0] + re.match(r"[\w.-]*", m[0])[0]
+                name = _NAME_BEFORE.search(text, max(0, m.start() - 60), m.start())[0] + re.match(r"[\w.-]*", m[0].lstrip())[0]
                 if _NOT_A_SECRET_NAME.search(name):
                     continue
-            if rule.name in ("bare_value", "bare_token", "pw_bare") and not _encoded(value):
+            if rule.name in ("bare_value", "bare_token", "pw_bare") and not _encoded(value) or rule.name == "setting_value" and not _dense(value):
                 continue
             if not is_literal_secret(value) or rule.weak and not _looks_random(value):
                 continue
@@ -199,7 +239,8 @@ def credentials(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def literal_values(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
     """``(id, redacted)`` for every row whose value field itself is a credential:
-    any literal but stand-ins, masks and references. Null and blank values are none."""
+    any literal but stand-ins, masks and references. Null and blank values are none.
+    The field is the whole value, so there is nothing to look for and no index."""
 
     def run(batches):
         for batch in batches:

@@ -177,7 +177,27 @@ SECRET = {
     "// <x><db_password>myThemeisColumn</db_password></x>": 1,
     "// test box: jufabu / finofoko!24": 1,
     'adminPw = "Entry_queue323?"': 1,
+    'password = "p@ss(w)0rd^1"': 1,
+    'db_password = "correct horse battery staple"': 1,
+    "PASSWORD=hunter2longone": 1,
+    "export DB_PASSWORD=S3cr3t!pass": 1,
+    '{"api_key": "abc[1]def9X"}': 1,
+    "mail: SG.ngeVfQFYQlKU0ufo8x5d1A.TwL2iGABf9DHoTf-09kqeF8tAmbihYzr": 1,
+    'api_key = "test-9fK3mZq81Lx"': 1,
+    "db.password = hunter2A!": 1,
+    "// staging login: admin : S3cr3t99x": 1,
+    "// data: {userPass: bXlFZGdlaXNSdWxl}": 1,
+    'pw = "Example.panel123!"': 1,
+    "call https://hooks.slack.com/services/T0A1B2C3D/B0A1B2C3D/abcdEFGH1234ijklMNOP56": 1,
     'const dbPassword = "${DB_PASSWORD}";': 0,
+    'api_key = "test-key-123"': 0,
+    'api_key = "your-password-here"': 0,
+    'password: "Please enter your password"': 0,
+    'password = "{password}"': 0,
+    'password = get("x1A")': 0,
+    "secret_key = settings.SECRET_KEY_2b": 0,
+    "PASSWORD=$(cat x)": 0,
+    "{password: currentValues, x}": 0,
     'password = os.environ["DB_PASSWORD"]': 0,
     "x = 'postgres://ana:${PW}@db.example/app'": 0,
     "// curl -H 'Authorization: Bearer $TOKEN' https://a.example": 0,
