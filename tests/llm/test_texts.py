@@ -278,7 +278,13 @@ FILES = {
     ("web/g_pb2.py", "x = 1"): "generated",
     ("web/minify/g.py", "x = 1"): "handwritten",
     ("lib/h.py", "data = [\n" + "0.25, 1.5, -3.25, 4.0, 5.5, 6.25, 7.0, 8.5, 9.0,\n" * 40 + "]\n"): "data",
-    ("lib/i.py", "# Copyright (c) 2019 The Foo Authors. All rights reserved.\nx = 1"): "vendored",
+    ("lib/i.py", "# Copyright (c) 2019 The Foo Authors. All rights reserved.\nx = 1"): "handwritten",  # one's own files say so too
+    ("lib/i2.py", "# Foo 1.2\n# Copyright (c) 2019 The Foo Authors. All rights reserved.\n# Mirrored from their release 1.2\nx = 1"): "vendored",
+    ("lib/i3.py", "# Upstream only fixes bugs here\nx = 1"): "handwritten",
+    ("lib/i4.py", "# Output of the schema compiler. Your changes would be overwritten.\nx = 1"): "generated",
+    ("lib/i5.py", "# Edit with care\nx = 1"): "handwritten",
+    ("lib/i6.java", "class A {\n" + "".join(f"  public int getField{i}() {{ return this.field{i}; }}\n" for i in range(20)) + "}\n"): "generated",
+    ("lib/i7.java", "class A {\n" + "".join(f"  int step{i}(int x) {{\n    {b}\n  }}\n" for i, b in enumerate(["return x;", "x++; return x + 1;", "if (x > 2) return f(x);", "while (x > 1) x /= 2;", "log(x);"])) + "}\n"): "handwritten",
     ("lib/j.py", "# Copyright 2019 our own team. Idea after a third-party paper, code is ours.\nx = 1"): "handwritten",
     ("lib/k.py", "x = 1\n\n\n\n# Code generated by hand puppets\n" + "y = 2\n" * 20): "handwritten",
     ("go.sum", "a"): "lockfile",
