@@ -5,10 +5,12 @@ Signature: the two permutations are bijections of the 32-bit numbers. The first
 applied to the result shifted circularly by k, for every coordinate k. One pair of
 permutations so gives all coordinates.
 
-Shape at scale: one Python pass over the texts makes ``bands`` 8-byte keys a text;
-texts with the same shingle set fall together before anything is paired, so exact
-copies cost one row each; the keys are joined with themselves (one exchange, used
-twice; adaptive execution splits a hot key); only candidates fetch their texts.
+Shape at scale: one Python pass over the texts makes ``bands`` 8-byte keys and the sorted
+shingle hashes of a text; texts with the same shingle set fall together before anything
+is paired, so exact copies cost one row each. Pairs join the keys with themselves (one
+exchange, used twice; adaptive execution splits a hot key) and only candidates fetch their
+shingle sets, never texts. Groups need no pairs: each bucket is first checked against its
+smallest member only, and members are paired only where that left a bucket in several groups.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signer(width: int, bands: int, rows: int):
-    schema = pa.schema([("id", pa.string()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.string()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("grams", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -73,30 +75,26 @@ def _signer(width: int, bands: int, rows: int):
             ends = np.append(sb[keep], sb[-1])
             keys = band_keys(signatures(s, ends, bands * rows), bands)
             hi, lo, n = (np.empty(len(keep), t) for t in (np.int64, np.int64, np.int32))
+            grams = []
             for r in range(len(keep)):
                 u = np.unique(s[ends[r] : ends[r + 1]])
-                hi[r], lo[r] = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64)
+                grams.append(u.tobytes())
+                hi[r], lo[r] = np.frombuffer(hashlib.blake2b(grams[-1], digest_size=16).digest(), np.int64)
                 n[r] = len(u)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)).cast(pa.string()), pa.array(hi), pa.array(lo), pa.array(n), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)).cast(pa.string()), pa.array(hi), pa.array(lo), pa.array(n), lists, pa.array(grams, pa.binary())], schema=schema)
 
-    return run, "id string, hi long, lo long, n int, keys array<long>"
+    return run, "id string, hi long, lo long, n int, keys array<long>, grams binary"
 
 
-def _verifier(width: int, threshold: float):
+def _verifier(threshold: float):
     schema = pa.schema([("a_hi", pa.int64()), ("a_lo", pa.int64()), ("b_hi", pa.int64()), ("b_lo", pa.int64()), ("jaccard", pa.float64())])
 
-    def sets(col):
-        h, bounds = tk.tokens(*tk.flat(col))
-        s, sb = tk.shingles(h, bounds, width)
-        return [np.unique(s[sb[i] : sb[i + 1]]) for i in range(len(sb) - 1)]
-
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             j = np.zeros(batch.num_rows)
-            for i, (x, y) in enumerate(zip(sets(batch.column(4)), sets(batch.column(5)))):
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 j[i] = both / max(1, len(x) + len(y) - both)
             keep = pa.array(np.flatnonzero(j >= threshold))
@@ -105,6 +103,45 @@ def _verifier(width: int, threshold: float):
     return run, "a_hi long, a_lo long, b_hi long, b_lo long, jaccard double"
 
 
+_PAIR = ["a_hi", "a_lo", "b_hi", "b_lo"]
+
+
+def _signed(df: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
+    texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    run, schema = _signer(width, bands, rows)
+    return cut(texts.mapInArrow(run, schema))
+
+
+def _members(signed: DataFrame) -> DataFrame:
+    """``(id, hi, lo)``; of an id with several texts the one of the smallest class counts."""
+    return signed.groupBy("id").agg(F.min(F.struct("hi", "lo")).alias("c")).select("id", "c.hi", "c.lo")
+
+
+def _keyed(signed: DataFrame) -> DataFrame:
+    """``(key, hi, lo, n)``: the band keys of every class."""
+    return signed.groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "hi", "lo", "n")
+
+
+def _side(keyed: DataFrame, side: str, *more: str) -> DataFrame:
+    return keyed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("hi", "lo", "n", *more)))
+
+
+def _alike_in_size(threshold: float):
+    return F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold)
+
+
+_ASCENDING = "(a_hi < b_hi or (a_hi = b_hi and a_lo < b_lo))"
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of classes whose shingle sets are alike, with their Jaccard similarity."""
+    ends = pairs.selectExpr("a_hi as hi", "a_lo as lo").union(pairs.selectExpr("b_hi", "b_lo")).distinct()
+    sets = cut(signed.select("hi", "lo", "grams").join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("grams").alias("grams")))
+    run, schema = _verifier(threshold)
+    both = pairs.join(sets.toDF("a_hi", "a_lo", "a_grams"), ["a_hi", "a_lo"]).join(sets.toDF("b_hi", "b_lo", "b_grams"), ["b_hi", "b_lo"])
+    return both.select(*_PAIR, "a_grams", "b_grams").mapInArrow(run, schema)
+
+
 def classes_and_links(df: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members(id, hi, lo)`` names each text's class of equal
     shingle sets, ``links(a_hi, a_lo, b_hi, b_lo, jaccard)`` holds every pair of
@@ -115,31 +152,11 @@ def classes_and_links(df: DataFrame, id_col: str, text_col: str, *, threshold: f
     null or empty one, has no shingles and so is in no class. Rows with a null id
     are left out; rows that repeat an id count once. Other columns are ignored.
     """
-    texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    run, schema = _signer(width, bands, rows)
-    signed = cut(texts.mapInArrow(run, schema))
-    members = signed.groupBy("id").agg(F.min(F.struct("hi", "lo")).alias("c")).select("id", "c.hi", "c.lo")
-    reps = signed.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = reps.select("hi", "lo", "n", F.explode("keys").alias("key"))
-    a, b = (keyed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("hi", "lo", "n"))) for side in "ab")
-    pairs = cut(
-        a.join(b, "key")
-        .where("(a_hi < b_hi or (a_hi = b_hi and a_lo < b_lo))")
-        .where((F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold)))
-        .select("a_hi", "a_lo", "b_hi", "b_lo")
-        .distinct()
-    )
-    ends = pairs.selectExpr("a_hi as hi", "a_lo as lo").union(pairs.selectExpr("b_hi", "b_lo")).distinct()
-    rep = ends.join(signed.groupBy("hi", "lo").agg(F.min("id").alias("id")), ["hi", "lo"])
-    content = cut(texts.join(rep, "id").groupBy("hi", "lo").agg(F.min("text").alias("text")))
-    run, schema = _verifier(width, threshold)
-    links = (
-        pairs.join(content.toDF("a_hi", "a_lo", "a_text"), ["a_hi", "a_lo"])
-        .join(content.toDF("b_hi", "b_lo", "b_text"), ["b_hi", "b_lo"])
-        .select("a_hi", "a_lo", "b_hi", "b_lo", "a_text", "b_text")
-        .mapInArrow(run, schema)
-    )
-    return members, links
+    signed = _signed(df, id_col, text_col, width, bands, rows)
+    members = _members(signed)
+    keyed = _keyed(signed.join(members.select("hi", "lo").distinct(), ["hi", "lo"], "left_semi"))
+    pairs = cut(_side(keyed, "a").join(_side(keyed, "b"), "key").where(_ASCENDING).where(_alike_in_size(threshold)).select(*_PAIR).distinct())
+    return members, _verified(pairs, signed, threshold)
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **params) -> DataFrame:
@@ -152,25 +169,37 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **params) ->
     return linked.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **params) -> DataFrame:
-    """One row per id: ``class_id`` (smallest id of its exact class), ``group_id``
-    (smallest id of the group linked texts form) and the number of other classes
-    its class is linked to. An id whose text has no shingles is its own group.
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
+    """``(id, class_id, group_id)``, one row per id: the smallest id of its exact class and
+    of the group that links between classes form. An id whose text has no shingles is its
+    own class and group. The groups are those of all links (see ``classes_and_links``).
+
+    Every class is verified against the smallest class of each of its buckets. Only where
+    that leaves a bucket in several groups are its classes paired across groups, so a
+    bucket of m near-copies costs m links, not m^2 / 2.
     """
-    members, links = classes_and_links(df, id_col, text_col, **params)
-    members = cut(members)
+    signed = _signed(df, id_col, text_col, width, bands, rows)
+    members = cut(_members(signed))
     names = members.groupBy("hi", "lo").agg(F.min("id").alias("class_id"))
-    links = cut(
-        links.join(names.toDF("a_hi", "a_lo", "src"), ["a_hi", "a_lo"]).join(names.toDF("b_hi", "b_lo", "dst"), ["b_hi", "b_lo"]).select("src", "dst")
-    )
-    group = connected_components(links, "src", "dst").toDF("class_id", "group_id")
-    degree = links.select("src").union(links.select("dst")).groupBy("src").agg(F.count("*").alias("n_links")).withColumnRenamed("src", "class_id")
+    keyed = _keyed(signed.join(names.select("hi", "lo"), ["hi", "lo"], "left_semi"))
+    keyed = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key", "left_semi"))
+    least = keyed.groupBy("key").agg(F.min(F.struct("hi", "lo", "n")).alias("a")).select("key", F.col("a.hi").alias("a_hi"), F.col("a.lo").alias("a_lo"), F.col("a.n").alias("a_n"))
+    stars = cut(least.join(_side(keyed, "b"), "key").where(_ASCENDING).where(_alike_in_size(threshold)).select(*_PAIR).distinct())
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = _verified(pairs, signed, threshold)
+        return found.join(names.toDF("a_hi", "a_lo", "src"), ["a_hi", "a_lo"]).join(names.toDF("b_hi", "b_lo", "dst"), ["b_hi", "b_lo"]).select("src", "dst")
+
+    links = cut(linked(stars))
+    group = cut(connected_components(links, "src", "dst"))
+    placed = keyed.join(names, ["hi", "lo"]).join(group.toDF("class_id", "group_id"), "class_id", "left").withColumn("g", F.coalesce("group_id", "class_id")).select("key", "hi", "lo", "n", "g")
+    open_ = placed.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("key")
+    rest = placed.join(open_, "key", "left_semi")
+    across = _side(rest, "a", "g").join(_side(rest, "b", "g"), "key").where("a_g != b_g").where(_ASCENDING).where(_alike_in_size(threshold)).select(*_PAIR).distinct()
+    across = cut(across.join(stars, _PAIR, "left_anti"))
+    if not across.isEmpty():
+        group = connected_components(cut(links.union(linked(across))), "src", "dst")
+    group = group.toDF("class_id", "group_id")
     named = members.join(names, ["hi", "lo"]).select("id", "class_id")
     every = df.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct()
-    return (
-        every.join(named, "id", "left")
-        .withColumn("class_id", F.coalesce("class_id", "id"))
-        .join(group, "class_id", "left")
-        .join(degree, "class_id", "left")
-        .select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    return every.join(named, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(group, "class_id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))

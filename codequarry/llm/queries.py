@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Class, group and number of links of every chunk."""
+    """Class of equal contents and group of near-duplicates of every chunk."""
     return near_duplicate_groups(read_table(spark, sf, "chunks"), "chunk_id", "content", threshold=0.7, width=3).withColumnRenamed("id", "chunk_id")
 
 

@@ -98,6 +98,29 @@ def test_near_duplicates(spark, width, floor):
     assert groups["d000"].class_id == "d000" == groups[f"d{len(texts) - 6:03d}"].class_id
 
 
+def test_an_id_with_two_texts_counts_once(spark):
+    r = random.Random(6)
+    a, b = words(r, 60), words(r, 60)
+    df = spark.createDataFrame([("x", a), ("x", b), ("y", a + " tail"), ("z", b + " tail")], "doc string, content string")
+    pairs = nd.near_duplicate_pairs(df, "doc", "content").collect()
+    assert len(pairs) == 1 and "x" in (pairs[0].id_a, pairs[0].id_b)
+    assert len({g.group_id for g in nd.near_duplicate_groups(df, "doc", "content").collect()}) == 2
+
+
+def test_chained_copies_are_one_group(spark):
+    """Each text is like the next one only, so a bucket's smallest member is no witness for all."""
+    r = random.Random(4)
+    w = words(r, 400).split()
+    rows = [(f"c{i:02d}", " ".join(w[i * 6 : i * 6 + 120])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc string, content string")
+    pairs = {(p.id_a, p.id_b) for p in nd.near_duplicate_pairs(df, "doc", "content").collect()}
+    top = {k: k for k, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    assert {g.id: g.group_id for g in nd.near_duplicate_groups(df, "doc", "content").collect()} == top and len(set(top.values())) == 1
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc string, content string")
     assert nd.near_duplicate_pairs(none, "doc", "content").count() == 0
