@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators.components import connected_components
-from codequarry.operators.flatten import entities, flatten, parse, parse_deep, tables
+from codequarry.operators.flatten import entities, flatten, parse, parse_deep, tables, tightest
 from codequarry.operators.hierarchy import descendants, hierarchy, reach
 from codequarry.plans import graphs
 
@@ -171,12 +171,44 @@ def test_flatten_keeps_the_fields_of_graphs_and_blocks(spark):
     assert (b.cond, b.code, b.lines) == ("x > 1", ["a()", "b()"], [4, 6]) and (bare.cond, bare.code, bare.lines) == (None, None, None)
     assert sorted((r.block_seq, r.at, r.line) for r in got["block_lines"]) == [(1, 0, 4), (1, 1, 6), (3, 0, 4), (3, 1, 6)]
     first, second = sorted(got["graphs"], key=lambda r: r.seq)
-    assert tuple(first)[5:] == ("f", "a.go", 3, 9, 0, 2, "go", "T", ["n"]) and first.parent_seq == 0
+    assert tuple(first)[6:] == ("f", "a.go", 3, 9, 0, 2, "go", "T", ["n"]) and first.parent_seq == 0
     held = [[r.seq for r in got["blocks"] if g.pre < r.pre and r.post < g.post] for g in (first, second)]
     assert [sorted(h) for h in held] == [[1, 2], [3, 4]]
+    assert [[r.seq for r in sorted(got["blocks"], key=lambda r: r.seq) if r.parent_pre == g.pre] for g in (first, second)] == [[1, 2], [3, 4]]
+    assert [r.pre for r in got["records"]] == [first.parent_pre] == [second.parent_pre]
     assert flatten(df, "record_id", "payload").where("entity = 'graph'").isEmpty()
 
 
+def test_labels_alone_link_rows():
+    r = random.Random(3)
+    for _ in range(30):
+        clock, pre, post, up, stack = 0, [], [], [], []
+        for _ in range(60):
+            clock += 1
+            if stack and r.random() < 0.45:
+                post[stack.pop()] = clock
+            else:
+                up.append(stack[-1] if stack else -1)
+                stack.append(len(pre))
+                pre.append(clock)
+                post.append(0)
+        for i in reversed(stack):
+            clock += 1
+            post[i] = clock
+        assert tightest(pre, post) == up
+
+
+def test_odd_values_in_payloads(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    rows = [(1, '{"blocks": [{"id": NaN}]}'), (2, '{"blocks": [{"kind": ' + deep + ', "id": 1}]}'), (3, '{"blocks": [{"id": 9000000000, "lines": [5000000000]}]}'), (4, '{"trace": 1, "callers": [{"caller": "x"}], "symbol": {"name": "s"}}'), (5, '{"root": [{"name": "a"}, {"name": "b"}], "entryPoint": "a"}')]
+    got = {(r.id, r.entity, r.seq): r for r in flatten(spark.createDataFrame(rows, "record_id long, payload string"), "record_id", "payload", headers=True).collect()}
+    assert not [k for k in got if k[0] == 1]
+    assert got[2, "block", 1].name == deep and got[2, "block", 1].src == 1
+    assert got[3, "block", 1].src == 9_000_000_000 and got[3, "block", 1].lines == [5_000_000_000]
+    assert got[4, "trace", 1].name == "s" and got[4, "caller", 1].parent_pre == got[4, "trace", 1].pre
+    assert got[5, "flow", 1].name == "a" and got[5, "flow_node", 2].parent_seq == 0 and got[5, "flow_node", 2].parent_pre == got[5, "flow", 1].pre
+
+
 def test_deep_json():
     text = '{"root":' + '{"name":"n","children":[' * 20000 + "]}" * 20000 + "}"
     assert len(entities(parse(text))) == 20000
