@@ -51,23 +51,31 @@ def normal_label(label: Column) -> Column:
 
 def blocks(raw: bytes) -> list[tuple[int, int, int]]:
     """(number, start, end) of every block of prose; blocks are separated by blank
-    lines and counted from 1, fenced code counts but is left out."""
-    out, at, number, fence = [], 0, 0, b""
+    lines and counted from 1, fenced code counts but is left out. A fence that is never
+    closed takes its own block only."""
+    parts, at = [], 0
     for end, nxt in [*((m.start(), m.end()) for m in _BREAK.finditer(raw)), (len(raw), len(raw))]:
-        part = raw[at:end].strip()
-        if part:
-            mark = part[:3] if part[:3] in (b"```", b"~~~") else b""
-            if fence:
-                if fence in part:
-                    fence = b""
-            else:
-                number += 1
-                if mark:
-                    if part.count(mark) % 2:
-                        fence = mark
-                else:
-                    out.append((number, at, end))
+        if raw[at:end].strip():
+            parts.append((at, end))
         at = nxt
+    last = {}  # of each fence mark, the last block that has it
+    for i, (s, e) in enumerate(parts):
+        for mark in (b"```", b"~~~"):
+            if mark in raw[s:e]:
+                last[mark] = i
+    out, number, fence = [], 0, b""
+    for i, (s, e) in enumerate(parts):
+        part = raw[s:e].strip()
+        if fence:
+            if fence in part:
+                fence = b""
+            continue
+        number += 1
+        mark = part[:3]
+        if mark not in (b"```", b"~~~"):
+            out.append((number, s, e))
+        elif part.count(mark) % 2 and last[mark] > i:
+            fence = mark
     return out
 
 
@@ -120,22 +128,16 @@ class Model:
 
     scale = np.float32(40.0)
 
-    def __init__(self, texts: list[bytes], labels: list[str]):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        buf, starts = spans_of(data, np.stack([ends - [len(t) for t in texts], ends], 1)) if texts else (np.zeros(3, np.uint8), np.zeros(0, np.int64))
-        x = np.zeros((len(texts), 1 << BITS), np.float32)
-        g = grams(buf)
-        edges = np.append(starts, len(buf))
-        for i in range(len(texts)):
-            c = np.bincount(g[edges[i] : max(edges[i], edges[i + 1] - 2)], minlength=1 << BITS)
-            x[i] = c * (self.scale / max(1, c.sum()))
-        self.known = tuple(sorted(set(labels) & set(LANGUAGES)))
-        self.families = {f: tuple(m for m in ms if m in self.known) for f, ms in FAMILIES.items() if set(ms) & set(self.known)}
-        lab = np.array(labels, dtype="U8")
-        known = np.isin(lab, self.known)
-        if not known.all():
-            x, lab = x[known], lab[known]
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str]):
+        """``counts`` has (trigram hashes, how often) of each text. A label outside the
+        known families is a family of its own."""
+        x = np.zeros((len(counts), 1 << BITS), np.float32)
+        for i, (g, c) in enumerate(counts):
+            x[i, g] = c * (self.scale / max(1, c.sum()))
+        self.known = tuple(sorted(set(labels)))
+        families = FAMILIES | {m: (m,) for m in self.known if m not in LANGUAGES}
+        self.families = {f: own for f, ms in families.items() if (own := tuple(m for m in ms if m in self.known))}
+        lab = np.array(labels, dtype="U16")
         # each half is judged by a fit on the other one, so a wrong label cannot vouch
         # for itself; rows that are denied are left out of the last fit
         keep, half = np.ones(len(lab), bool), np.arange(len(lab)) % 2
@@ -169,7 +171,7 @@ class Model:
     def _decide(self, top: np.ndarray, duels) -> tuple[np.ndarray, np.ndarray]:
         """duels(family, rows) gives the pair margins of those rows."""
         best = top.argmax(1)
-        lang, conf = np.full(len(top), "", "U8"), 1 / (1 + np.exp(-3 * top.max(1, initial=-9)))
+        lang, conf = np.full(len(top), "", "U16"), 1 / (1 + np.exp(-3 * top.max(1, initial=-9)))
         for k, f in enumerate(self.names):
             rows = np.flatnonzero(best == k)
             if not len(rows):
@@ -199,7 +201,7 @@ class Model:
     def classify(self, data: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and confidence of every span of the bytes."""
         if not len(spans) or not self.names:
-            return np.full(len(spans), "", "U8"), np.zeros(len(spans))
+            return np.full(len(spans), "", "U16"), np.zeros(len(spans))
 
         def margins(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
             out = np.empty((len(rows), w.shape[1]), np.float32)
@@ -219,28 +221,50 @@ class Model:
         return self._decide(margins(self.top, every), lambda f, r: margins(self.duel[f], r))
 
 
-def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = 200) -> Model:
-    """A model fitted on at most ``per_language`` documents of each known label,
-    chosen by hash; each gives its longest block of prose."""
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), normal_label(F.col(label_col)).alias("lang")).where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
+def gram_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram hashes, how often each occurs) of a text; at most 2^BITS entries however long it is."""
+    buf, _ = spans_of(np.frombuffer(raw, np.uint8), np.array([[0, len(raw)]]))
+    return np.unique(grams(buf), return_counts=True)
+
+
+def _longest(batches):
+    schema = pa.schema([("id", pa.string()), ("lang", pa.string()), ("gram", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+    for batch in batches:
+        out: dict = {f.name: [] for f in schema}
+        for key, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = text.encode()
+            best = max(blocks(raw), key=lambda b: b[2] - b[1], default=None)
+            if best:
+                g, c = gram_counts(raw[best[1] : best[2]])
+                for name, v in zip(out, (key, lang, g, c)):
+                    out[name].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+
+def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = 200, least_share: float = 0.001) -> Model:
+    """A model fitted on at most ``per_language`` documents of each label, chosen by hash;
+    each gives its longest block of prose, whole: what comes here is its trigram counts,
+    at most 2^BITS numbers a document. Besides the languages of ``FAMILIES`` every label
+    of at least 50 documents and ``least_share`` of the labelled ones is a language."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), normal_label(F.col(label_col)).alias("lang")).where("lang is not null and text is not null and id is not null")
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    least = max(50, least_share * (counted.agg(F.sum("n")).first()[0] or 0))
+    labels = [r.lang for r in counted.where(F.col("lang").isin(*LANGUAGES) | (F.col("n") >= least)).select("lang").collect()]  # at most 1 / least_share more
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang")
-    texts, labels = [], []
-    for r in rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang").dropDuplicates(["id"]).orderBy("id").collect():  # bounded by per_language
-        raw = r.text.encode()
-        best = max(blocks(raw), key=lambda b: b[2] - b[1], default=None)
-        if best:
-            texts.append(raw[best[1] : best[2]][:20000])
-            labels.append(r.lang)
-    return Model(texts, labels)
-
-
-def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_language: int = 200, foreign_confidence: float = 0.57, related_confidence: float = 0.75, model: Model | None = None) -> DataFrame:
+    picked = rows.where(F.col("lang").isin(labels)).select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang")
+    sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang").mapInArrow(_longest, "id string, lang string, gram array<int>, times array<long>")
+    got = {r.id: r for r in sample.orderBy("id").collect()}  # bounded by per_language
+    return Model([(np.array(r.gram, np.int64), np.array(r.times)) for r in got.values()], [r.lang for r in got.values()])
+
+
+def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_language: int = 200, foreign_confidence: float = 2 / 3, related_confidence: float = 0.75, least_confidence: float = 0.3, model: Model | None = None) -> DataFrame:
     """``(id, block_no, lang, confidence, label)``.
 
     ``block_no`` 0 is the document's main language (of most of its prose); a row
     with a number above 0 is a block in another language than the main one, held
-    with ``foreign_confidence`` or more.
+    with ``foreign_confidence`` or more (two to one), within a family
+    ``related_confidence``. A main language held with less than ``least_confidence`` is
+    ``und``: none of the languages learned.
     ``label`` is the normalised given label. A document without prose (null,
     empty or code only) gives no row, nor does a row with a null id; repeated rows
     count once. Other columns are ignored.
@@ -249,11 +273,10 @@ def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_
     shared = spark.sparkContext.broadcast(model or train(df, text_col, label_col, id_col, per_language))
     kind = df.schema[id_col].dataType.simpleString()
 
-    codes = np.array(["", *LANGUAGES])
-    family = np.array([-1, *(next(i for i, ms in enumerate(FAMILIES.values()) if x in ms) for x in LANGUAGES)])
-
     def run(batches):
         m = shared.value
+        codes = np.array(["", *m.known])
+        family = np.array([-1, *(next(i for i, ms in enumerate(m.families.values()) if x in ms) for x in m.known)])
         for batch in batches:
             data, off = flat(batch.column(1))
             raw = data.tobytes()
@@ -273,12 +296,14 @@ def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_
             share = right / np.maximum(1, weight[np.arange(len(main)), main])
             related = family[li] == family[main[doc]]
             odd = np.flatnonzero((li != main[doc]) & (conf >= np.where(related, related_confidence, foreign_confidence)))
+            odd = odd[share[doc[odd]] >= least_confidence]
             who = np.concatenate([has, doc[odd]])
+            mains = np.where(share[has] < least_confidence, "und", codes[main[has]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(who)),
                     pa.array(np.concatenate([np.zeros(len(has), np.int64), number[odd]]), pa.int32()),
-                    pa.array(np.concatenate([codes[main[has]], lang[odd]]).tolist(), pa.string()),
+                    pa.array(np.concatenate([mains, lang[odd]]).tolist(), pa.string()),
                     pa.array(np.concatenate([share[has], conf[odd]])),
                     batch.column(2).take(pa.array(who)),
                 ],

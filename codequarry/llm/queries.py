@@ -112,7 +112,7 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """True language where the label is missing or wrong, and of every foreign block."""
     said = languages(read_table(spark, sf, "documents"), "doc_id", "text", "lang")
-    return said.where("block_no > 0 or label is null or label != lang").select(F.col("id").alias("doc_id"), "block_no", "lang")
+    return said.where("lang != 'und' and (block_no > 0 or label is null or label != lang)").select(F.col("id").alias("doc_id"), "block_no", "lang")
 
 
 def p10_languages(spark: SparkSession, sf: str) -> DataFrame:

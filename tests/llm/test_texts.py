@@ -432,6 +432,24 @@ def test_blocks():
     text = b"\n\none\nmore\n \n```go\n\nx := 1\n\n```\n\r\ntwo\n\n\n\nthree"
     assert [(n, text[a:b].strip()) for n, a, b in lg.blocks(text)] == [(1, b"one\nmore"), (3, b"two"), (4, b"three")]
     assert lg.blocks(b"") == [] and lg.blocks(b"```\nx\n```") == []
+    assert [n for n, _, _ in lg.blocks(b"one\n\n```go\nx := 1\n\ntwo\n\nthree")] == [1, 3, 4]  # never closed
+
+
+def test_a_label_beyond_the_families_is_learned(spark):
+    r = random.Random(9)
+    fi = "tämä tiedosto luetaan uudelleen kun kansio muuttuu ja vanhat palaset poistetaan ennen kuin haku käynnistyy jokaisen muutoksen jälkeen"
+    rows = [(len(SENTENCES) * k + i, shuffled(r, t), lang) for k in range(12) for i, (lang, t) in enumerate(SENTENCES.items())]
+    rows += [(10_000 + k, shuffled(r, fi), "fi") for k in range(60)] + [(20_000, shuffled(r, fi), None)]
+    got = {x.id: x for x in lg.languages(spark.createDataFrame(rows, "doc long, body string, lang string"), "doc", "body", "lang").where("block_no = 0").collect()}
+    assert got[20_000].lang == "fi"
+    known = spark.createDataFrame([x for x in rows if x[2] != "fi"], "doc long, body string, lang string")
+    doubtful = {x.id: x for x in lg.languages(known, "doc", "body", "lang", least_confidence=0.99).where("block_no = 0").collect()}
+    assert doubtful[20_000].lang == "und"
+
+
+def test_training_sees_whole_blocks():
+    a, b = lg.gram_counts(b"abc " * 20_000 + b"qqq")
+    assert b.sum() == 4 * 20_000 + 3 + 1 and len(a) <= 1 << lg.BITS
 
 
 def test_languages(spark):
