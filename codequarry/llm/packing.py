@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.textkernels import flat
 from codequarry.session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 #: Fixed value: how the vocabulary's tokenizer splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -58,7 +58,7 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks with cosine 0.9 or more, one among the other's five nearest."""
-    near = most_similar(read_table(spark, sf, "chunks"), "chunk_id", "vector", 5, min_cosine=0.9, probes=8)
+    near = most_similar(read_table(spark, sf, "chunks"), "chunk_id", "vector", 5, min_cosine=0.9)
     return near.select(F.least("query_id", "neighbour_id").alias("chunk_id_a"), F.greatest("query_id", "neighbour_id").alias("chunk_id_b")).distinct()
 
 

@@ -1,11 +1,16 @@
 """k most similar vectors of every vector: inverted file, product-quantised
 residuals, asymmetric distance tables, exact reranking.
 
-Coarse centroids and codebooks are fitted on a bounded sample (``train_rows``, a
-parameter); every vector is indexed. Both sides are cut into blocks: a cell with
-many vectors is split by salts on the stored and on the asking side, so no task
-holds more than ``block`` stored vectors of a cell, however hot the cell is.
-Vectors that are equal are indexed once and expanded at the end.
+The coarse centroids have two levels: a few on top, fitted here on a bounded sample, and
+below each of them its own, fitted by one task each on a bounded sample of its vectors. So
+the number of cells grows with the rows, a cell stays at about ``list_rows`` vectors up to
+``max_lists`` cells (the bound of what is broadcast), and a vector is compared with the
+centroids of a few top cells only. Every vector is indexed. Both sides are cut into blocks:
+a cell with many vectors is split by salts on the stored and on the asking side, so no task
+holds more than ``block`` stored vectors of a cell, however hot the cell is. Reranking
+happens in the cell, where the vectors are: sending each once costs far less than fetching
+a pool of them for every asking vector. Vectors that are equal are indexed once and
+expanded at the end.
 """
 
 from __future__ import annotations
@@ -55,13 +60,36 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and residual codebooks."""
-
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.cells = kmeans(sample, lists)
-        res = sample - self.cells[nearest(sample, self.cells, 1)[:, 0]]
+    """Two levels of coarse centroids, and residual codebooks."""
+
+    def __init__(self, tops: np.ndarray, cells: np.ndarray, top_of: np.ndarray, sample: np.ndarray, visit: int):
+        order = np.argsort(top_of, kind="stable")
+        self.tops, self.cells, self.visit = tops, np.ascontiguousarray(cells[order]), min(visit, len(tops))
+        self.first = np.searchsorted(top_of[order], np.arange(len(tops) + 1))
+        self.half = (self.cells * self.cells).sum(1) / 2
+        res = sample - self.cells[self.near(sample, 1)[:, 0]]
         self.books = np.stack([kmeans(np.ascontiguousarray(s), CODES, 6) for s in np.split(res, SUBSPACES, axis=1)])
 
+    def near(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Row i: up to k cells nearest to x[i] among those of its nearest top cells, nearest
+        first; -1 fills a row of fewer."""
+        best, cell = np.full((len(x), k), np.inf, np.float32), np.full((len(x), k), -1, np.int32)
+        tops = nearest(x, self.tops, self.visit)
+        who, which = np.repeat(np.arange(len(x)), self.visit), tops.ravel()
+        order = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[order], np.arange(len(self.tops) + 1))
+        for t in np.flatnonzero(np.diff(bounds) * np.diff(self.first)):
+            lo, hi = self.first[t], self.first[t + 1]
+            rows = who[order[bounds[t] : bounds[t + 1]]]
+            for i in range(0, len(rows), 1024):
+                r = rows[i : i + 1024]
+                d = np.concatenate([best[r], self.half[lo:hi] - x[r] @ self.cells[lo:hi].T], axis=1)
+                c = np.concatenate([cell[r], np.broadcast_to(np.arange(lo, hi, dtype=np.int32), (len(r), hi - lo))], axis=1)
+                p = np.argpartition(d, k - 1, axis=1)[:, :k]
+                best[r], cell[r] = np.take_along_axis(d, p, 1), np.take_along_axis(c, p, 1)
+        p = np.argsort(best, axis=1, kind="stable")
+        return np.take_along_axis(cell, p, 1)
+
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         res = x - self.cells[cell]
         return np.stack([nearest(np.ascontiguousarray(s), b, 1)[:, 0] for s, b in zip(np.split(res, SUBSPACES, axis=1), self.books)], axis=1).astype(np.uint8)
@@ -122,13 +150,14 @@ def _router(index: Index, dim: int, probes: int, splits: np.ndarray, base: bool)
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             raw = _matrix(batch.column(1), 4 * dim)
             x = _floats(raw, dim)
-            cell = nearest(x, index.cells, 1 if base else min(probes, len(index.cells)))
+            cell = index.near(x, 1 if base else min(probes, len(index.cells)))
             data = np.zeros((len(x), width), np.uint8)
             data[:, : 4 * dim] = raw
             if base:
                 data[:, 4 * dim :] = index.encode(x, cell[:, 0])
             own = (rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             rows, cells = np.repeat(np.arange(len(x)), cell.shape[1]), cell.ravel().astype(np.int64)
+            rows, cells = rows[cells >= 0], cells[cells >= 0]
             n = splits[cells]
             rows, cells, salts = np.repeat(rows, n), np.repeat(cells, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             mine = own[rows] % splits[cells]
@@ -186,11 +215,12 @@ def most_similar(
     dim: int = 64,
     min_cosine: float | None = None,
     queries: Column | None = None,
-    probes: int = 16,
+    probes: int = 8,
     pool_factor: int = 12,
     list_rows: int = 256,
-    max_lists: int = 4096,
-    train_rows: int = 65536,
+    max_lists: int = 1 << 18,
+    visit: int = 8,
+    train_rows: int = 16384,
     block: int = 4096,
 ) -> DataFrame:
     """``(query_id, neighbour_id, cosine, rank)``: up to k neighbours of each vector.
@@ -201,8 +231,10 @@ def most_similar(
     below it cannot displace one above it). ``queries`` restricts the asking rows
     by a condition on the id column; all rows stay searchable. An empty table
     gives an empty result. Approximate: a neighbour is missed if its cell is not
-    among the ``probes`` nearest ones or the coded distance ranks it below
-    ``pool_factor * k`` of its cell.
+    among the ``probes`` nearest ones of the ``visit`` nearest top cells or the coded
+    distance ranks it below ``pool_factor * k`` of its cell. The top level and the
+    codebooks are fitted on about ``train_rows`` vectors chosen by hash, the cells below
+    a top cell on up to 200 vectors a cell.
     """
     if dim % SUBSPACES:
         raise ValueError(f"dim must be a multiple of {SUBSPACES}")
@@ -216,16 +248,42 @@ def most_similar(
     if not n:
         return spark.createDataFrame([], out)
     lists = int(np.clip(n // list_rows, 1, max_lists))
-    # a hash share, not an ordered limit: that would send every partition's first rows here
-    share = min(1.0, min(train_rows, max(8192, 48 * lists)) / n)
-    rows = reps.where(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("vec").collect() if share < 1 else reps.select("vec").collect()
-    index = Index(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, dim), lists)
-    shared = spark.sparkContext.broadcast(index)  # at most max_lists centroids and 8 x 256 codes
+    n_tops = max(1, round(lists**0.5 / 2))
+    ticket = F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 30))
+
+    def drawn(rows: float):  # a hash share, not an ordered limit: that would send every partition's first rows here
+        return reps.where(ticket < F.lit(int(min(1.0, rows / n) * (1 << 30))))
+
+    sample = np.frombuffer(b"".join(bytes(r.vec) for r in drawn(train_rows).select("vec").collect()), np.float32).reshape(-1, dim)
+    if not len(sample):
+        sample = np.frombuffer(bytes(reps.select("vec").first().vec), np.float32).reshape(-1, dim)
+    tops = kmeans(sample, n_tops)
+    upper = spark.sparkContext.broadcast(tops)
+    per_top = 48 * -(-lists // n_tops)
+
+    def place(batches):
+        for batch in batches:
+            top = nearest(_floats(_matrix(batch.column(1), 4 * dim), dim), upper.value, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(top), batch.column(0), batch.column(1)], names=["top", "ticket", "vec"])
+
+    def fit(key, table):
+        x = _floats(_matrix(table.column("vec").combine_chunks(), 4 * dim), dim)
+        c = kmeans(x, max(1, len(x) // 48))
+        return pa.table({"top": pa.array(np.full(len(c), key[0].as_py(), np.int32)), "vec": pa.array([v.tobytes() for v in c], pa.binary())})
+
+    placed = drawn(48.0 * lists).select(ticket.alias("ticket"), "vec").mapInArrow(place, "top int, ticket long, vec binary")
+    few = placed.withColumn("r", F.row_number().over(Window.partitionBy("top").orderBy("ticket"))).where(F.col("r") <= 4 * per_top).select("top", "vec")
+    below = few.groupBy("top").applyInArrow(fit, "top int, vec binary").collect()  # at most about max_lists rows
+    cells, top_of = np.frombuffer(b"".join(bytes(r.vec) for r in below), np.float32).reshape(-1, dim), np.array([r.top for r in below], np.int64)
+    if not len(cells):
+        cells, top_of = tops, np.arange(len(tops))
+    index = Index(tops, cells, top_of, sample, visit)
+    shared = spark.sparkContext.broadcast(index)  # at most about max_lists centroids and 8 x 256 codes
 
     def homes(batches):
         for batch in batches:
-            cells = nearest(_floats(_matrix(batch.column(0), 4 * dim), dim), shared.value.cells, 1)[:, 0]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.astype(np.int32))})
+            cells = shared.value.near(_floats(_matrix(batch.column(0), 4 * dim), dim), 1)[:, 0]
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells)})
 
     splits = np.ones(len(index.cells), np.int64)
     for r in reps.select("vec").mapInArrow(homes, "cell int").groupBy("cell").count().collect():  # a row per centroid

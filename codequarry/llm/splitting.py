@@ -24,7 +24,7 @@ BYTES_PER_TOKEN, DEFAULT_SIZE, DEFAULT_OVERLAP = 4, 512, 50
 _SYMBOL = re.compile(
     rb"^[ \t]{0,4}(?:@[\w.]+[^\n]*\n[ \t]*)*(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|pub(?:\([a-z]+\))?|unsafe|extern|inline|const|override|virtual|sealed)[ \t]+)*"
     rb"(?:(?:func|def|fn|function|fun|class|struct|enum|trait|interface|impl|module|namespace|type|record|object|protocol|extension|sub|procedure|proc)\b[ \t*]*(?:\([^)\n]*\)[ \t]*)?([A-Za-z_]\w*)?"
-    rb"|CREATE[ \t]+(?:OR[ \t]+REPLACE[ \t]+)?(?:TABLE|VIEW|FUNCTION|PROCEDURE|INDEX|TRIGGER)[ \t]+([\w.]+)|--[ \t]*block[ \t]+(\w+)"
+    rb"|CREATE[ \t]+(?:OR[ \t]+REPLACE[ \t]+)?(?:TABLE|VIEW|FUNCTION|PROCEDURE|INDEX|TRIGGER)[ \t]+([\w.]+)"
     rb"|(?:[A-Za-z_][\w<>,\[\]]*[ \t*]+)+([A-Za-z_]\w*)[ \t]*\([^;{}\n]*\)[ \t]*(?:throws[ \t]+[\w, ]+)?(?:\{|\r?\n\{)|([A-Za-z_]\w*)[ \t]*\(\)[ \t]*\{|([A-Za-z_][\w-]*):[ \t]*\r?$)",
     re.M,
 )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.llm.similar_vectors import Index, most_similar
+from codequarry.llm.similar_vectors import Index, kmeans, most_similar, nearest
 
 
 def data(seed=0, n=1500):
@@ -74,12 +74,14 @@ def test_few_or_none(spark):
 
 def test_asymmetric_distance():
     x = data(3, 600)
-    index = Index(x, 4)
+    index = Index(x[:2], kmeans(x, 6), np.array([1, 0, 1, 0, 1, 1]), x, 2)
     d = np.stack([((x[0] - y) ** 2).sum() for y in x])
     r = x[0] - index.cells
     cell = int((r**2).sum(1).argmin())
-    from codequarry.llm.similar_vectors import nearest
-
+    brute = nearest(x, index.cells, 3)
+    assert (index.near(x, 3) == brute).all()  # all top cells are visited
+    some = Index(x[:2], index.cells, np.array([0, 0, 1, 1, 1, 1]), x, 1).near(x, 3)
+    assert (some[:, 0] >= 0).all() and (some[:, 2] == -1).any() and (np.sort(some, 1)[:, 1:] != np.sort(some, 1)[:, :-1])[some.min(1) >= 0].all()
     own = np.flatnonzero(nearest(x, index.cells, 1)[:, 0] == cell)
     codes = index.encode(x[own], np.full(len(own), cell))
     est = index.distances(x[:1], cell, codes)[0] + ((x[0] - index.cells[cell]) ** 2).sum()
