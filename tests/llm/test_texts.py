@@ -17,6 +17,7 @@ from codequarry.llm import packing as pk
 from codequarry.llm import splitting as sp
 from codequarry.llm import textkernels as tk
 from codequarry.llm import trigrams
+from codequarry.llm.queries import TOKENIZER
 
 WORDS = [f"{a}{b}" for a in ("load", "store", "merge", "split", "Über", "count") for b in ("Chunk", "_vector", "Path7", "queue", "edge")]
 
@@ -345,17 +346,17 @@ def test_pack(spark):
     r = random.Random(4)
     rows = [(i, words(r, r.choice([3, 40, 200, 600]))) for i in range(300)] + [(1000, ""), (1001, None), (1002, words(r, 4000)), (None, "x"), (0, "shorter")]
     df = clash(spark.createDataFrame(rows, "doc_id long, body string"))
-    got = pk.pack_documents(df, "doc_id", "body", capacity=512, part_tokens=20_000).toPandas()
-    sizes = pk.token_counts(df, "doc_id", "body").groupBy("id").agg(F.max("n_tokens").alias("n")).toPandas().set_index("id")["n"]
+    got = pk.pack_documents(df, "doc_id", "body", capacity=512, part_tokens=20_000, tokenizer=TOKENIZER).toPandas()
+    sizes = pk.token_counts(df, "doc_id", "body", TOKENIZER).groupBy("id").agg(F.max("n_tokens").alias("n")).toPandas().set_index("id")["n"]
     assert (got.groupby(["part", "context"])["n_tokens"].sum() <= 512).all()
     assert got.groupby("id")["n_tokens"].sum().to_dict() == sizes.to_dict()
     pieces = got.groupby("id").size()
     assert set(pieces[pieces > 1].index) == set(sizes[sizes > 512].index)
     assert set(got["id"]) == {*range(300), 1000, 1001, 1002}
-    again = pk.pack_documents(df.repartition(7), "doc_id", "body", capacity=512, part_tokens=20_000).toPandas()
+    again = pk.pack_documents(df.repartition(7), "doc_id", "body", capacity=512, part_tokens=20_000, tokenizer=TOKENIZER).toPandas()
     key = ["id", "piece"]
     assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
-    assert pk.pack_documents(df.limit(0), "doc_id", "body").count() == 0
+    assert pk.pack_documents(df.limit(0), "doc_id", "body", tokenizer=TOKENIZER).count() == 0
 
 
 # -- leaks
