@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.scalars import basename, directory, line_count
 from codequarry.operators.languages import LANGUAGES
+from codequarry.operators.symbols import language_of
 from codequarry.session import cut
 
 
@@ -24,35 +25,90 @@ def kinds_per_package(symbols: DataFrame) -> DataFrame:
     )
 
 
-#: Import lines by language family; group 1 is the target.
-IMPORT_PATTERNS = (
-    r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w.~-]+(?:/[\w.~-]+)*)\"\s*$",
-    r"^\s*from\s+([\w.]+)\s+import\b",
-    r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*;?\s*$",
-    r"^\s*import\s.*?from\s+['\"]([^'\"]+)['\"]",
-    r"^\s*(?:const|let|var)\s.*?require\(\s*['\"]([^'\"]+)['\"]",
-    r"^\s*#include\s+[<\"]([^>\"]+)",
-    r"^\s*use\s+([\w:]+)",
-)
+#: Import statements outside blocks, from each language's grammar; group 1 is the target.
+IMPORT_STATEMENTS = {
+    "go": (r"^\s*import\s+(?:[\w.]+\s+)?[\"`]([^\"`]+)",),
+    "python": (r"^\s*from\s+([\w.]+)\s+import\b", r"^\s*import\s+([\w.]+)"),
+    "javascript": (r"^\s*(?:import|export)\b[^'\"]*\bfrom\s*['\"]([^'\"]+)", r"^\s*import\s*['\"]([^'\"]+)", r"\brequire\(\s*['\"]([^'\"]+)"),
+    "java": (r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;",),
+    "kotlin": (r"^\s*import\s+([\w.]+)",),
+    "rust": (r"^\s*(?:pub\s+)?use\s+([\w:]+)",),
+    "c": (r"^\s*#\s*include\s*[<\"]([^>\"]+)",),
+    "ruby": (r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)",),
+    "php": (r"^\s*use\s+([\w\\\\]+)\s*[;,]",),
+}
+_SAME_IMPORTS = {"typescript": "javascript", "python2": "python", "cpp": "c", "groovy": "java"}
+
+
+def import_target(text: Column, language: Column) -> Column:
+    """Target of an import statement that stands on one line; null for other lines."""
+    out = F.lit(None).cast("string")
+    for name, patterns in {**IMPORT_STATEMENTS, **{k: IMPORT_STATEMENTS[v] for k, v in _SAME_IMPORTS.items()}}.items():
+        hits = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns]
+        out = F.when(language == name, F.coalesce(*hits)).otherwise(out)
+    return out
 
 
-def import_target(text: Column) -> Column:
-    out = None
-    for p in IMPORT_PATTERNS:
-        hit = F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-        out = hit if out is None else F.coalesce(out, hit)
-    return out
+def block_imports(lines: DataFrame) -> DataFrame:
+    """``(path, line, target)`` of quoted paths inside Go's ``import ( ... )`` blocks. A line
+    is inside where more blocks were opened than closed before it."""
+    go = lines.where(F.col("path").endswith(".go"))
+    opens, closes = F.col("text").rlike(r"^\s*import\s*\(\s*(?://.*)?$"), F.col("text").rlike(r"^\s*\)")
+    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(before)
+    inside = go.withColumn("_in", F.coalesce(state, F.lit(False))).where("_in")
+    return inside.select("path", "line", F.nullif(F.regexp_extract("text", r"^\s*(?:[\w.]+\s+)?[\"`]([^\"`]+)[\"`]\s*(?://.*)?$", 1), F.lit("")).alias("target")).where("target is not null")
+
+
+def last_segments(path: Column, n: int) -> Column:
+    """The last ``n`` parts of an imported path, whatever separates them."""
+    parts = F.split(path, r"[/.\\\\]|::")
+    return F.concat_ws("/", F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n))
 
 
 def import_edges(lines: DataFrame, segments: int = 2) -> DataFrame:
     """Distinct ``(from_pkg, to_pkg)`` without self edges; a target is the last
-    ``segments`` parts of the imported path."""
-    go = F.col("path").endswith(".go")
-    block = go & F.col("text").rlike(r"^\s*(?:import\s|\"|[\w.]+ \")")
-    hit = lines.where(block | ~go & F.col("text").rlike(r"^\s*(?:import|from|use|#\s*include|const|let|var)\b")).select("path", import_target(F.col("text")).alias("target")).where("target is not null")
-    parts = F.split("target", r"[/.]|::")
-    to = F.concat_ws("/", F.slice(parts, F.greatest(F.size(parts) - segments + 1, F.lit(1)), segments))
-    return hit.select(directory(F.col("path")).alias("from_pkg"), to.alias("to_pkg")).where("from_pkg != to_pkg").distinct()
+    ``segments`` parts of the imported path. Go's import blocks are followed line by line."""
+    single = lines.select("path", import_target(F.col("text"), language_of(F.col("path"))).alias("target")).where("target is not null")
+    hit = single.union(block_imports(lines).select("path", "target"))
+    return hit.select(directory(F.col("path")).alias("from_pkg"), last_segments(F.col("target"), segments).alias("to_pkg")).where("from_pkg != to_pkg").distinct()
+
+
+def module_path(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """``(module)`` of each ``go.mod``: the path its module line declares."""
+    return files.where(basename(F.col(path_col)) == "go.mod").select(F.nullif(F.regexp_extract(text_col, r"(?m)^module\s+(\S+)", 1), F.lit("")).alias("module")).where("module is not null")
+
+
+#: Package statements from each language's grammar; group 1 is the name.
+PACKAGE_STATEMENTS = {"go": r"package\s+(\w+)", "java": r"package\s+([\w.]+)", "kotlin": r"package\s+([\w.]+)", "rust": r"(?:pub\s+)?mod\s+(\w+)", "csharp": r"namespace\s+([\w.]+)", "php": r"namespace\s+([\w\\\\]+)", "ruby": r"module\s+(\w+)", "perl": r"package\s+([\w:]+)", "groovy": r"package\s+([\w.]+)"}
+
+
+def package_name(path: Column, text: Column, head: int = 1024) -> Column:
+    """The package a file says it belongs to within its first ``head`` bytes, else the name
+    of its folder."""
+    said = F.lit(None).cast("string")
+    start, language = F.substring(text, 1, head), language_of(path)
+    for name, p in PACKAGE_STATEMENTS.items():
+        said = F.when(language == name, F.nullif(F.regexp_extract(start, rf"(?m)^\s*{p}", 1), F.lit(""))).otherwise(said)
+    return F.coalesce(said, basename(directory(path)))
+
+
+def package_report(packages: DataFrame) -> DataFrame:
+    """``(dir, text)``: one line of figures for every package ``(dir, n_files, n_lines,
+    functions, types, interfaces)``."""
+    some = lambda c, word: F.when(F.col(c) > 0, F.concat(F.lit(", "), F.col(c).cast("string"), F.lit(f" {word}"))).otherwise("")
+    head = F.concat("dir", F.lit(": "), F.col("n_files").cast("string"), F.lit(" files, "), F.col("n_lines").cast("string"), F.lit(" lines"))
+    return packages.select("dir", F.concat(head, some("functions", "functions"), some("types", "types"), some("interfaces", "interfaces")).alias("text"))
+
+
+def report_symbols(symbols: DataFrame, most_functions: int = 30) -> DataFrame:
+    """``(dir, position, name, kind)`` as a report lists them: the first functions of a package
+    in file order, then all types, then all interfaces."""
+    rank = F.when(F.col("kind").isin("function", "method"), 0).when(F.col("narrow_kind") == "type", 1).when(F.col("narrow_kind") == "interface", 2)
+    s = symbols.select(directory(F.col("path")).alias("dir"), rank.alias("_k"), "path", "ordinal", "name", "kind").where("_k is not null")
+    order = ["path", "ordinal"]
+    s = s.withColumn("_n", F.row_number().over(Window.partitionBy("dir", "_k").orderBy(*order))).where((F.col("_k") > 0) | (F.col("_n") <= most_functions))
+    return s.withColumn("position", F.row_number().over(Window.partitionBy("dir").orderBy("_k", *order))).select("dir", "position", "name", "kind")
 
 
 def is_internal_import(target: Column, module: str) -> Column:
@@ -72,34 +128,91 @@ def large_packages(packages: DataFrame, least: int) -> DataFrame:
     return packages.where((F.col("n_files") >= least) & (F.col("dir") != "."))
 
 
+def _kind_order() -> Column:
+    return F.expr("case kind when 'main' then 0 when 'command' then 1 when 'handler' then 2 else 3 end")
+
+
 def order_entry_points(entries: DataFrame) -> DataFrame:
     """Main, commands, handlers, init; by name within each."""
-    rank = F.when(F.col("kind") == "main", 0).when(F.col("kind") == "command", 1).when(F.col("kind") == "handler", 2).otherwise(3)
-    return entries.orderBy(rank, "name", "path")
-
-
-#: Route registrations; the last group is the handler.
-ROUTE_PATTERNS = (
-    (r"\.(?:HandleFunc|Handle)\s*\(\s*\"[^\"]*\"\s*,\s*(\w+)", 1),
-    (r"(?i)\.(?:get|post|put|delete|patch|head|options)\s*\(\s*[\"'][^\"']*[\"']\s*,\s*(\w+)", 1),
-    (r"\.(?:Route|Group|With|Mount)\s*\(\s*\"[^\"]*\"\s*,\s*(\w+)", 1),
-    (r"(?:path|re_path|url)\s*\(\s*['\"][^'\"]*['\"]\s*,\s*(?:\w+\.)?(\w+)", 1),
-    (r"(?:get|post|put|patch|delete|match)\s+['\"][^'\"]*['\"].*(?:to:|=>)\s*['\"]\w+#(\w+)", 1),
-)
-#: Fixed value: a line that makes the next method a handler.
-ANNOTATION = r"@(?:Get|Post|Put|Delete|Patch|Request)Mapping|@Action|@(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b|\[Http(?:Get|Post|Put|Delete|Patch|Head|Options)|\[Route\(|@\w+\.(?:route|get|post|put|delete|patch|head|options)\s*\("
-#: Base classes of frameworks and their entry methods.
-FRAMEWORKS = (
-    (r"extends\s+(?:ActionSupport|Action|BaseAction)|implements\s+\w*Action", ("execute", "doExecute", "input", "validate"), "struts"),
-    (r"extends\s+HttpServlet", ("doGet", "doPost", "doPut", "doDelete", "doPatch", "service", "init"), "servlet"),
-    (r"(?:extends|:)\s*(?:Controller|ControllerBase|ApiController)", ("Index", "Create", "Edit", "Delete", "Details", "Update"), "aspnet"),
-    (r"class\s+\w+\(.*View", ("get", "post", "put", "patch", "delete", "dispatch", "get_queryset", "get_context_data", "form_valid"), "django"),
-)
+    return entries.orderBy(_kind_order(), "name", "path")
+
+
+_VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
+_EACH_VERB = "|".join(f"{v}|{v.upper()}|{v.capitalize()}" for v in _VERBS)
+#: A call that ties a quoted path to a handler, as the routers' documentation writes it:
+#: the calls' names, and the expression that takes the handler out of what follows the path.
+ROUTES = {
+    "server": ("Handle|HandleFunc|Method|Mount|Route", r"^[,\s]*(?:[\w$]+\.)*([A-Za-z_$][\w$]*)\s*\)"),
+    "verb": (_EACH_VERB + "|all|any|Any|use", r"(?:^|[,\s.])([A-Za-z_$][\w$]*)\s*\)\s*;?\s*$"),
+    "view": ("path|re_path|url", r"^\s*,\s*(?:\w+\.)*(\w+)(?:\.as_view\(\))?\s*[,)]"),
+    "action": (_EACH_VERB + "|match|root", r"[\w/]#(\w+)"),
+    "controller": (_EACH_VERB + "|any|match", r"(?:@|::class\s*,\s*['\"])(\w+)['\"]"),
+}
+_ROUTE_CALL = r"(?:^|[^\w$])({names})\s*\(?\s*(?:r|b)?(['\"])[^'\"]*\2(.*)$"
+#: Marks above a method that make it a handler, by framework.
+MARKS = {
+    "spring": "@(?:" + "|".join([*(v.capitalize() for v in _VERBS[:5]), "Request"]) + r")Mapping\b",
+    "jax-rs": "@(?:" + "|".join(v.upper() for v in _VERBS) + r")\b",
+    "aspnet": r"\[(?:Http(?:" + "|".join(v.capitalize() for v in _VERBS) + r")\b|Route\()",
+    "decorator": r"@\w+\.(?:route|" + "|".join(_VERBS) + r")\(",
+    "nest": "@(?:" + "|".join(v.capitalize() for v in _VERBS) + r")\(",
+    "struts": r"@Action\b",
+}
+#: Base classes of frameworks, and the methods these call.
+FRAMEWORKS = {
+    "servlet": ("HttpServlet", "doGet doPost doPut doDelete doPatch service init"),
+    "struts": ("ActionSupport Action BaseAction", "execute doExecute input validate"),
+    "aspnet": ("Controller ControllerBase ApiController", "Index Create Edit Delete Details Update"),
+    "django": ("View APIView TemplateView ListView DetailView CreateView UpdateView DeleteView FormView", "get post put patch delete dispatch get_queryset get_context_data form_valid"),
+}
+#: What a file must hold for its entry function to count, by language.
+GUARDS = {"go": r"^package\s+main\b", "python": r"^if\s+__name__\s*==", "python2": r"^if\s+__name__\s*==", "java": r"\bstatic\s+(?:final\s+)?void\s+main\s*\(", "csharp": r"\bstatic\b.*\bMain\s*\("}
+
+
+def route_handlers(lines: DataFrame) -> DataFrame:
+    """``(name)`` of every handler that a route registration names, once."""
+    out = None
+    for names, handler in ROUTES.values():
+        tail = F.regexp_extract("text", _ROUTE_CALL.format(names=names), 3)
+        own = lines.select(F.regexp_extract(tail, handler, 1).alias("name")).where("name != ''")
+        out = own if out is None else out.union(own)
+    return out.distinct()
+
+
+def marked_handlers(functions: DataFrame, lines: DataFrame, reach: int = 5) -> DataFrame:
+    """``(name, path, line, label)``: the first function within ``reach`` lines below a mark,
+    unless another mark stands between; the label is the mark."""
+    marks = lines.where(F.col("text").rlike("|".join(MARKS.values()))).select("path", F.col("line").alias("mark"), F.trim("text").alias("label"))
+    nearest = F.least(F.col("mark") + reach, F.coalesce(F.lead("mark").over(Window.partitionBy("path").orderBy("mark")), F.lit(2147483647)))
+    marks = marks.withColumn("last", nearest)
+    near = functions.select("name", "path", F.col("start_line").alias("line")).join(marks, "path").where("line > mark and line <= last")
+    first = F.row_number().over(Window.partitionBy("path", "mark").orderBy("line"))
+    return near.withColumn("_r", first).where("_r = 1").select("name", "path", "line", "label")
+
+
+def guarded(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Entry functions whose file holds what their language asks for; ``init`` needs nothing."""
+    holds = F.lit(False)
+    for name, p in GUARDS.items():
+        holds = holds | ((F.col("_l") == name) & F.col("text").rlike(p))
+    said = lines.withColumn("_l", language_of(F.col("path"))).where(holds).select("path").distinct()
+    free = entries.where(~F.col("language").isin(*GUARDS) | (F.col("name") == "init"))
+    return free.unionByName(entries.where(F.col("language").isin(*GUARDS) & (F.col("name") != "init")).join(said, "path", "left_semi"))
+
+
+def command_handlers(lines: DataFrame, window: int = 20) -> DataFrame:
+    """``(name, label)`` of functions that a command definition runs; the label is the first
+    word of the nearest ``Use`` in the lines before, else the name. The hit that stands
+    first speaks for a name."""
+    at = Window.partitionBy("path").orderBy("line").rangeBetween(-window, 0)
+    use = F.nullif(F.regexp_extract("text", r"\bUse:\s*\"([^\"\s]+)", 1), F.lit(""))
+    said = lines.withColumn("_use", F.last(use, ignorenulls=True).over(at)).withColumn("name", F.regexp_extract("text", r"\bRunE?\s*:\s*(?:\w+\.)?(\w+)", 1)).where("name != '' and name != 'func'")
+    return said.groupBy("name").agg(F.min_by(F.coalesce("_use", "name"), F.struct("path", "line")).alias("label"))
 
 
 def entry_points(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """``(name, path, line, kind, label)``: language entry functions, command handlers,
-    route and annotated handlers, framework methods; one row per name and file, main
+    route and marked handlers, framework methods; one row per name and file, main
     before command before handler before init."""
     funcs = symbols.where(F.col("kind").isin("function", "method"))
     at = ["name", "path", F.col("start_line").alias("line")]
@@ -107,31 +220,19 @@ def entry_points(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     for x in LANGUAGES:
         if x.entries:
             entry = entry | ((F.col("language") == x.name) & F.col("name").isin(list(x.entries)))
-    main = symbols.where((F.col("kind") == "function") & entry).select(*at, F.when(F.col("name") == "init", "init").otherwise("main").alias("kind"), F.when(F.col("name") == "init", directory(F.col("path"))).otherwise(F.col("name")).alias("label"))
+    main = guarded(symbols.where((F.col("kind") == "function") & entry), lines)
+    main = main.select(*at, F.when(F.col("name") == "init", "init").otherwise("main").alias("kind"), F.when(F.col("name") == "init", directory(F.col("path"))).otherwise(F.col("name")).alias("label"))
     first = funcs.groupBy("name").agg(F.min(F.struct("path", "start_line")).alias("f")).select("name", F.col("f.path").alias("path"), F.col("f.start_line").alias("line"))
-    # a command's label is the first word of the nearest Use in the twenty lines before it
-    run = lines.select("path", "line", F.regexp_extract("text", r"\bRunE?\s*:\s*(\w+)", 1).alias("name")).where("name != ''")
-    use = lines.select(F.col("path").alias("_p"), F.col("line").alias("at"), F.regexp_extract("text", r"\bUse:\s*\"([^\"\s]+)", 1).alias("use")).where("use != ''")
-    said = run.join(use, (F.col("path") == F.col("_p")) & F.col("at").between(F.col("line") - 20, F.col("line")), "left")
-    commands = said.groupBy("name").agg(F.max_by("use", F.struct("at")).alias("use")).join(first, "name").select("name", "path", "line", F.lit("command").alias("kind"), F.coalesce("use", "name").alias("label"))
-    named = []
-    for p, g in ROUTE_PATTERNS:
-        named.append(lines.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias("name"), F.lit("handler").alias("kind")))
-    refs = named[0]
-    for n in named[1:]:
-        refs = refs.unionByName(n)
-    handlers = first.join(refs.distinct(), "name").select("name", "path", "line", "kind", F.col("name").alias("label"))
-    marks = lines.where(F.col("text").rlike(ANNOTATION)).select("path", F.col("line").alias("mark"), F.trim("text").alias("label"))
-    near = funcs.select("name", "path", "start_line").join(marks, "path").where("start_line > mark and start_line <= mark + 5")
-    pick = Window.partitionBy("path", "mark").orderBy("start_line")
-    annotated = near.withColumn("_r", F.row_number().over(pick)).where("_r = 1").select("name", "path", F.col("start_line").alias("line"), F.lit("handler").alias("kind"), "label")
+    commands = command_handlers(lines).join(first, "name").select("name", "path", "line", F.lit("command").alias("kind"), "label")
+    handlers = first.join(route_handlers(lines), "name", "left_semi").select("name", "path", "line", F.lit("handler").alias("kind"), F.col("name").alias("label"))
+    marked = marked_handlers(funcs, lines).select("name", "path", "line", F.lit("handler").alias("kind"), "label")
+    out = main.unionByName(commands).unionByName(handlers).unionByName(marked)
     classes = symbols.where(F.col("kind") == "class")
-    out = main.unionByName(commands).unionByName(handlers).unionByName(annotated)
-    for p, methods, label in FRAMEWORKS:
-        own = classes.where(F.col("signature").rlike(p)).select("path", F.col("name").alias("parent")).distinct()
-        out = out.unionByName(funcs.where(F.col("name").isin(list(methods))).join(own, ["path", "parent"]).select(*at, F.lit("handler").alias("kind"), F.lit(label).alias("label")))
-    order = F.when(F.col("kind") == "main", 0).when(F.col("kind") == "command", 1).when(F.col("kind") == "handler", 2).otherwise(3)
-    w = Window.partitionBy("name", "path").orderBy(order, "line", "label")
+    for label, (bases, methods) in FRAMEWORKS.items():
+        base = rf"(?:\bextends|\bimplements|:|\()\s*(?:[\w.<>]+\s*,\s*)*(?:\w+\.)*(?:{bases.replace(' ', '|')})\b"
+        own = classes.where(F.col("signature").rlike(base)).select("path", F.col("name").alias("parent")).distinct()
+        out = out.unionByName(funcs.where(F.col("name").isin(methods.split())).join(own, ["path", "parent"]).select(*at, F.lit("handler").alias("kind"), F.lit(label).alias("label")))
+    w = Window.partitionBy("name", "path").orderBy(_kind_order(), "line", "label")
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -139,19 +240,19 @@ def walk_tree(root: str, children: dict[str, list[str]], max_depth: int) -> list
     """(seq, parent_seq, depth, name, marker) in preorder: a name on the stack is a
     ``cycle``, one expanded before a ``ref``, one at the depth limit a ``cap`` (which
     does not count as expanded)."""
-    out, seen, stack = [], set(), []
+    out, seen, above = [], set(), set()
     work = [(root, 0, 0, False)]
     while work:
         name, parent, depth, leaving = work.pop()
         if leaving:
-            stack.pop()
+            above.discard(name)
             continue
-        marker = "cycle" if name in stack else "ref" if name in seen else "cap" if depth >= max_depth and children.get(name) else None
+        marker = "cycle" if name in above else "ref" if name in seen else "cap" if depth >= max_depth and children.get(name) else None
         out.append((len(out) + 1, parent, depth, name, marker))
         if marker:
             continue
         seen.add(name)
-        stack.append(name)
+        above.add(name)
         me = len(out)
         work.append((name, 0, 0, True))
         work += [(c, me, depth + 1, False) for c in reversed(children.get(name, ()))]
