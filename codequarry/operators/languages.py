@@ -2,7 +2,8 @@
 
 A pattern's group ``n`` is the name and ``p`` a parent. ``ends`` says how a symbol's
 last line is found, ``inside`` which kinds hold members, ``style`` how control flow
-is written. First match wins; a function inside a holder is a method of it.
+is written. First match wins; a function inside a holder is a method of it. Languages
+without rules are formats whose lines need state: ``operators.formats`` has them.
 """
 
 from __future__ import annotations
@@ -57,25 +58,25 @@ LANGUAGES: tuple[Language, ...] = (
     _lang("groovy", ".groovy .gvy .gy .gsh", [("package", r"^package\s+(?P<n>[\w.]+)"), ("import", r"^import\s+(?:static\s+)?(?P<n>[\w.*]+)"), ("module", r"^\s*(?P<n>pipeline)\s*\{"), ("method", r"^\s*stage\s*\(\s*['\"](?P<n>[^'\"]+)"), ("interface", rf"^\s*{_VIS}interface\s+(?P<n>\w+)"), ("trait", r"^\s*trait\s+(?P<n>\w+)"), ("enum", rf"^\s*{_VIS}enum\s+(?P<n>\w+)"), ("class", rf"^\s*{_VIS}class\s+(?P<n>\w+)"), ("function", rf"^\s*{_VIS}(?:def|void|[A-Z]\w*|int|boolean)\s+(?P<n>\w+)\s*\([^)]*\)\s*\{{"), ("variable", r"^def\s+(?P<n>\w+)\s*=")], style="brace", entries=("main", "call"), names=("jenkinsfile",), tests=r"Spec\.groovy$", inside=("class", "interface", "trait", "enum")),
     _lang("perl", ".pl .pm .t .psgi", [("package", r"^package\s+(?P<n>[\w:]+)"), ("constant", r"^use\s+constant\s+(?P<n>\w+)"), ("function", r"^\s*sub\s+(?P<n>\w+)"), ("property", r"^has\s+['\"]?(?P<n>\w+)"), ("variable", r"^our\s+[$@%](?P<n>\w+)")], style="brace", entries=("main",), comments=("#",), tests=r"\.t$", inside=("package",)),
     _lang("zig", ".zig", [("struct", r"^\s*(?:pub\s+)?const\s+(?P<n>\w+)\s*=\s*(?:packed\s+|extern\s+)?struct\b"), ("enum", r"^\s*(?:pub\s+)?const\s+(?P<n>\w+)\s*=\s*enum\b"), ("type", r"^\s*(?:pub\s+)?const\s+(?P<n>\w+)\s*=\s*(?:union|error)\b"), ("function", r"^\s*(?:pub\s+|export\s+|inline\s+)*fn\s+(?P<n>\w+)"), ("function", r"^test\s+\"(?P<n>[^\"]+)"), ("constant", r"^(?:pub\s+)?const\s+(?P<n>\w+)"), ("variable", r"^(?:pub\s+)?var\s+(?P<n>\w+)")], style="brace", entries=("main",), inside=()),
-    _lang("ruby", ".rb .rake .gemspec", [("module", r"^\s*module\s+(?P<n>[\w:]+)"), ("class", r"^\s*class\s+(?P<n>[A-Z][\w:]*)"), ("function", r"^\s*def\s+self\.(?P<n>[\w?!=]+)"), ("member", r"^\s*def\s+(?P<n>[\w?!=]+)"), ("property", r"^\s*attr_(?:accessor|reader|writer)\s+:(?P<n>\w+)"), ("constant", r"^\s*(?P<n>[A-Z][A-Z0-9_]+)\s*=")], ends="end", style="end", entries=("main",), comments=("#",), tests=r"_spec\.rb$|_test\.rb$", inside=("class", "module")),
+    _lang("ruby", ".rb .rake .gemspec", [("module", r"^\s*module\s+(?P<n>[\w:]+)"), ("class", r"^\s*class\s+(?P<n>[A-Z][\w:]*)"), ("static", r"^\s*def\s+self\.(?P<n>[\w?!=]+)"), ("member", r"^\s*def\s+(?P<n>[\w?!=]+)"), ("property", r"^\s*attr_(?:accessor|reader|writer)\s+:(?P<n>\w+)"), ("constant", r"^\s*(?P<n>[A-Z][A-Z0-9_]+)\s*=")], ends="end", style="end", entries=("main",), comments=("#",), tests=r"_spec\.rb$|_test\.rb$", inside=("class", "module")),
     _lang("shell", ".sh .bash .zsh .ksh .bats", [("function", r"^\s*function\s+(?P<n>[\w-]+)"), ("function", r"^\s*(?P<n>[\w-]+)\s*\(\)\s*\{?"), ("constant", r"^(?:readonly|declare\s+-r)\s+(?P<n>\w+)="), ("variable", r"^(?:export\s+)?(?P<n>[A-Z][A-Z0-9_]*)=")], ends="shell", style="shell", entries=("main",), comments=("#",), tests=r"\.bats$", inside=()),
     _lang("sql", ".sql .ddl .dml .pgsql .plsql", [("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view|materialized\s+view)\s+(?:if\s+not\s+exists\s+)?(?P<n>[\w.\"]+)"), ("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure|trigger)\s+(?P<n>[\w.\"]+)"), ("constant", r"(?i)^\s*create\s+(?:unique\s+)?index\s+(?:if\s+not\s+exists\s+)?(?P<n>[\w.\"]+)"), ("type", r"(?i)^\s*create\s+type\s+(?P<n>[\w.\"]+)"), ("module", r"(?i)^\s*create\s+(?:schema|database|package)\s+(?:if\s+not\s+exists\s+)?(?P<n>[\w.\"]+)"), ("variable", r"(?i)^\s*create\s+sequence\s+(?P<n>[\w.\"]+)"), ("variable", r"(?i)^\s*alter\s+table\s+(?P<n>[\w.\"]+)")], ends="sql", style="sql", comments=("--",), inside=()),
-    _lang("cobol", ".cob .cbl .cpy .cobol", [("class", r"(?i)^.{0,11}\s*program-id\.\s*(?P<n>[\w-]+)"), ("module", r"(?i)^.{0,7}\s*(?P<n>[\w-]+)\s+(?:division|section)\s*\."), ("import", r"(?i)^.{0,11}\s*copy\s+(?P<n>[\w-]+)"), ("constant", r"(?i)^\s*(?:\d{6})?\s*78\s+(?P<n>[\w-]+)"), ("type", r"(?i)^\s*(?:\d{6})?\s*01\s+(?P<n>[\w-]+)"), ("variable", r"(?i)^\s*(?:\d{6})?\s*(?:0[2-9]|[1-4]\d|77)\s+(?P<n>[\w-]+)"), ("function", r"^(?:\d{6})?\s?(?P<n>[A-Z0-9][A-Z0-9-]*)\.\s*$")], ends="line", comments=("*",), inside=()),
-    _lang("css", ".css .scss .less .sass", [("module", r"^\s*@(?:media|supports|layer)\s+(?P<n>[^{]+?)\s*\{"), ("function", r"^\s*@(?:mixin|function|keyframes)\s+(?P<n>[\w-]+)"), ("variable", r"^\s*(?P<n>--[\w-]+|\$[\w-]+|@[\w-]+)\s*:"), ("class", r"^(?P<n>[.#&:\w\[*][^{};]*?)\s*\{")], inside=()),
-    _lang("cypher", ".cypher .cql", [("constant", r"(?i)^\s*create\s+(?:constraint|index)\s+(?P<n>\w+)"), ("function", r"(?i)^\s*call\s+(?P<n>[\w.]+)"), ("type", r"\(\s*\w*\s*:(?P<n>\w+)"), ("property", r"\[\s*\w*\s*:(?P<n>\w+)"), ("variable", r"^\s*:param\s+(?P<n>\w+)")], ends="line", inside=()),
-    _lang("dockerfile", ".dockerfile .containerfile", [("module", r"(?i)^from\s+\S+(?:\s+as\s+(?P<n>\S+))?"), ("variable", r"(?i)^(?:arg|env)\s+(?P<n>\w+)"), ("property", r"(?i)^(?P<n>(?:expose|label|workdir|user|volume)\s+\S+)"), ("function", r"(?i)^(?P<n>entrypoint|cmd|healthcheck|run)\b")], ends="line", names=("dockerfile", "containerfile"), comments=("#",), inside=()),
+    _lang("cobol", ".cob .cbl .cpy .cobol", [], ends="line", comments=("*",), inside=()),
+    _lang("css", ".css .scss .less .sass", [], inside=()),
+    _lang("cypher", ".cypher .cql", [], ends="line", inside=()),
+    _lang("dockerfile", ".dockerfile .containerfile", [], ends="line", names=("dockerfile", "containerfile"), comments=("#",), inside=()),
     _lang("env", ".env", [("variable", r"^\s*(?:export\s+)?(?P<n>[A-Za-z_]\w*)\s*=")], ends="line", comments=("#",), inside=()),
     _lang("properties", ".properties", [("property", r"^\s*(?P<n>[\w.-]+)\s*[=:]")], ends="line", comments=("#",), inside=()),
-    _lang("hcl", ".tf .hcl .tfvars", [("type", r"^(?:resource|data)\s+\"(?P<p>[^\"]+)\"\s+\"(?P<n>[^\"]+)\""), ("module", r"^(?:module|provider|terraform|backend)\s*(?:\"(?P<n>[^\"]+)\")?"), ("variable", r"^(?:variable|output)\s+\"(?P<n>[^\"]+)\""), ("constant", r"^(?P<n>locals)\s*\{"), ("variable", r"^(?P<n>\w+)\s*=")], comments=("#", "//"), inside=()),
-    _lang("html", ".html .htm", [("module", r"<(?P<n>html|head|body|main|template)\b"), ("class", r"<(?P<n>(?:div|section|article|nav|header|footer|form|table)\b[^>]*\bid=\"[^\"]+\")"), ("property", r"<(?P<n>(?:input|meta|link)\b[^>]*\bname=\"[^\"]+\")"), ("struct", r"<(?P<n>script|style)\b")], ends="line", inside=()),
-    _lang("json", ".json .jsonc .json5", [("module", r"^\s{0,4}\"(?P<n>[^\"]+)\"\s*:\s*[\[{]"), ("property", r"^\s{0,4}\"(?P<n>[^\"]+)\"\s*:")], ends="line", inside=()),
+    _lang("hcl", ".tf .hcl .tfvars", [], comments=("#", "//"), inside=()),
+    _lang("html", ".html .htm", [], ends="line", inside=()),
+    _lang("json", ".json .jsonc .json5", [], ends="line", inside=()),
     _lang("makefile", ".mk .make", [("import", r"^-?include\s+(?P<n>\S+)"), ("property", r"^(?P<n>\.PHONY)\s*:"), ("variable", r"^(?:export\s+)?(?P<n>[A-Za-z_]\w*)\s*[:?+]?=(?!=)"), ("function", r"^define\s+(?P<n>\w+)"), ("function", r"^(?P<n>[\w./%-]+)\s*:(?!=)")], ends="section", names=("makefile", "gnumakefile"), comments=("#",), inside=()),
     _lang("markdown", ".md .markdown .mdx", [("module", r"^#{1,2}\s+(?P<n>.+?)\s*#*$"), ("function", r"^#{3,6}\s+(?P<n>.+?)\s*#*$"), ("constant", r"^(?:```|~~~)(?P<n>\w+)"), ("property", r"^(?P<n>[\w-]+):\s")], ends="section", comments=(), inside=()),
-    _lang("mermaid", ".mermaid .mmd", [("module", r"^\s*(?P<n>graph|flowchart|sequenceDiagram|classDiagram|stateDiagram(?:-v2)?|erDiagram|gantt|pie)\b"), ("struct", r"^\s*subgraph\s+(?P<n>.+)"), ("class", r"^\s*class\s+(?P<n>\w+)"), ("type", r"^\s*(?:participant|actor)\s+(?P<n>\w+)"), ("property", r"^\s*state\s+(?P<n>\w+)"), ("function", r"^\s*(?P<n>\w+)(?:\[|\(|\{)")], ends="line", comments=("%%",), inside=()),
-    _lang("protobuf", ".proto", [("package", r"^package\s+(?P<n>[\w.]+)"), ("import", r"^import\s+(?:public\s+)?\"(?P<n>[^\"]+)"), ("interface", r"^\s*service\s+(?P<n>\w+)"), ("struct", r"^\s*message\s+(?P<n>\w+)"), ("enum", r"^\s*enum\s+(?P<n>\w+)"), ("type", r"^\s*oneof\s+(?P<n>\w+)"), ("member", r"^\s*rpc\s+(?P<n>\w+)"), ("property", r"^\s*(?:repeated\s+|optional\s+|required\s+)?[\w.<>, ]+\s+(?P<n>\w+)\s*=\s*\d+"), ("constant", r"^\s*(?P<n>[A-Z][A-Z0-9_]*)\s*=\s*\d+")], inside=("interface", "struct")),
-    _lang("toml", ".toml", [("class", r"^(?P<n>\[\[[^\]]+\]\])"), ("module", r"^(?P<n>\[[^\]]+\])"), ("property", r"^(?P<n>[\w.\"-]+)\s*=")], ends="section", comments=("#",), inside=()),
-    _lang("xml", ".xml .xsl .xslt .xsd .plist .xaml", [("import", r"xmlns:(?P<n>\w+)="), ("class", r"^<(?P<n>[A-Za-z][\w:.-]*)\b"), ("property", r"^\s+<(?P<n>[A-Za-z][\w:.-]*)\b[^>]*/>"), ("struct", r"^\s+<(?P<n>[A-Za-z][\w:.-]*)\b")], ends="line", inside=()),
-    _lang("yaml", ".yaml .yml", [("module", r"^(?P<n>[\w.-]+)\s*:\s*(?:#.*)?$"), ("property", r"^\s{0,4}(?P<n>[\w.-]+)\s*:")], ends="indent", comments=("#",), inside=("module",)),
+    _lang("mermaid", ".mermaid .mmd", [], ends="line", comments=("%%",), inside=()),
+    _lang("protobuf", ".proto", [("package", r"^package\s+(?P<n>[\w.]+)"), ("import", r"^import\s+(?:public\s+)?\"(?P<n>[^\"]+)"), ("interface", r"^\s*service\s+(?P<n>\w+)"), ("struct", r"^\s*message\s+(?P<n>\w+)"), ("enum", r"^\s*enum\s+(?P<n>\w+)"), ("type", r"^\s*oneof\s+(?P<n>\w+)"), ("member", r"^\s*rpc\s+(?P<n>\w+)"), ("property", r"^\s*(?:repeated\s+|optional\s+|required\s+)?[\w.<>][\w.<>, ]*\s+(?P<n>\w+)\s*=\s*\d+"), ("constant", r"^\s*(?P<n>[A-Z][A-Z0-9_]*)\s*=\s*\d+")], inside=("interface", "struct", "enum")),
+    _lang("toml", ".toml", [], ends="section", comments=("#",), inside=()),
+    _lang("xml", ".xml .xsl .xslt .xsd .plist .xaml", [], ends="line", inside=()),
+    _lang("yaml", ".yaml .yml", [], ends="indent", comments=("#",), inside=("module",)),
 )
 BY_NAME = {x.name: x for x in LANGUAGES}
 BY_EXTENSION = {e: x.name for x in LANGUAGES for e in x.extensions}

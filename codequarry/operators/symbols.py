@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.scalars import basename, extension
+from codequarry.operators.formats import FORMATS
 from codequarry.operators.languages import BY_EXTENSION, BY_FILE_NAME, BY_NAME, LANGUAGES, NARROW, Language
 
 _STRINGS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`")
@@ -117,7 +118,11 @@ def extract(content: str, language: str) -> list[dict]:
     lines = [x.rstrip("\r") for x in content.split("\n")]
     if lines and not lines[-1]:
         lines.pop()
+    if language in FORMATS:
+        return [{"name": n, "kind": k, "start_line": a + 1, "end_line": b + 1, "signature": lines[a].strip(), "parent": p} for k, n, a, b, p in FORMATS[language](lines)]
     out: list[dict] = []
+    routine = -1  # last line of the SQL routine that is open: what it alters is no definition
+    block = ""  # the settings block of a build script that is open
     holders: list[tuple[str, int]] = []
     for i, line in enumerate(lines):
         s = line.strip()
@@ -125,6 +130,18 @@ def extract(content: str, language: str) -> list[dict]:
             continue
         while holders and i > holders[-1][1]:
             holders.pop()
+        if lang.name == "sql" and i <= routine and re.match(r"(?i)alter\b", s):
+            continue
+        if lang.name == "groovy":
+            if block and s.startswith("}"):
+                block = ""
+            elif block:
+                if m := re.match(r"(\w+)\s*=" if block == "environment" else r"\w+\s*\(?.*?\bname\s*:\s*['\"](\w+)", s):
+                    out.append({"name": m[1], "kind": "variable", "start_line": i + 1, "end_line": i + 1, "signature": s, "parent": block})
+                continue
+            elif m := re.match(r"(environment|parameters)\s*\{", s):
+                block = m[1]
+                continue
         for kind, pattern in lang.rules:
             m = pattern.search(line)
             if not m or not m.groupdict().get("n") or m["n"] in lang.stop:
@@ -133,16 +150,21 @@ def extract(content: str, language: str) -> list[dict]:
             if kind == "member" and not holders:
                 if lang.name not in ("java", "csharp", "ruby", "protobuf"):
                     continue
-            if kind == "member" or (kind == "function" and holders and lang.inside):
+            if kind == "static":  # a function of the class, not a method
+                kind = "function"
+            elif kind == "member" or (kind == "function" and holders and lang.inside):
                 kind = "method" if holders else "function"
             end = last_line(lines, i, lang) if kind not in ("constant", "variable", "import", "package", "property") else i
+            if lang.name == "sql" and kind == "function":
+                routine = max(routine, end)
             if kind in lang.inside or (lang.name == "perl" and kind == "package"):
                 end = len(lines) - 1 if lang.name == "perl" else end
                 holders.append((m["n"], end))
                 if kind == "package":
                     end = i
-            if kind != "impl":
-                out.append({"name": m["n"], "kind": kind, "start_line": i + 1, "end_line": end + 1, "signature": s[:200], "parent": parent})
+            names = [] if kind == "impl" else re.findall(r":(\w+)", s) if lang.name == "ruby" and kind == "property" else [m["n"]]
+            for name in names:
+                out.append({"name": name, "kind": kind, "start_line": i + 1, "end_line": end + 1, "signature": s, "parent": parent})
             break
     return out
 
@@ -236,8 +258,9 @@ class Ambiguous(LookupError):
 
 
 def select_one(candidates: DataFrame, subject: str):
-    """The only candidate; NotFound for none, Ambiguous (with up to 50 of them) for several."""
-    rows = candidates.limit(50).collect()
+    """The only candidate; NotFound for none, Ambiguous with all of them (definitions of
+    one name) for several."""
+    rows = candidates.collect()
     if not rows:
         raise NotFound(subject)
     if len(rows) > 1:

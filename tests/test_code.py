@@ -55,7 +55,7 @@ def test_every_language_has_a_rule_that_works():
     samples = {
         "c": ("int add(int a) {\n  return a;\n}", "add"), "cpp": ("class Box {\n  int get() { return 1; }\n};", "Box"), "csharp": ("namespace A {\n class B {\n  public int Run() { return 1; }\n }\n}", "Run"),
         "cobol": ("       PROGRAM-ID. HELLO.", "HELLO"), "css": (".card {\n color: red;\n}", ".card"), "cypher": ("MATCH (p:Person) RETURN p", "Person"), "dockerfile": ("FROM alpine AS base\nRUN ls", "base"),
-        "env": ("TOKEN_URL=x", "TOKEN_URL"), "properties": ("a.b=1", "a.b"), "go": ("func Run() {\n}", "Run"), "groovy": ("def build(x) {\n}", "build"), "hcl": ("resource \"aws\" \"web\" {\n}", "web"),
+        "env": ("TOKEN_URL=x", "TOKEN_URL"), "properties": ("a.b=1", "a.b"), "go": ("func Run() {\n}", "Run"), "groovy": ("def build(x) {\n}", "build"), "hcl": ("resource \"aws\" \"web\" {\n}", "aws.web"),
         "html": ("<div id=\"top\">", "div id=\"top\""), "java": ("class A {\n  void run() {\n  }\n}", "run"), "javascript": ("export function go1(a) {\n}", "go1"), "json": ("{\n  \"name\": 1\n}", "name"),
         "kotlin": ("class A {\n  fun run() {\n  }\n}", "run"), "makefile": ("build: a b\n\techo", "build"), "markdown": ("# Title\ntext", "Title"), "mermaid": ("sequenceDiagram\n  participant A", "A"),
         "perl": ("package Foo;\nsub bar {\n}", "bar"), "php": ("class A {\n  function run() {\n  }\n}", "run"), "protobuf": ("message M {\n  string a = 1;\n}", "M"), "python": ("class A:\n    def f(self):\n        pass", "f"),
