@@ -473,15 +473,22 @@ def build_graph(name: str, source: str, language: str, start_line: int = 1) -> G
     return g
 
 
+def _called(text: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"(?<![A-Za-z0-9_.])([A-Za-z_]\w*)\s*\(", text)))
+
+
 def inline(g: Graph, name: str, bodies: dict[str, list[tuple[str, str, int]]], depth: int = INLINE_DEPTH, active: tuple[str, ...] = ()) -> Graph:
-    """Splice the graphs of called functions into their call blocks. ``bodies`` maps a
-    name to its definitions (source, language, line); only a sole definition is
-    inlined, several leave a note, none is external. Recursion stops at names in work."""
+    """Splice the graphs of called functions into their call blocks, every callee of a block in
+    the order of its calls. ``bodies`` maps a name to its definitions (source, language,
+    line); only a sole definition is inlined, several leave a note, none is external.
+    Calls are looked for in a block's code, else in its label. Recursion stops at names
+    in work."""
     active = (*active, name)
     for b in list(g.blocks):
-        if depth <= 0 or b["kind"] not in ("linear", "return"):
+        if depth <= 0 or b["kind"] in ("entry", "exit", "merge"):
             continue
-        for callee in dict.fromkeys(re.findall(r"(?<![A-Za-z0-9_.])([A-Za-z_]\w*)\s*\(", b["code"])):
+        at, calls = b["id"], _called(b["code"]) or _called(b["label"])  # what follows leaves from ``at``
+        for callee in calls:
             defs = bodies.get(callee, [])
             if callee in active or not defs:
                 continue
@@ -494,12 +501,19 @@ def inline(g: Graph, name: str, bodies: dict[str, list[tuple[str, str, int]]], d
             inline(sub, callee, bodies, depth - 1, active)
             shift = len(g.blocks)
             g.blocks += [{**x, "id": x["id"] + shift, "kind": "linear" if x["kind"] in ("entry", "exit") else x["kind"], "label": f"{callee}: {x['label']}"[:60]} for x in sub.blocks]
+            g.notes += sub.notes
+            out = sub.exit + shift
+            decides = b["kind"] in ("branch", "loop", "switch")
             for e in g.edges:
-                if e["src"] == b["id"] and not e["back"]:
-                    e["src"] = sub.exit + shift
+                if e["src"] == at and (decides or not e["back"]):
+                    e["src"] = out
+            if decides:  # the decision is taken where the call comes back
+                g.blocks[out].update(kind=b["kind"], cond=b["cond"])
+                b.update(kind="linear", cond="")
+                b = g.blocks[out]
             g.edges += [{**e, "src": e["src"] + shift, "dst": e["dst"] + shift} for e in sub.edges]
-            g.edges.append({"src": b["id"], "dst": sub.entry + shift, "label": f"call {callee}", "back": False})
-            break
+            g.edges.append({"src": at, "dst": sub.entry + shift, "label": f"call {callee}", "back": False})
+            at = out
     return g
 
 

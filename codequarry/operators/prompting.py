@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Phrases of a response that says a prompt is too long.
@@ -83,40 +84,119 @@ def clean_answer(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(out), r"^```\w*\n", ""), r"\n```$", ""))
 
 
-def read_sse(lines: list[str]) -> list[str]:
-    """Contents of a streamed answer; other and malformed lines are skipped, ``[DONE]``
-    or a finish reason ends it."""
-    out = []
+def clean_text(text: str) -> str:
+    """As ``clean_answer``, for one text."""
+    text = re.sub(r"(?s)<think(?:ing)?>.*?</think(?:ing)?>", "", text).strip()
+    return re.sub(r"\n```$", "", re.sub(r"^```\w*\n", "", text)).strip()
+
+
+def stream_sse(lines: Iterable[str]) -> Iterator[str]:
+    """Contents of a streamed answer as they come; other and malformed lines are skipped,
+    ``[DONE]`` or a finish reason ends it."""
     for line in lines:
         if not line.startswith("data: "):
             continue
         data = line[6:].strip()
         if data == "[DONE]":
-            break
+            return
         try:
             choice = json.loads(data)["choices"][0]
-        except (ValueError, KeyError, IndexError, TypeError):
+            piece, done = (choice.get("delta") or {}).get("content"), choice.get("finish_reason")
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError):
             continue
-        piece = (choice.get("delta") or {}).get("content")
         if piece:
-            out.append(piece)
-        if choice.get("finish_reason"):
-            break
-    return out
+            yield piece
+        if done:
+            return
+
+
+def read_sse(lines: list[str]) -> list[str]:
+    return list(stream_sse(lines))
+
+
+#: Bytes kept of a file that introduces a project.
+EXCERPTS = {"readme": 3000, "makefile": 1500, "manifest": 1500}
+_MANIFESTS = ("go.mod", "package.json", "cargo.toml", "pyproject.toml", "pom.xml", "build.gradle", "composer.json", "gemfile")
+
+
+def excerpt_kind(path: Column) -> Column:
+    """``readme``, ``makefile`` or ``manifest`` for a file at the root, else null."""
+    low = F.lower(path)
+    return F.when(low.rlike(r"^readme(?:\.\w+)?$"), "readme").when(low.isin("makefile", "gnumakefile"), "makefile").when(low.isin(*_MANIFESTS), "manifest")
+
+
+def excerpts(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """``(path, kind, text)``: the heads of readme, makefile and manifest, each of at most its
+    number of bytes, cut at a character."""
+    kind = excerpt_kind(F.col(path_col))
+    most = F.lit(0)
+    for k, n in EXCERPTS.items():
+        most = F.when(kind == k, n).otherwise(most)
+    return files.select(F.col(path_col).alias("path"), kind.alias("kind"), first_bytes(F.col(text_col), most).alias("text")).where("kind is not null")
+
+
+def first_bytes(text: Column, n: Column) -> Column:
+    """The longest head of a text that has at most ``n`` bytes and ends with a whole character."""
+    head = F.substring(text.cast("binary"), F.lit(1), n)
+    # a cut character leaves one to three bytes that are no text: take so many off
+    whole = head.cast("string")
+    for k in (1, 2, 3):
+        shorter = F.substring(text.cast("binary"), F.lit(1), n - k).cast("string")
+        whole = F.when(F.startswith(text, whole), whole).otherwise(shorter)
+    return whole
+
+
+def duration_text(seconds: Column) -> Column:
+    """A duration for reading: milliseconds below a second, then seconds, then minutes and seconds."""
+    ms, whole = F.round(seconds * 1000).cast("long"), F.floor(seconds).cast("long")
+    return F.when(seconds < 1, F.concat(ms.cast("string"), F.lit("ms"))).when(seconds < 60, F.concat(F.format_string("%.1f", seconds.cast("double")), F.lit("s"))).otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), (whole % 60).cast("string"), F.lit("s")))
+
+
+def symbol_ref(text: Column) -> Column:
+    """Struct (path, symbol) of a ``path:symbol`` text, split at the last colon; path is null
+    where what stands before it does not look like one."""
+    left, right = F.regexp_extract(text, r"(?s)^(.*):([^:]*)$", 1), F.regexp_extract(text, r"(?s)^(.*):([^:]*)$", 2)
+    is_path = (right != "") & (left.contains("/") | left.rlike(r"\.\w+$"))
+    return F.struct(F.when(is_path, left).alias("path"), F.when(is_path, right).otherwise(text).alias("symbol"))
+
+
+def relative_path(path: str, root: str) -> str:
+    """An absolute path below the root as one relative to it; others stay."""
+    base = root.rstrip("/") + "/"
+    return path[len(base) :] if path.startswith(base) else path
+
+
+def declaration_text(spans: DataFrame, lines: DataFrame, most: int = 30) -> DataFrame:
+    """``(name, path, start_line, text)`` of declarations ``(name, path, start_line, end_line)``:
+    up to ``most`` lines; one whose end is not behind its start is balanced by its braces."""
+    s = spans.select("name", F.col("path").alias("_p"), "start_line", "end_line").distinct()
+    own = s.join(lines, (F.col("path") == F.col("_p")) & (F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("start_line") + most))
+    depth = lambda c: F.octet_length(F.col("text")) - F.octet_length(F.replace("text", F.lit(c), F.lit("")))
+    w = Window.partitionBy("name", "_p", "start_line").orderBy("line")
+    own = own.withColumn("_d", F.sum(depth("{") - depth("}")).over(w)).withColumn("_o", F.sum(depth("{")).over(w))
+    closed = F.min(F.when((F.col("_o") > 0) & (F.col("_d") <= 0), F.col("line"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    any_ = F.max("_o").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.when(F.col("end_line") > F.col("start_line"), F.col("end_line")).otherwise(F.when(any_ > 0, F.coalesce(closed, F.col("start_line") + most)).otherwise(F.col("start_line")))
+    kept = own.withColumn("_last", last).where("line <= _last")
+    return kept.groupBy("name", F.col("_p").alias("path"), "start_line").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])).alias("text"))
 
 
-def function_context(symbols: DataFrame, lines: DataFrame, path: str, line: int, max_header: int = 50, max_types: int = 8, max_callees: int = 12) -> dict[str, DataFrame]:
-    """What a reader of a function needs: the file's head, the types its body names and
-    the signatures of what it calls."""
+def function_context(symbols: DataFrame, lines: DataFrame, path: str, line: int, max_header: int = 50, max_types: int = 8, max_callees: int = 12, max_lines: int = 30) -> dict[str, DataFrame]:
+    """What a reader of a function needs: the file's head, the declaration it belongs to, the
+    types its body names with their text, and the signatures of what it calls."""
     me = symbols.where((F.col("path") == path) & (F.col("start_line") == line)).limit(1)
     body = lines.join(F.broadcast(me.select(F.col("path").alias("_p"), "start_line", "end_line", "name", "parent")), (F.col("path") == F.col("_p")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
     words = body.select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("word"), "parent", F.col("name").alias("me")).distinct()
     calls = body.select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))).alias("word"), F.col("name").alias("me")).distinct()
-    types = symbols.where(F.col("narrow_kind").isin("type", "interface")).join(words.where("word != coalesce(parent, '') and word rlike '^[A-Z]'"), F.col("name") == F.col("word"), "left_semi")
+    known = symbols.where(F.col("narrow_kind").isin("type", "interface"))
+    types = known.join(words.where("word != coalesce(parent, '') and word rlike '^[A-Z]'"), F.col("name") == F.col("word"), "left_semi")
+    types = types.orderBy("name", "path", "start_line").limit(max_types)
+    holder = known.join(F.broadcast(me.select(F.col("parent").alias("_n"))), F.col("name") == F.col("_n"), "left_semi").orderBy(F.col("path") != path, "path", "start_line").limit(1)
     callees = symbols.where(F.col("kind").isin("function", "method")).join(calls.where("word != me"), F.col("name") == F.col("word"), "left_semi")
     return {
         "header": lines.where((F.col("path") == path) & (F.col("line") <= min(line - 1, max_header))).orderBy("line"),
-        "types": types.select("name", "path", "start_line", "signature").orderBy("name", "path", "start_line").limit(max_types),
+        "parent": declaration_text(holder, lines, max_lines),
+        "types": declaration_text(types, lines, max_lines).join(types.select("name", "path", "start_line", "signature"), ["name", "path", "start_line"]).orderBy("name", "path", "start_line"),
         "callees": callees.select("name", "path", "start_line", "signature").dropDuplicates(["name", "signature"]).orderBy("name", "path", "start_line").limit(max_callees),
     }
 
@@ -139,9 +219,10 @@ def choose_repositories(repos: DataFrame, name: str | None = None, every: bool =
     return out
 
 
-def parse_symbol_ref(text: str) -> tuple[str | None, str]:
-    """``path:symbol`` at the last colon, if the left part looks like a path."""
+def parse_symbol_ref(text: str, root: str = "") -> tuple[str | None, str]:
+    """``path:symbol`` at the last colon, if the left part looks like a path; an absolute one
+    becomes relative to ``root``."""
     left, colon, right = text.rpartition(":")
     if colon and right and ("/" in left or re.search(r"\.\w+$", left)):
-        return left, right
+        return relative_path(left, root) if root else left, right
     return None, text

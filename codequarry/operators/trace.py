@@ -71,3 +71,8 @@ def full_trace(name: str, symbols: DataFrame, lines: DataFrame, edges: DataFrame
         "callers": callers_of(edges, name),
         "callees": callees_of(edges, name),
     }
+
+
+def first_definition(definitions: DataFrame) -> DataFrame:
+    """The first of several definitions by file and line, where nothing else chooses."""
+    return definitions.orderBy("path", "start_line").limit(1)

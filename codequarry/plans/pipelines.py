@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from codequarry.operators import search as s
 from codequarry.operators import store, trace
 from codequarry.operators.chunking import ChunkSize, chunk_table
 from codequarry.operators.embedding import PROVIDERS, embed_missing
-from codequarry.operators.prompting import context_text, split_context
+from codequarry.operators.prompting import clean_text, context_text, fold_summaries, split_context, stream_sse
 from codequarry.operators.symbols import symbol_table
 from codequarry.session import cut
 
@@ -48,25 +48,31 @@ def index_files(files: DataFrame, documents: DataFrame, chunks: DataFrame, confi
     return docs, rest.select(*new.columns).unionByName(new), counts
 
 
+def tables(spark: SparkSession, root: str) -> store.Versions:
+    """The documents and chunks kept below ``root``."""
+    return store.Versions(spark, root, {"documents": (DOCUMENTS, "path"), "chunks": (CHUNKS, "file_path")})
+
+
 def apply_changes(root: str, config: Config = Config()) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch`` over ``(path, op, mod_time, content)``: writes and
-    creations are indexed, removals and renames deleted, and both tables get a new
-    version. A repeated batch changes nothing, as unchanged files are skipped."""
+    """A function for ``foreachBatch`` over ``(path, op, mod_time, content)``, with ``ts`` and
+    ``seq`` where events have an order. The last event of a path counts: a write or creation
+    is indexed, a removal or rename deletes. Only buckets with a touched file are read and
+    written, both tables move together. A repeated batch changes nothing, as unchanged
+    files are skipped."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        docs, chunks = store.load(spark, f"{root}/documents", DOCUMENTS), store.load(spark, f"{root}/chunks", CHUNKS)
-        gone = batch.where(F.col("op").isin("remove", "rename")).select("path")
-        named = batch.where(F.col("op").isin("create", "write")).select("path", "mod_time", "content")
-        docs = docs.join(gone, "path", "left_anti")
-        chunks = chunks.join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
-        touched = docs.join(named.select("path"), "path", "left_semi")
-        own = chunks.join(touched.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-        new_docs, new_chunks, _ = index_files(named, touched, own.unionByName(chunks.limit(0)), config)
-        docs = docs.join(named.select("path"), "path", "left_anti").unionByName(new_docs)
-        chunks = chunks.join(named.select(F.col("path").alias("file_path")), "file_path", "left_anti").unionByName(new_chunks)
-        store.persist(chunks, f"{root}/chunks")
-        store.persist(docs, f"{root}/documents")
+        kept = tables(batch.sparkSession, root)
+        events = cut(store.last_events(batch))
+        touched = sorted(r.b for r in events.select(kept.bucket("path").alias("b")).distinct().collect())  # at most one a bucket
+        if not touched:
+            return
+        docs, chunks = kept.read("documents", touched), kept.read("chunks", touched)
+        named = events.where(F.col("op").isin("create", "write")).select("path", "mod_time", "content")
+        at = lambda df: df.select(F.col("path").alias("file_path"))
+        rest_docs, rest_chunks = docs.join(events, "path", "left_anti"), chunks.join(at(events), "file_path", "left_anti")
+        own_docs, own_chunks = docs.join(named.select("path"), "path", "left_semi"), chunks.join(at(named), "file_path", "left_semi")
+        new_docs, new_chunks, _ = index_files(named, own_docs, own_chunks, config)
+        kept.replace({"chunks": rest_chunks.unionByName(new_chunks), "documents": rest_docs.unionByName(new_docs)}, touched)
 
     return run
 
@@ -90,19 +96,58 @@ def directory_tree(files: DataFrame) -> DataFrame:
     return files.select(F.explode(above).alias("x")).select("x.*").distinct().orderBy("path")
 
 
+class LimitExceeded(RuntimeError):
+    """A client raises it where a model refuses a prompt as too long."""
+
+    def __init__(self, prompt: int = 0, limit: int = 0):
+        super().__init__(f"prompt of {prompt} tokens, limit {limit}")
+        self.prompt, self.limit = prompt, limit
+
+
+def _messages(context: str, question: str, carried: str = "") -> list[dict]:
+    before = f"Findings so far:\n{carried}\n\n" if carried else ""
+    return [{"role": "system", "content": "Answer from the given code only."}, {"role": "user", "content": f"{before}{context}\n\nQuestion: {question}"}]
+
+
+def ask_context(context: str, question: str, client: Callable[[list[dict]], str], window: int | None = None) -> str:
+    """Ask over a given context. One above ``window`` estimated tokens is split, and so is one
+    that the client refuses; a summary is carried over the parts."""
+    if window and len(context.encode()) // 4 > window:
+        parts = split_context(context)
+    else:
+        try:
+            return client(_messages(context, question))
+        except LimitExceeded:
+            parts = split_context(context)
+    return fold_summaries(parts, lambda part, so_far: client(_messages(part, question, so_far)))
+
+
+def ask_stream(context: str, question: str, client: Callable[[list[dict]], Iterable[str]]) -> Iterator[str]:
+    """Pieces of an answer as they come: ``client`` gives the lines of an event stream."""
+    yield from stream_sse(client(_messages(context, question)))
+
+
 def ask(chunks: DataFrame, question: str, client: Callable[[list[dict]], str], config: Config = Config(), limit: int = 10, window: int | None = None) -> str:
-    """Search, assemble the context and ask ``client(messages)``. A context above
-    ``window`` estimated tokens is split, and a summary is carried over its parts."""
+    """Search, assemble the context and ask ``client(messages)`` over it."""
     vector = PROVIDERS[config.embedding.provider]([question], config.embedding.dimensions)[0].tolist()
     found = s.search(chunks, vector, question, limit=limit, hybrid=config.search.hybrid, k=config.search.k, rules=config.search.rules, dedup=config.search.dedup)
     ranked = found.withColumn("rank", F.monotonically_increasing_id())
-    context = context_text(ranked).first()[0] or ""
-    parts = split_context(context) if window and len(context.encode()) // 4 > window else [context]
-    answer = ""
-    for p in parts:
-        carried = f"Findings so far:\n{answer}\n\n" if answer else ""
-        answer = client([{"role": "system", "content": "Answer from the given code only."}, {"role": "user", "content": f"{carried}{p}\n\nQuestion: {question}"}])
-    return answer
+    return ask_context(context_text(ranked).first()[0] or "", question, client, window)
+
+
+def package_docs(files: DataFrame, client: Callable[[list[dict]], str], least_files: int = 3) -> list[tuple[str, str]]:
+    """(package, text) for every package of at least ``least_files`` files: what ``client``
+    writes from its figures and symbols, cleaned of tags and fences."""
+    symbols = symbol_table(files, "path", "content")
+    rolled = arch.packages(files, "path", "content").join(arch.kinds_per_package(symbols), "dir", "left").fillna(0, ["functions", "types", "interfaces"])
+    large = arch.large_packages(rolled, least_files)
+    names = arch.report_symbols(symbols).groupBy("dir").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"])).alias("names"))
+    report = arch.package_report(large).join(names, "dir", "left").orderBy("dir")
+    out = []
+    for r in report.toLocalIterator():
+        text = client([{"role": "system", "content": "Describe the package."}, {"role": "user", "content": f"{r.text}\n{r.names or ''}"}])
+        out.append((r.dir, clean_text(text)))
+    return out
 
 
 def repository_status(config: Config, indexed: set[str]) -> list[tuple[str, str, str, str]]:
@@ -122,8 +167,10 @@ class Tools:
         vector = PROVIDERS[self.config.embedding.provider]([query], self.config.embedding.dimensions)[0].tolist()
         return s.search(self.chunks, vector, query, limit=limit, hybrid=True)
 
-    def trace(self, name: str) -> dict[str, DataFrame]:
-        return trace.full_trace(name, self.symbol_rows, self.line_rows, trace.call_edges(self.line_rows, self.symbol_rows))
+    def trace(self, name: str, most_references: int = 20) -> dict[str, DataFrame]:
+        """The full trace; of the references the first ones, as an answer lists them."""
+        out = trace.full_trace(name, self.symbol_rows, self.line_rows, trace.call_edges(self.line_rows, self.symbol_rows))
+        return out | {"references": out["references"].orderBy("path", "line").limit(most_references), "definition": trace.first_definition(out["definition"])}
 
     def map(self) -> dict[str, DataFrame]:
         return code_map(self.files)

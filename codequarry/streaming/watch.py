@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from codequarry.operators import store
+from codequarry.session import cut
 from codequarry.sources.scan import MAX_FILE_BYTES, is_text_file
 
 OPS = ("create", "write", "remove", "rename")
@@ -76,16 +78,81 @@ def debounce(events: DataFrame, tick: str, watermark: str | None = None) -> Data
     return src.groupBy(F.window("ts", tick).alias("w"), "path").agg(last.alias("e"), F.count("*").alias("n_events")).select(F.col("w.start").alias("tick_start"), "path", F.col("e.op").alias("op"), F.col("e.ts").alias("ts"), "n_events")
 
 
-def file_changes(spark: SparkSession, root: str) -> DataFrame:
-    """Stream of ``(path, op, ts, seq, content_hash, mod_time, content)`` over the files of a
-    tree; new folders are seen as they appear. Hidden and non-text files are left out."""
-    base = "^(?:file:)?/*" + re.escape(os.path.abspath(root).strip("/")) + "/"
-    src = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(root)
-    rows = src.select(
-        F.regexp_replace("path", base, "").alias("path"), F.lit("write").alias("op"), F.col("modificationTime").cast("timestamp_ntz").alias("ts"), F.unix_micros("modificationTime").alias("seq"),
-        F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("mod_time"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"),
-    )
-    return drop_hidden(rows).where(is_text_file(F.col("path")) & (F.col("size") <= MAX_FILE_BYTES)).drop("size")
+#: What is remembered of every file between two looks at a tree.
+KNOWN = "path string, mod_time timestamp, size long, content_hash string"
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, mod_time, size)`` of a tree's text files, hidden and large ones left out. Only
+    metadata is read; new folders are found by the listing itself."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = files.select(_relative(F.col("path"), root).alias("path"), F.col("modificationTime").alias("mod_time"), F.col("length").alias("size"))
+    return drop_hidden(rows).where(is_text_file(F.col("path")) & (F.col("size") <= MAX_FILE_BYTES))
+
+
+def _relative(path: Column, root: str) -> Column:
+    return F.regexp_replace(path, "^(?:file:)?/*" + re.escape(os.path.abspath(root).strip("/")) + "/", "")
+
+
+def _contents(spark: SparkSession, root: str, paths: DataFrame, whole: bool, block: int = 10_000) -> DataFrame:
+    """``(path, content, content_hash)`` of the given files, read by name in blocks; of a tree
+    seen for the first time all files are read at once."""
+    columns = [_relative(F.col("path"), root).alias("path"), F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash")]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if whole:
+        return reader.load(root).select(*columns).join(paths, "path", "left_semi")
+    out, names = None, []
+
+    def read() -> None:
+        nonlocal out, names
+        part = reader.load(names).select(*columns)
+        out, names = part if out is None else out.union(part), []
+
+    for r in paths.toLocalIterator():
+        names.append(f"{root.rstrip('/')}/{r.path}")
+        if len(names) == block:
+            read()
+    if names:
+        read()
+    return out if out is not None else spark.createDataFrame([], "path string, content string, content_hash string")
+
+
+def tree_changes(spark: SparkSession, root: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, what is known afterwards): a tree against ``known`` (see ``KNOWN``).
+
+    A file that is new gives ``create``, one whose time or size changed ``write``, one that is
+    gone ``remove``, or ``rename`` where a new file has its text. Events are
+    ``(path, op, ts, seq, content_hash, mod_time, content)``.
+    """
+    first = known.isEmpty()
+    now = cut(list_tree(spark, root))
+    old = known.select("path", F.col("mod_time").alias("_t"), F.col("size").alias("_s"), F.col("content_hash").alias("_h"))
+    both = now.join(old, "path", "full")
+    changed = both.where("mod_time is not null and (_t is null or _t != mod_time or _s != size)")
+    texts = cut(_contents(spark, root, changed.select("path"), first))
+    named = changed.join(texts, "path").select("path", F.when(F.col("_t").isNull(), "create").otherwise("write").alias("op"), F.col("mod_time").cast("timestamp_ntz").alias("ts"), "content_hash", "mod_time", "content")
+    fresh = named.where("op = 'create'").select(F.col("content_hash").alias("_h")).distinct().withColumn("_moved", F.lit(True))
+    gone = both.where("mod_time is null").join(fresh, "_h", "left").select("path", F.when(F.col("_moved"), "rename").otherwise("remove").alias("op"), F.current_timestamp().cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("timestamp").alias("mod_time"), F.lit(None).cast("string").alias("content"))
+    events = named.union(gone).withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp"))).select("path", "op", "ts", "seq", "content_hash", "mod_time", "content")
+    after = both.where("mod_time is not null").join(texts.select("path", F.col("content_hash").alias("_new")), "path", "left").select("path", "mod_time", "size", F.coalesce("_new", "_h").alias("content_hash"))
+    return events, after
+
+
+def look(spark: SparkSession, root: str, apply, state: str, batch_id: int = 0) -> None:
+    """One look at a tree: hand its changes to ``apply(events, batch_id)``, then remember it.
+    If ``apply`` fails, the next look sees the same changes again."""
+    events, after = tree_changes(spark, root, store.load(spark, state, KNOWN))
+    events = cut(events)
+    if not events.isEmpty():
+        after = cut(after)
+        apply(events, batch_id)
+        store.persist(after, state)
+
+
+def start_tree_watch(spark: SparkSession, root: str, apply, state: str, checkpoint: str, trigger: dict | None = None):
+    """Look at a tree at every trigger of a stream (500 milliseconds by default)."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+    return start_watch(ticks, lambda _, i: look(spark, root, apply, state, i), checkpoint, trigger)
 
 
 def counters(events: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Symbols, traces, call trees, control flow and change events on small fixtures."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def test_every_language_has_a_rule_that_works():
         "c": ("int add(int a) {\n  return a;\n}", "add"), "cpp": ("class Box {\n  int get() { return 1; }\n};", "Box"), "csharp": ("namespace A {\n class B {\n  public int Run() { return 1; }\n }\n}", "Run"),
         "cobol": ("       PROGRAM-ID. HELLO.", "HELLO"), "css": (".card {\n color: red;\n}", ".card"), "cypher": ("MATCH (p:Person) RETURN p", "Person"), "dockerfile": ("FROM alpine AS base\nRUN ls", "base"),
         "env": ("TOKEN_URL=x", "TOKEN_URL"), "properties": ("a.b=1", "a.b"), "go": ("func Run() {\n}", "Run"), "groovy": ("def build(x) {\n}", "build"), "hcl": ("resource \"aws\" \"web\" {\n}", "aws.web"),
-        "html": ("<div id=\"top\">", "div id=\"top\""), "java": ("class A {\n  void run() {\n  }\n}", "run"), "javascript": ("export function go1(a) {\n}", "go1"), "json": ("{\n  \"name\": 1\n}", "name"),
+        "html": ("<div id=\"top\">", "div#top"), "java": ("class A {\n  void run() {\n  }\n}", "run"), "javascript": ("export function go1(a) {\n}", "go1"), "json": ("{\n  \"name\": 1\n}", "name"),
         "kotlin": ("class A {\n  fun run() {\n  }\n}", "run"), "makefile": ("build: a b\n\techo", "build"), "markdown": ("# Title\ntext", "Title"), "mermaid": ("sequenceDiagram\n  participant A", "A"),
         "perl": ("package Foo;\nsub bar {\n}", "bar"), "php": ("class A {\n  function run() {\n  }\n}", "run"), "protobuf": ("message M {\n  string a = 1;\n}", "M"), "python": ("class A:\n    def f(self):\n        pass", "f"),
         "python2": ("def f():\n    print 1", "f"), "ruby": ("class A\n  def run\n  end\nend", "run"), "rust": ("impl A {\n  fn run(&self) {\n  }\n}", "run"), "shell": ("run() {\n  ls\n}", "run"),
@@ -134,6 +135,17 @@ def test_inline_ends_on_recursion():
     assert any(e["label"] == "call g" for e in g.edges) and len(g.paths()) == 1
 
 
+def test_every_call_of_a_block_is_inlined():
+    bodies = {k: [(f"func {k}() {{\n\t{k}1()\n}}", "go", 1)] for k in "abc"}
+    g = inline(build_graph("f", "func f() {\n\tx := a() + b()\n\tif c() > 0 {\n\t\ty()\n\t}\n}", "go"), "f", bodies)
+    assert [e["label"] for e in g.edges if e["label"].startswith("call")] == ["call a", "call b", "call c"]
+    labels = [[g.blocks[b]["label"].split(":")[0] for b in blocks] for blocks, _ in g.paths()]
+    assert len(labels) == 2 and all([x for x in path if x in "abc"] == ["a"] * 3 + ["b"] * 3 + ["c"] * 3 for path in labels)
+    assert [d for _, d in g.paths()] == [["if c() > 0 = true"], ["if c() > 0 = false"]]
+    again = inline(build_graph("g", "func g() {\n\tfor a() {\n\t\ty()\n\t}\n}", "go"), "g", bodies)
+    assert len(again.paths()) == 1 and any(e["back"] for e in again.edges)
+
+
 def test_graph_table(spark):
     df = spark.createDataFrame([("1", "f", "go", "func f() {\n\treturn\n}", 5), ("2", "g", None, "x", None), ("3", "h", "go", None, 1)], "id string, name string, lang string, src string, line int")
     rows = graph_table(df, "id", "name", "lang", "src", "line").collect()
@@ -187,16 +199,37 @@ def test_renderings():
     assert json.loads(graph_json(g))["exit_id"] == 1
 
 
-def test_file_stream(spark, tmp_path):
+def test_tree_changes(spark, tmp_path):
     root = tmp_path / "src"
     (root / "sub").mkdir(parents=True)
     (root / ".git").mkdir()
-    for p, t in {"a.go": "package a", "sub/b.py": "x = 1", ".git/c.go": "no", "d.bin": "no"}.items():
+    for p, t in {"a.go": "package a", "sub/b.py": "x = 1", ".git/c.go": "no", "d.bin": "no", "old.go": "package old"}.items():
         (root / p).write_text(t)
-    seen = {}
-    q = watch.start_watch(watch.file_changes(spark, str(root)), lambda df, i: seen.update({r.path: (r.op, r.content) for r in df.collect()}), str(tmp_path / "ck"), {"availableNow": True})
-    q.awaitTermination()
-    assert seen == {"a.go": ("write", "package a"), "sub/b.py": ("write", "x = 1")}
+    seen = []
+    look = lambda: watch.look(spark, str(root), lambda df, i: seen.append({r.path: (r.op, r.content) for r in df.collect()}), str(tmp_path / "state"))
+    look()
+    assert seen.pop() == {"a.go": ("create", "package a"), "sub/b.py": ("create", "x = 1"), "old.go": ("create", "package old")}
+    look()
+    assert not seen
+    (root / "a.go").write_text("package a // changed")
+    (root / "sub/b.py").unlink()
+    (root / "new").mkdir()
+    (root / "old.go").rename(root / "new/name.go")
+    look()
+    assert seen.pop() == {"a.go": ("write", "package a // changed"), "sub/b.py": ("remove", None), "old.go": ("rename", None), "new/name.go": ("create", "package old")}
+    with pytest.raises(ZeroDivisionError):  # what fails comes again
+        (root / "a.go").write_text("package b")
+        watch.look(spark, str(root), lambda df, i: 1 / 0, str(tmp_path / "state"))
+    look()
+    assert seen.pop() == {"a.go": ("write", "package b")}
+    q = watch.start_tree_watch(spark, str(root), lambda df, i: seen.append({r.path: r.op for r in df.collect()}), str(tmp_path / "state"), str(tmp_path / "ck"), {"processingTime": "200 milliseconds"})
+    (root / "late.go").write_text("package late")
+    for _ in range(120):
+        if seen:
+            break
+        time.sleep(0.25)
+    q.stop()
+    assert seen[0] == {"late.go": "create"}
 
 
 def test_predicates(spark, project):

@@ -37,16 +37,53 @@ def test_index(spark):
 
 
 def test_apply_changes(spark, tmp_path):
-    run = p.apply_changes(str(tmp_path))
+    run, kept = p.apply_changes(str(tmp_path)), p.tables(spark, str(tmp_path))
     schema = "path string, op string, mod_time timestamp, content string"
     one = spark.createDataFrame([("a.go", "create", T, GO), ("b.go", "write", T, GO)], schema)
     for _ in range(2):  # a repeated batch changes nothing
         run(one, 0)
-        assert store.load(spark, f"{tmp_path}/documents", p.DOCUMENTS).count() == 2
-    n = store.load(spark, f"{tmp_path}/chunks", p.CHUNKS).count()
+        assert kept.read("documents").count() == 2
+    n = kept.read("chunks").count()
+    before = kept.manifest()
     run(spark.createDataFrame([("a.go", "remove", T, None)], schema), 1)
-    assert store.load(spark, f"{tmp_path}/chunks", p.CHUNKS).count() == n // 2
-    assert [r.path for r in store.load(spark, f"{tmp_path}/documents", p.DOCUMENTS).collect()] == ["b.go"]
+    assert kept.read("chunks").count() == n // 2
+    assert [r.path for r in kept.read("documents").collect()] == ["b.go"]
+    after = kept.manifest()
+    assert all(after[t][b] == v for t in after for b, v in before[t].items() if b in after[t])  # b.go's bucket was not written again
+    run(one.limit(0), 2)
+    assert kept.manifest() == after
+
+
+def test_last_event_of_a_path_counts(spark, tmp_path):
+    run, kept = p.apply_changes(str(tmp_path)), p.tables(spark, str(tmp_path))
+    schema = "path string, op string, ts timestamp, seq long, mod_time timestamp, content string"
+    at = lambda k: T + dt.timedelta(seconds=k)
+    rows = [("a.go", "write", at(1), 1, T, GO), ("a.go", "remove", at(2), 2, None, None), ("b.go", "remove", at(1), 3, None, None), ("b.go", "write", at(1), 4, T, GO), ("c.go", "write", at(2), 6, T, GO + "\n// this is the second version of the file\n"), ("c.go", "write", at(2), 5, T, GO)]
+    run(spark.createDataFrame(rows, schema), 0)
+    docs = {r.path: r for r in kept.read("documents").collect()}
+    assert set(docs) == {"b.go", "c.go"}
+    assert any("second version" in r.content for r in kept.read("chunks").where("file_path = 'c.go'").collect())
+
+
+def test_a_refused_prompt_is_split():
+    sizes = []
+
+    def client(messages):
+        sizes.append(len(messages[1]["content"]))
+        if len(sizes) == 1:
+            raise p.LimitExceeded(900, 500)
+        return f"part {len(sizes)}"
+
+    text = "\n\n".join(f"paragraph {i} " + "word " * 60 for i in range(6))
+    assert p.ask_context(text, "why?", client).startswith("part") and len(sizes) > 2 and max(sizes[1:]) < sizes[0]
+    stream = ['data: {"choices": [{"delta": {"content": "a"}}]}', "noise", 'data: {"choices": [{"delta": {"content": "b"}, "finish_reason": "stop"}]}', 'data: {"choices": [{"delta": {"content": "c"}}]}']
+    assert list(p.ask_stream("ctx", "q", lambda m: iter(stream))) == ["a", "b"]
+
+
+def test_package_docs(spark):
+    f = files(spark, {f"a/f{i}.go": f"package a\n\nfunc F{i}() {{\n}}\n" for i in range(3)} | {"b/g.go": "package b\n"})
+    got = p.package_docs(f, lambda m: f"<think>x</think>```md\n{m[1]['content']}\n```")
+    assert [d for d, _ in got] == ["a"] and got[0][1].startswith("a: 3 files") and "F0, F1, F2" in got[0][1]
 
 
 def test_map_and_tree(spark):
