@@ -18,11 +18,12 @@ def references(lines: DataFrame, name: str) -> DataFrame:
     return lines.where(F.col("text").contains(name) & F.col("text").rlike(whole_word(name))).select("path", "line", trim_space(F.col("text")).alias("context"))
 
 
-def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
+def enclosing(points: DataFrame, ranges: DataFrame, only: str = "true") -> DataFrame:
     """Each point ``(path, line, ...)`` with the first range ``(path, start_line,
-    end_line, ordinal, ...)`` of its file that holds it, by ordinal."""
+    end_line, ordinal, ...)`` of its file that holds it, by ordinal, among those for which
+    the condition ``only`` holds."""
     r = ranges.withColumnRenamed("path", "_path")
-    hit = points.join(r, (F.col("path") == F.col("_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("_path")
+    hit = points.join(r, (F.col("path") == F.col("_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("_path").where(only)
     keys = points.columns
     order = Window.partitionBy(*keys).orderBy("ordinal")
     return hit.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

@@ -12,7 +12,7 @@ from codequarry.operators import architecture as arch
 from codequarry.operators import trace
 from codequarry.operators.controlflow import graph_table
 from codequarry.operators.symbols import function_table, symbol_table
-from codequarry.session import LOCAL_CHECKPOINT_DIR, read_table
+from codequarry.session import read_table, shared_folder
 from codequarry.streaming import watch
 
 HUB, WORD = "emitLog", "cache"
@@ -53,14 +53,16 @@ def j8_enclosing_chunk(spark, sf):
     """For the first line of every chunk: the first other chunk of its file that holds it."""
     c = read_table(spark, sf, "chunks").select("chunk_id", F.col("file_path").alias("path"), "start_line", "end_line").dropDuplicates(["chunk_id"]).where("start_line is not null and end_line is not null")
     points = c.select("path", F.col("start_line").alias("line"), F.col("chunk_id").alias("inner_chunk"))
+    # a chunk holds itself, so the first two ranges are asked for and the own one left out
     w = Window.partitionBy("path").orderBy("chunk_id")
     ranges = c.select("path", "start_line", "end_line", F.col("chunk_id").alias("outer_chunk"), F.row_number().over(w).alias("ordinal"))
-    own = points.join(ranges.withColumnRenamed("path", "p2"), (F.col("path") == F.col("p2")) & F.col("line").between(F.col("start_line"), F.col("end_line")) & (F.col("inner_chunk") != F.col("outer_chunk")))
-    first = Window.partitionBy("inner_chunk").orderBy("ordinal")
-    return own.withColumn("r", F.row_number().over(first)).where("r = 1").select("inner_chunk", "outer_chunk")
+    first = trace.enclosing(points, ranges)
+    own = first.where("inner_chunk = outer_chunk").select("path", "line", "inner_chunk")
+    others = trace.enclosing(own.join(ranges.select("path", F.col("outer_chunk").alias("inner_chunk"), F.col("ordinal").alias("after")), ["path", "inner_chunk"]).select("path", "line", "inner_chunk", "after"), ranges, "ordinal > after")
+    return first.where("inner_chunk != outer_chunk").select("inner_chunk", "outer_chunk").union(others.select("inner_chunk", "outer_chunk"))
 
 
-def j9_known_calls(spark, sf):
+def g6_called_names(spark, sf):
     """Calls in item bodies of names that are some item's symbol."""
     i = _items(spark, sf)
     known = i.where("symbol_name != ''").select(F.col("symbol_name").alias("callee")).distinct()
@@ -81,34 +83,6 @@ def g_symbols(spark, sf):
     return s.select(F.split("path", "\u0001")[0].alias("chunk_id"), "ordinal", "name", "kind", "start_line", "end_line", "parent")
 
 
-def g13_call_sites(spark, sf):
-    """Call edges found in the items' own text."""
-    i = _items(spark, sf).select(F.concat_ws("\u0001", F.col("info_id").cast("string"), "file_path").alias("key"), "content")
-    e = trace.call_edges(trace.lines_table(i, "key", "content"), symbol_table(i, "key", "content"))
-    return e.select("caller", F.split("caller_file", "\u0001")[0].cast("long").alias("info_id"), "caller_line", "callee")
-
-
-def a3_packages(spark, sf):
-    """Files, chunks and lines of every folder."""
-    f = read_table(spark, sf, "chunks").dropDuplicates(["chunk_id"]).select("file_path", x.directory(F.col("file_path")).alias("dir"), x.line_count(F.col("content")).alias("n"))
-    return f.groupBy("dir").agg(F.countDistinct("file_path").alias("n_files"), F.count("*").alias("n_chunks"), F.sum("n").alias("n_lines"), F.concat_ws(",", F.sort_array(F.collect_set(x.basename(F.col("file_path"))))).alias("files"))
-
-
-def a4_kinds_per_package(spark, sf):
-    i = _items(spark, sf)
-    return arch.kinds_per_package(symbol_table(i, "file_path", "content"))
-
-
-def g11_imports(spark, sf):
-    c = read_table(spark, sf, "chunks").dropDuplicates(["chunk_id"])
-    return arch.import_edges(trace.lines_table(c, "file_path", "content"))
-
-
-def g1_entry_points(spark, sf):
-    c = read_table(spark, sf, "chunks").dropDuplicates(["chunk_id"])
-    return arch.entry_points(symbol_table(c, "file_path", "content"), trace.lines_table(c, "file_path", "content"))
-
-
 def _roots(edges: DataFrame) -> DataFrame:
     """Functions that nobody calls."""
     return edges.select(F.col("caller").alias("root")).distinct().join(edges.select(F.col("callee").alias("root")).distinct(), "root", "left_anti")
@@ -164,7 +138,7 @@ def w3_suppressed(spark, sf):
 def w3_suppressed_stream(spark, sf):
     """The same by a stream over the table, its state kept per path."""
     schema = read_table(spark, sf, "events").schema
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + LOCAL_CHECKPOINT_DIR}/w3-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/w3-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     kept = watch.suppress_unchanged_stream(_events(stream))
     q = kept.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
@@ -184,8 +158,8 @@ def a19_watch_counters(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        a9_distinct_calls, g13_callers, g14_callees, g_call_degrees, j8_enclosing_chunk, j9_known_calls, g15_references, g_symbols, g13_call_sites, a3_packages,
-        a4_kinds_per_package, g11_imports, g1_entry_points, g7_call_trees, g7_reachable, g7_reachable_full, g17_blocks, g17_edges, g19_paths, w3_suppressed, w3_suppressed_stream,
+        a9_distinct_calls, g13_callers, g14_callees, g_call_degrees, j8_enclosing_chunk, g6_called_names, g15_references, g_symbols,
+        g7_call_trees, g7_reachable, g7_reachable_full, g17_blocks, g17_edges, g19_paths, w3_suppressed, w3_suppressed_stream,
         w4_debounced, a19_watch_counters,
     )
 }
@@ -207,7 +181,7 @@ ORACLE_SQL = {
     "j8_enclosing_chunk": """
         WITH c AS (SELECT chunk_id, any_value(file_path) AS f, any_value(start_line) AS s, any_value(end_line) AS e FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL GROUP BY chunk_id)
         SELECT a.chunk_id AS inner_chunk, min(b.chunk_id) AS outer_chunk FROM c a JOIN c b ON a.f = b.f AND a.s BETWEEN b.s AND b.e AND a.chunk_id <> b.chunk_id GROUP BY a.chunk_id""",
-    "j9_known_calls": r"""
+    "g6_called_names": r"""
         WITH i AS (SELECT info_id, any_value(symbol_name) AS symbol_name, any_value(content) AS content FROM chunk_infos GROUP BY info_id),
         c AS (SELECT DISTINCT info_id, symbol_name, unnest(regexp_extract_all(regexp_replace(content, '"[^"\n]*"|''[^''\n]*''|`[^`\n]*`', '""', 'g'), '\b([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1)) AS callee FROM i)
         SELECT info_id, callee FROM c WHERE callee IN (SELECT symbol_name FROM i WHERE symbol_name <> '') AND callee IS DISTINCT FROM symbol_name""",
@@ -215,12 +189,6 @@ ORACLE_SQL = {
         WITH c AS (SELECT chunk_id, any_value(content) AS content FROM chunks GROUP BY chunk_id),
         l AS (SELECT chunk_id, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM c)
         SELECT chunk_id, line, regexp_replace(t, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS context FROM l WHERE regexp_matches(t, '\b{WORD}\b')""",
-    "a3_packages": r"""
-        WITH c AS (SELECT chunk_id, any_value(file_path) AS file_path, any_value(content) AS content FROM chunks GROUP BY chunk_id)
-        SELECT CASE WHEN contains(file_path, '/') THEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir, count(DISTINCT file_path) AS n_files, count(*) AS n_chunks,
-               sum(CASE WHEN strlen(content) = 0 THEN 0 ELSE 1 + strlen(content) - strlen(replace(content, chr(10), '')) END)::BIGINT AS n_lines,
-               string_agg(DISTINCT regexp_extract(file_path, '([^/]*)$', 1), ',' ORDER BY regexp_extract(file_path, '([^/]*)$', 1)) AS files
-        FROM c GROUP BY 1""",
     "g7_reachable": f"""
         WITH RECURSIVE {_E}, d AS (SELECT DISTINCT caller, callee FROM e), r AS (SELECT DISTINCT caller AS root FROM d WHERE caller NOT IN (SELECT callee FROM d)),
         w AS (SELECT root, root AS name, 0 AS n FROM r UNION SELECT w.root, d.callee, w.n + 1 FROM w JOIN d ON d.caller = w.name WHERE w.n < 3)

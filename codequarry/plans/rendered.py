@@ -126,12 +126,12 @@ def r9_first_references(spark, sf):
     return t["definition"].select(F.lit("definition").alias("part"), "path", F.col("start_line").alias("line")).union(t["references"].select(F.lit("reference"), "path", "line"))
 
 
-def a3_packages_rolled_up(spark, sf):
+def a3_packages(spark, sf):
     p = arch.packages(files(spark, sf), "path", "content")
     return p.select("dir", "n_files", "n_lines", F.concat_ws(",", "files").alias("files"))
 
 
-def a4_kinds(spark, sf):
+def a4_kinds_per_package(spark, sf):
     return arch.kinds_per_package(_symbols(spark, sf)).select("dir", "functions", "types", "interfaces")
 
 
@@ -156,7 +156,7 @@ def i6_code_map(spark, sf):
     return pipelines.code_map(files(spark, sf))["totals"]
 
 
-def g11_import_edges(spark, sf):
+def g11_imports(spark, sf):
     """Imports between packages, out of import blocks."""
     return arch.import_edges(_lines(spark, sf))
 
@@ -165,7 +165,7 @@ def g11c_package_names(spark, sf):
     return files(spark, sf).select("path", arch.package_name(F.col("path"), F.col("content")).alias("package"))
 
 
-def g1_entry_points_found(spark, sf):
+def g1_entry_points(spark, sf):
     """Entry functions, command and route handlers."""
     return arch.entry_points(_symbols(spark, sf), _lines(spark, sf)).select("name", "path", "line", "kind", "label")
 
@@ -232,8 +232,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         s9_lines, f5_candidates, f8_functions, f9_listed_symbols, f10_functions_of_packages, j9_call_edges, j10_resolved_calls, g13_callers_of, g14_callees_of, g16_full_trace,
-        r9_first_references, a3_packages_rolled_up, a4_kinds, a18_reports, r8_report_symbols, f12_large_packages, i6_code_map, g11_import_edges, g11c_package_names,
-        g1_entry_points_found, r7_entry_point_order, j15_function_context, g17_graph_sizes, g18_branches, g20_first_decisions, i1_indexed_documents, a15_index_statistics,
+        r9_first_references, a3_packages, a4_kinds_per_package, a18_reports, r8_report_symbols, f12_large_packages, i6_code_map, g11_imports, g11c_package_names,
+        g1_entry_points, r7_entry_point_order, j15_function_context, g17_graph_sizes, g18_branches, g20_first_decisions, i1_indexed_documents, a15_index_statistics,
     )
 }
 
@@ -279,18 +279,18 @@ ORACLE_SQL = {
         UNION SELECT 'callee', f, l FROM (SELECT min_by(caller_file, (caller_file, caller_line)) AS f, min_by(caller_line, (caller_file, caller_line)) AS l FROM e WHERE caller IN (SELECT name FROM one) GROUP BY callee)""",
     "r9_first_references": _W + f"""SELECT 'definition' AS part, min(path) AS path, 8 AS line FROM n WHERE name IN (SELECT name FROM one)
         UNION ALL SELECT 'reference', * FROM (SELECT * FROM ({_REFS}) ORDER BY path, line LIMIT 20)""",
-    "a3_packages_rolled_up": _W + """SELECT repo AS dir, count(*) AS n_files, sum(1 + strlen(content) - strlen(replace(content, chr(10), '')))::BIGINT AS n_lines, string_agg('n' || n.node_id || '.go', ',' ORDER BY 'n' || n.node_id || '.go') AS files
+    "a3_packages": _W + """SELECT repo AS dir, count(*) AS n_files, sum(1 + strlen(content) - strlen(replace(content, chr(10), '')))::BIGINT AS n_lines, string_agg('n' || n.node_id || '.go', ',' ORDER BY 'n' || n.node_id || '.go') AS files
         FROM n JOIN c USING (node_id) GROUP BY repo""",
-    "a4_kinds": _W + "SELECT repo AS dir, count(*) AS functions, 0::BIGINT AS types, 0::BIGINT AS interfaces FROM defs GROUP BY repo",
+    "a4_kinds_per_package": _W + "SELECT repo AS dir, count(*) AS functions, 0::BIGINT AS types, 0::BIGINT AS interfaces FROM defs GROUP BY repo",
     "a18_reports": _W + """, p AS (SELECT repo, count(*) AS f, sum(1 + strlen(content) - strlen(replace(content, chr(10), '')))::BIGINT AS l FROM n JOIN c USING (node_id) GROUP BY repo), q AS (SELECT repo, count(*) AS k FROM defs GROUP BY repo)
         SELECT repo AS dir, repo || ': ' || f || ' files, ' || l || ' lines, ' || k || ' functions' AS text FROM p JOIN q USING (repo)""",
     "r8_report_symbols": _W + f""", {_FUNCS}, r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path, o)::INT AS position FROM fs) SELECT dir, position, name, 'function' AS kind FROM r WHERE position <= 30""",
     "f12_large_packages": _W + "SELECT repo AS dir, count(*) AS n_files FROM n GROUP BY repo HAVING count(*) >= 40",
     "i6_code_map": _W + "SELECT count(*)::BIGINT AS n_files, sum(1 + strlen(content) - strlen(replace(content, chr(10), '')))::BIGINT AS n_lines, count(DISTINCT repo) AS n_packages FROM n JOIN c USING (node_id)",
-    "g11_import_edges": _W + """, i AS (SELECT DISTINCT repo AS from_pkg, string_split('host/' || dir, '/') AS s FROM n)
+    "g11_imports": _W + """, i AS (SELECT DISTINCT repo AS from_pkg, string_split('host/' || dir, '/') AS s FROM n)
         SELECT DISTINCT from_pkg, array_to_string(s[greatest(1, len(s) - 1):], '/') AS to_pkg FROM i WHERE from_pkg <> array_to_string(s[greatest(1, len(s) - 1):], '/')""",
     "g11c_package_names": _W + "SELECT path, CASE WHEN root THEN 'main' ELSE 'part' END AS package FROM n",
-    "g1_entry_points_found": _W + f", {_ENTRY} SELECT * FROM ep",
+    "g1_entry_points": _W + f", {_ENTRY} SELECT * FROM ep",
     "r7_entry_point_order": _W + f", {_ENTRY} SELECT name, path, row_number() OVER (ORDER BY CASE kind WHEN 'main' THEN 0 WHEN 'command' THEN 1 ELSE 2 END, name, path)::INT AS position FROM ep",
     "j15_function_context": _W + """, me AS (SELECT * FROM n ORDER BY k DESC, node_id LIMIT 1),
         l AS (SELECT unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1))::INT AS line FROM c WHERE node_id IN (SELECT node_id FROM me)),

@@ -10,7 +10,7 @@ from codequarry.operators import search as s
 from codequarry.operators import store
 from codequarry.operators.chunking import ChunkSize, chunk_table
 from codequarry.operators.embedding import embed_missing
-from codequarry.operators.prompting import context_text, message_tokens
+from codequarry.operators.prompting import choose_repositories, context_text, message_tokens
 from codequarry.operators.symbols import is_test_path, language_of
 from codequarry.session import read_table
 from codequarry.sources.scan import is_ignored, is_text_file, parse_rules
@@ -86,12 +86,15 @@ def r4_best_keyword_chunk_per_file(spark, sf):
 
 
 def u1_federated_keyword_search(spark, sf):
-    """Best ten chunks of every repository, labelled with its role."""
-    scored = _chunks(spark, sf).withColumn("score", s.keyword_score(F.col("content"), F.col("file_path"), QUERY_TEXT.split())).where("score > 0")
-    w = Window.partitionBy("repo").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    repos = read_table(spark, sf, "repos").select(F.col("name").alias("repo"), "role")
-    return top.join(repos, "repo", "left").select("repo", "role", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    """Best ten chunks of every repository, labelled with its name and role, merged by score."""
+    c = _chunks(spark, sf)
+    repos = choose_repositories(read_table(spark, sf, "repos"), every=True)
+    parts = []
+    for r in repos.orderBy("name").collect():  # the registered repositories, a setting
+        own = c.where(F.col("repo") == r.name)
+        parts.append((r.name, r.role, s.keyword_topk(own, QUERY_TEXT, 10)))
+    out = s.federated(parts, 200)
+    return out.select(F.col("dep_name").alias("repo"), F.col("dep_role").alias("role"), "chunk_id", F.round("score", 6).alias("score"))
 
 
 def s20_result_json(spark, sf):
@@ -99,6 +102,10 @@ def s20_result_json(spark, sf):
     return s.result_json(out)
 
 
+def s21_result_text(spark, sf):
+    return s.result_text(s.search(_chunks(spark, sf), _query_vector(spark, sf), QUERY_TEXT, limit=20))
+
+
 def a1_store_stats(spark, sf):
     return store.store_stats(read_table(spark, sf, "chunks"))
 
@@ -158,9 +165,8 @@ def x_text_statistics(spark, sf):
 
 
 def x24_paragraphs(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("at", "p"))
-    w = Window.partitionBy("doc_id").orderBy("at")
-    return d.select("doc_id", "at", x.trim_space(F.col("p")).alias("p")).where("p != ''").select("doc_id", F.row_number().over(w).alias("paragraph"), F.octet_length("p").alias("n_bytes"))
+    d = read_table(spark, sf, "documents").select("doc_id", F.posexplode(x.paragraphs(F.col("text"))).alias("at", "p"))
+    return d.select("doc_id", (F.col("at") + 1).alias("paragraph"), F.octet_length("p").alias("n_bytes"))
 
 
 def r11_snippets(spark, sf):
@@ -208,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f1_usable_chunks, f3_chunks_in_order, f4_files, r1_vector_topk, r1_exact_neighbours, r2_keyword_topk, j4_rank_fusion, j5_boosts, i3_hybrid_search,
-        r4_best_keyword_chunk_per_file, u1_federated_keyword_search, s20_result_json, a1_store_stats, a2_chunks_per_file, j1_removed_files, j2_changed_items,
+        r4_best_keyword_chunk_per_file, u1_federated_keyword_search, s20_result_json, s21_result_text, a1_store_stats, a2_chunks_per_file, j1_removed_files, j2_changed_items,
         j3_reused_vectors, s12_upsert, s13_delete_by_file, x14_cosines, x_text_statistics, x24_paragraphs, r11_snippets, s4_text_files, s5_ignored_files,
         f16_languages, a16_document_tokens, a17_context, c1_line_chunks, i1_embedded_items,
     )
@@ -253,9 +259,18 @@ ORACLE_SQL = {
         b AS (SELECT * FROM k WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY score DESC, chunk_id) = 1)
         SELECT file_path, chunk_id, round(score, 6) AS score FROM b""",
     "u1_federated_keyword_search": f"""
-        WITH {_C}, k AS (SELECT repo, chunk_id, {_KW} AS score FROM c),
+        WITH {_C}, k AS (SELECT repo, chunk_id, {_KW} AS score FROM c WHERE repo IN (SELECT name FROM repos)),
         r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, chunk_id)::INT AS rank FROM k WHERE score > 0)
-        SELECT r.repo, p.role, r.rank, r.chunk_id, round(r.score, 6) AS score FROM r LEFT JOIN repos p ON p.name = r.repo WHERE r.rank <= 10""",
+        SELECT r.repo, p.role, r.chunk_id, round(r.score, 6) AS score FROM r JOIN (SELECT DISTINCT name, role FROM repos) p ON p.name = r.repo WHERE r.rank <= 10 ORDER BY r.score DESC, r.chunk_id LIMIT 200""",
+    "s20_result_json": f"""{_HYBRID}
+        SELECT '{{' || array_to_string(list_filter(['"file":' || to_json(file_path)::VARCHAR, '"start_line":' || start_line::VARCHAR, '"end_line":' || end_line::VARCHAR, '"score":"' || printf('%.4f', score) || '"', '"content":' || to_json(content)::VARCHAR], lambda v: v IS NOT NULL), ',') || '}}' AS json FROM t""",
+    "s21_result_text": f"""{_HYBRID},
+        h AS (SELECT *, array_to_string(list_slice(string_split({_TRIM.format('content')}, chr(10)), 1, 2), chr(10)) AS s FROM t)
+        SELECT file_path || ':' || coalesce(start_line::VARCHAR, '?') || printf(' (%.4f)', score) || chr(10) || CASE WHEN strlen(s) > 100 THEN substr(s, 1, 100) || '...' ELSE s END AS text FROM h""",
+    "i1_embedded_items": """
+        WITH i AS (SELECT info_id, any_value(content) AS content FROM chunk_infos GROUP BY info_id),
+        k AS (SELECT content, arg_min(len(vector), chunk_id) AS d FROM chunks WHERE len(vector) > 0 GROUP BY content)
+        SELECT info_id, k.content IS NOT NULL AS reused, coalesce(k.d, 64)::INT AS dimensions FROM i LEFT JOIN k ON k.content = i.content""",
     "a1_store_stats": "SELECT count(DISTINCT file_path) AS n_files, count(DISTINCT chunk_id) AS n_chunks, max(updated_at) AS last_updated FROM chunks",
     "a2_chunks_per_file": """
         WITH f AS (SELECT file_path FROM chunks UNION SELECT file_path FROM chunk_infos)
@@ -296,6 +311,19 @@ ORACLE_SQL = {
                WHEN 'java' THEN regexp_matches(file_path, 'Test\.java$|/test/') WHEN 'c' THEN contains(file_path, 'test') WHEN 'rust' THEN regexp_matches(file_path, 'tests/|_test\.rs$')
                WHEN 'ruby' THEN regexp_matches(file_path, '_spec\.rb$|_test\.rb$') ELSE false END, false) AS is_test FROM l""",
     "a16_document_tokens": "SELECT source, sum(strlen(text))::BIGINT // 4 AS n_tokens, count(*) AS n_messages FROM documents GROUP BY source",
+    "c1_line_chunks": r"""
+        WITH RECURSIVE d AS (SELECT source || '/' || doc_id AS path, list_transform(string_split(text, chr(10)), lambda v, i: v || CASE WHEN i < len(string_split(text, chr(10))) THEN chr(10) ELSE '' END) AS all_lines FROM documents),
+        l AS (SELECT path, list_filter(all_lines, lambda v: v <> '') AS ls FROM d),
+        m AS (SELECT path, ls, len(ls) AS n, list_transform(range(0, len(ls) + 1), lambda i: coalesce(list_sum(list_transform(ls[1:i], lambda v: strlen(v))), 0)::BIGINT) AS cum FROM l WHERE len(ls) > 0 AND trim(array_to_string(ls, ''), E' \t\n\r\x0B\f') <> ''),
+        w AS (SELECT path, ls, n, cum, 0::BIGINT AS q, 0 AS idx, -1::BIGINT AS s, -1::BIGINT AS e FROM m
+            UNION ALL
+            SELECT path, ls, n, cum, CASE WHEN NOT good THEN e2 WHEN q < back AND back < e2 THEN back ELSE e2 END, idx + good::INT, CASE WHEN good THEN q ELSE -1 END, e2
+            FROM (SELECT *, CASE WHEN e2 < n THEN greatest(0, len(list_filter(cum[1:e2 + 1], lambda c: c <= cum[e2 + 1] - 64)) - 1) ELSE e2 END AS back,
+                         strlen(regexp_replace(array_to_string(ls[q + 1:e2], ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) >= 16 AS good
+                  FROM (SELECT path, ls, n, cum, q, idx, greatest(q + 1, len(list_filter(cum, lambda c: c <= cum[q + 1] + 512)) - 1) AS e2 FROM w WHERE q < n))),
+        c AS (SELECT path, path || '_' || (idx - 1) AS chunk_id, (s + 1)::INT AS start_line, array_to_string(ls[s + 1:e], '') AS t FROM w WHERE s >= 0),
+        r AS (SELECT *, greatest(start_line, start_line + strlen(t) - strlen(replace(t, chr(10), '')) - CASE WHEN t LIKE '%' || chr(10) THEN 1 ELSE 0 END)::INT AS end_line FROM c)
+        SELECT path, chunk_id, start_line, end_line, substr(sha256(path || ':' || start_line || ':' || end_line || ':' || t), 1, 16) AS hash, sha256(t) AS content_hash FROM r""",
     "a17_context": f"""{_HYBRID}
         SELECT string_agg('File: ' || file_path || ':' || coalesce(start_line::VARCHAR || '-', '') || coalesce(end_line::VARCHAR || chr(10), '') || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, chunk_id) AS context FROM t
         WHERE start_line IS NOT NULL AND end_line IS NOT NULL""",

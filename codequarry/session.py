@@ -33,13 +33,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``, else a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + LOCAL_CHECKPOINT_DIR
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable: the shared folder named in the
     session's ``spark.checkpoint.dir``, else a local one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR)
+    sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def make_session(cpus: int = 8, shuffle_partitions: int | None = None, **conf: s
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
     )
-    for k, v in conf.items():
+    for k, v in ({"spark__checkpoint__dir": "file://" + LOCAL_CHECKPOINT_DIR} | conf).items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
