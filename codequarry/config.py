@@ -7,6 +7,9 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from codequarry.operators.search import BOOST_RULES, DEFAULT_LIMIT, FUSION_K
 
 try:
@@ -71,6 +74,14 @@ class Config:
         return (a.provider, a.model, a.dimensions) == (b.provider, b.model, b.dimensions)
 
 
+def same_vectors(a: str, b: str) -> Column:
+    """The same of two rows with columns ``provider, model, dimensions`` under these prefixes."""
+    out = F.lit(True)
+    for c in ("provider", "model", "dimensions"):
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
 def _make(cls, values: dict):
     known = {f.name: f for f in dataclasses.fields(cls)}
     out = {}

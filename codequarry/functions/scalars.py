@@ -65,6 +65,16 @@ def call_names(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(plain, F.lit(CALL_PATTERN), F.lit(1)))
 
 
+def identifiers(text: Column) -> Column:
+    """Distinct identifiers of a text, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))))
+
+
+def words(text: Column) -> Column:
+    """Parts between runs of white space, empty ones dropped."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
 def directory(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
 

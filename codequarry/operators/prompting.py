@@ -6,9 +6,12 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.functions.scalars import trim_space
+
 #: Phrases of a response that says a prompt is too long.
 LIMIT_PHRASES = ("max_prompt_tokens_exceeded", "exceeds the limit", "context length", "too long", "prompt is too long", "maximum context length", "token limit", "context_length_exceeded")
 
@@ -57,6 +60,24 @@ def split_context(text: str, parts: int = 2, depth: int = 0) -> list[str]:
     return out
 
 
+def context_parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, part_no, text)``: the parts of ``split_context`` of every text, from 1. Null ids
+    and texts give no row."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            who, number, parts = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = split_context(text)
+                who += [i] * len(own)
+                number += range(1, len(own) + 1)
+                parts += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(number, pa.int32()), pa.array(parts, pa.string())], names=["id", "part_no", "text"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").mapInArrow(run, f"id {kind}, part_no int, text string")
+
+
 def fold_summaries(parts: list[str], ask) -> str:
     """Carry a summary over the parts: ``ask(part, summary so far)``. Sequential by nature."""
     summary = ""
@@ -80,8 +101,8 @@ def token_limit_error(status: Column, body: Column) -> Column:
 
 def clean_answer(text: Column) -> Column:
     """An answer without reasoning tags and an enclosing code fence."""
-    out = F.regexp_replace(text, r"(?s)<think(?:ing)?>.*?</think(?:ing)?>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(out), r"^```\w*\n", ""), r"\n```$", ""))
+    out = trim_space(F.regexp_replace(text, r"(?s)<think(?:ing)?>.*?</think(?:ing)?>", ""))
+    return trim_space(F.regexp_replace(F.regexp_replace(out, r"^```\w*\n", ""), r"\n```$", ""))
 
 
 def clean_text(text: str) -> str:
@@ -149,7 +170,7 @@ def first_bytes(text: Column, n: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     """A duration for reading: milliseconds below a second, then seconds, then minutes and seconds."""
     ms, whole = F.round(seconds * 1000).cast("long"), F.floor(seconds).cast("long")
-    return F.when(seconds < 1, F.concat(ms.cast("string"), F.lit("ms"))).when(seconds < 60, F.concat(F.format_string("%.1f", seconds.cast("double")), F.lit("s"))).otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), (whole % 60).cast("string"), F.lit("s")))
+    return F.when(seconds < 1, F.concat(ms.cast("string"), F.lit("ms"))).when(seconds < 60, F.concat(F.format_string("%.1f", F.round(seconds.cast("double"), 1)), F.lit("s"))).otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), (whole % 60).cast("string"), F.lit("s")))
 
 
 def symbol_ref(text: Column) -> Column:
