@@ -261,18 +261,18 @@ def walk_tree(root: str, children: dict[str, list[str]], max_depth: int) -> list
 
 def _levels(roots: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """(edges ``(root, name, child)`` each root can reach, nodes ``(root, name)`` reached
-    within ``depth`` calls), gathered level by level."""
+    within ``depth`` calls), gathered level by level: a level is one job."""
     e = edges.select(F.col("caller").alias("name"), F.col("callee").alias("child")).where("name is not null and child is not null and name != '' and child != ''").distinct()
-    front = seen = roots.select("root").distinct().withColumn("name", F.col("root"))
-    own = roots.select("root", F.col("root").alias("name"), F.lit(None).cast("string").alias("child")).limit(0)
-    for _ in range(depth):
-        step = cut(front.join(e, "name").select("root", "name", "child"))
-        own = own.union(step)
-        front = cut(step.select("root", F.col("child").alias("name")).distinct().join(seen, ["root", "name"], "left_anti"))
+    e = cut(e)
+    front = seen = roots.select("root").distinct().select("root", F.col("root").alias("name"), F.lit(0).alias("level"))
+    for level in range(1, depth + 1):
+        new = front.join(e, "name").select("root", F.col("child").alias("name")).distinct()
+        front = cut(new.join(seen, ["root", "name"], "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.union(front)
-    return own, seen
+    own = seen.where(F.col("level") < depth).join(e, "name").select("root", "name", "child")
+    return own, seen.select("root", "name")
 
 
 def reachable(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

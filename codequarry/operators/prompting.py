@@ -163,7 +163,7 @@ def first_bytes(text: Column, n: Column) -> Column:
     whole = head.cast("string")
     for k in (1, 2, 3):
         shorter = F.substring(text.cast("binary"), F.lit(1), n - k).cast("string")
-        whole = F.when(F.startswith(text, whole), whole).otherwise(shorter)
+        whole = F.when(F.is_valid_utf8(whole), whole).otherwise(shorter)
     return whole
 
 
@@ -196,7 +196,7 @@ def declaration_text(spans: DataFrame, lines: DataFrame, most: int = 30) -> Data
     w = Window.partitionBy("name", "_p", "start_line").orderBy("line")
     own = own.withColumn("_d", F.sum(depth("{") - depth("}")).over(w)).withColumn("_o", F.sum(depth("{")).over(w))
     closed = F.min(F.when((F.col("_o") > 0) & (F.col("_d") <= 0), F.col("line"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    any_ = F.max("_o").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    any_ = F.max(F.when(F.col("line") <= F.col("start_line") + 1, F.col("_o"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     last = F.when(F.col("end_line") > F.col("start_line"), F.col("end_line")).otherwise(F.when(any_ > 0, F.coalesce(closed, F.col("start_line") + most)).otherwise(F.col("start_line")))
     kept = own.withColumn("_last", last).where("line <= _last")
     return kept.groupBy("name", F.col("_p").alias("path"), "start_line").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])).alias("text"))

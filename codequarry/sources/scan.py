@@ -46,6 +46,17 @@ def parse_rules(text: str) -> list[IgnoreRule]:
     return [r for line in text.split("\n") if (r := parse_rule(line))]
 
 
+def load_rules(root: str, files: tuple[str, ...] = (".gitignore",)) -> list[IgnoreRule]:
+    """Rules of a tree's ignore files in order, so that later files win; missing ones are skipped."""
+    out: list[IgnoreRule] = []
+    for name in files:
+        path = os.path.join(root, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out += parse_rules(f.read())
+    return out
+
+
 def is_text_file(path: Column) -> Column:
     name = F.lower(basename(path))
     return name.isin(TEXT_NAMES) | extension(path).isin([f".{e}" for e in TEXT_EXTENSIONS])
@@ -63,16 +74,16 @@ def _verdict(path: Column, is_dir: bool, rules: list[IgnoreRule]) -> Column:
     return out
 
 
-def is_ignored(path: Column, names: list[str], rules: list[IgnoreRule], max_depth: int = 32) -> Column:
+def is_ignored(path: Column, names: list[str], rules: list[IgnoreRule]) -> Column:
     """A path part is a listed name, or a parent folder is ignored (nothing below it
     comes back), or the last rule that matches the file ignores it.
 
     All folders above a path are tried, so a flat list of paths gives what a walk
-    that skips ignored folders gives. Rules apply to folders up to ``max_depth``.
+    that skips ignored folders gives, at any depth.
     """
     parts = F.split(path, "/")
     listed = F.arrays_overlap(parts, F.array(*(F.lit(n) for n in names))) if names else F.lit(False)
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(parts) - 1, F.lit(max_depth)))), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))
     by_folder = F.when(F.size(parts) > 1, F.exists(above, lambda p: _verdict(p, True, rules))).otherwise(False)
     return listed | by_folder | _verdict(path, False, rules)
 

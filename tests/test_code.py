@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import architecture as arch
 from codequarry.operators import trace
+from codequarry.operators.prompting import declaration_text, function_context
 from codequarry.operators.controlflow import build_graph, graph_json, graph_table, graph_text, inline
 from codequarry.operators.languages import LANGUAGES
 from codequarry.operators.symbols import Ambiguous, NotFound, extract, find_candidates, find_functions, is_test_path, language_of, select_one, symbol_table, traceable
@@ -192,6 +193,47 @@ def test_entry_points(spark):
     assert got == {("runServe", "command", "serve"), ("init", "init", "cmd"), ("listUsers", "handler", "listUsers"), ("show", "handler", '@app.route("/x")'), ("get", "handler", "django")}
 
 
+def test_handlers_of_many_frameworks(spark):
+    files = spark.createDataFrame(
+        [
+            ("routes/web.php", "<?php\nRoute::get('/a', [UserController::class, 'show']);\nRoute::post('/b', 'UserController@store');\n"),
+            ("app/UserController.php", "<?php\nclass UserController {\n    public function show($id) {\n    }\n    public function store() {\n    }\n    public function other() {\n    }\n}\n"),
+            ("config/routes.rb", "Rails.application.routes.draw do\n  get '/c', to: 'users#list'\nend\n"),
+            ("app/users.rb", "class Users\n  def list\n    1\n  end\nend\n"),
+            ("urls.py", "urlpatterns = [path('x/', views.index, name='index')]\n"),
+            ("views.py", "def index(request):\n    return 1\n"),
+            ("app.js", "app.get('/d', auth, fetchAll);\nfunction fetchAll(q) {\n  return 1;\n}\n"),
+            ("A.java", "class A {\n    @GetMapping(\"/e\")\n    @PostMapping(\"/f\")\n    public int both(int a) {\n        return a;\n    }\n    @DeleteMapping(\"/far\")\n\n\n\n\n\n\n    public int far(int a) {\n        return a;\n    }\n}\n"),
+            ("S.java", "public class S extends HttpServlet {\n    void doGet(int a) {\n    }\n    void helper(int a) {\n    }\n}\n"),
+            ("cmd/m.go", "package main\n\nfunc main() {\n}\n"), ("lib/m.go", "package lib\n\nfunc main() {\n}\n"),
+        ],
+        "path string, content string",
+    )
+    got = {(r.name, r.path, r.kind): r.label for r in arch.entry_points(symbol_table(files, "path", "content"), trace.lines_table(files, "path", "content")).collect()}
+    u = "app/UserController.php"
+    assert set(got) == {("show", u, "handler"), ("store", u, "handler"), ("list", "app/users.rb", "handler"), ("index", "views.py", "handler"), ("fetchAll", "app.js", "handler"), ("both", "A.java", "handler"), ("doGet", "S.java", "handler"), ("main", "cmd/m.go", "main")}
+    assert got["both", "A.java", "handler"].startswith("@PostMapping") and got["doGet", "S.java", "handler"] == "servlet"
+
+
+def test_names_of_packages_and_modules(spark):
+    df = spark.createDataFrame([("go.mod", "module host/repo\n\ngo 1.22\n"), ("a/b.go", "// x\npackage inner\n"), ("c/d.py", "x = 1\n"), ("e/F.java", "package p.q;\n")], "path string, content string")
+    assert [r.module for r in arch.module_path(df, "path", "content").collect()] == ["host/repo"]
+    assert {r.path: r.n for r in df.select("path", arch.package_name(F.col("path"), F.col("content")).alias("n")).collect()} == {"go.mod": ".", "a/b.go": "inner", "c/d.py": "c", "e/F.java": "p.q"}
+
+
+def test_function_context(spark):
+    text = "package p\n\ntype Box struct {\n\tsize Size\n}\n\ntype Size struct {\n\tn int\n}\n\nfunc (b *Box) Get(s Size) int {\n\treturn load(s)\n}\n\nfunc load(s Size) int {\n\treturn s.n\n}\n"
+    files = spark.createDataFrame([("a.go", text)], "path string, content string")
+    c = function_context(symbol_table(files, "path", "content"), trace.lines_table(files, "path", "content"), "a.go", 11)
+    assert [r.line for r in c["header"].collect()] == list(range(1, 11))
+    assert [r.text for r in c["parent"].collect()] == ["type Box struct {\n\tsize Size\n}"]
+    assert [(r.name, r.text) for r in c["types"].collect()] == [("Size", "type Size struct {\n\tn int\n}")]
+    assert [r.name for r in c["callees"].collect()] == ["load"]
+    # a declaration whose end is not known is balanced by its braces
+    spans = spark.createDataFrame([("Size", "a.go", 7, 7), ("none", "a.go", 1, 1)], "name string, path string, start_line int, end_line int")
+    assert {r.name: r.text.count("\n") for r in declaration_text(spans, trace.lines_table(files, "path", "content")).collect()} == {"Size": 2, "none": 0}
+
+
 def test_renderings():
     g = build_graph("f", "func f(x int) {\n\tif x > 0 {\n\t\ty()\n\t}\n}", "go")
     text = graph_text(g)

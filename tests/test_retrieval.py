@@ -11,8 +11,8 @@ from codequarry.operators import search as s
 from codequarry.operators import store
 from codequarry.operators.chunking import ChunkSize, chunk_by_symbols, chunk_file, chunk_table
 from codequarry.operators.embedding import embed, embed_missing
-from codequarry.operators.prompting import choose_repositories, clean_answer, fold_summaries, parse_symbol_ref, read_sse, split_context, split_middle, token_limit_error
-from codequarry.sources.scan import IgnoreRule, indexable, is_ignored, parse_rule, parse_rules, scan_tree, walk_following_links
+from codequarry.operators.prompting import choose_repositories, clean_answer, duration_text, excerpts, first_bytes, fold_summaries, parse_symbol_ref, read_sse, split_context, split_middle, token_limit_error
+from codequarry.sources.scan import load_rules, IgnoreRule, indexable, is_ignored, parse_rule, parse_rules, scan_tree, walk_following_links
 
 CHUNKS = [
     ("auth_0", "src/auth.go", 1, 10, "func login()", [1.0, 0.0, 0.0]),
@@ -189,3 +189,23 @@ def test_text_functions(spark):
     assert [tuple(r) for r in got] == [(3, 1, 18), (0, 0, 0), (0, 2, 2)]
     m = spark.createDataFrame([('if (a < "b")',)], "t string").select(x.mermaid_escape(F.col("t"))).first()[0]
     assert m == "if #40;a #lt; #quot;b#quot;#41;"
+
+
+def test_rules_reach_any_depth(spark, tmp_path):
+    deep = "/".join(f"d{i}" for i in range(60))
+    df = spark.createDataFrame([(f"{deep}/gone/a.go",), (f"{deep}/kept/a.go",)], "p string")
+    (tmp_path / ".gitignore").write_text("gone/\n# remark\n")
+    (tmp_path / ".own").write_text("!x\n")
+    rules = load_rules(str(tmp_path), (".gitignore", ".none", ".own"))
+    assert [r.pattern for r in rules] == ["gone", "x"] and rules[1].negated
+    assert [r.p for r in df.where(~is_ignored(F.col("p"), [], rules)).collect()] == [f"{deep}/kept/a.go"]
+
+
+def test_heads_and_references(spark):
+    df = spark.createDataFrame([("é" * 20,), ("abc",), ("",)], "t string")
+    assert [r.h for r in df.select(first_bytes(F.col("t"), F.lit(7)).alias("h")).collect()] == ["ééé", "abc", ""]
+    d = spark.createDataFrame([("README.md", "x" * 5000), ("sub/README.md", "y"), ("go.mod", "z" * 2000), ("Makefile", "m")], "p string, t string")
+    assert {r.kind: len(r.text) for r in excerpts(d, "p", "t").collect()} == {"readme": 3000, "manifest": 1500, "makefile": 1}
+    assert parse_symbol_ref("/root/src/a.go:F", "/root") == ("src/a.go", "F") and parse_symbol_ref("other:F") == (None, "other:F")
+    s = spark.createDataFrame([(0.25,), (5.0,), (125.4,)], "s double").select(duration_text(F.col("s")).alias("d")).collect()
+    assert [r.d for r in s] == ["250ms", "5.0s", "2m5s"]
