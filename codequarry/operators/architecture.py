@@ -264,7 +264,7 @@ def _levels(roots: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame,
     within ``depth`` calls), gathered level by level: a level is one job."""
     e = edges.select(F.col("caller").alias("name"), F.col("callee").alias("child")).where("name is not null and child is not null and name != '' and child != ''").distinct()
     e = cut(e)
-    front = seen = roots.select("root").distinct().select("root", F.col("root").alias("name"), F.lit(0).alias("level"))
+    front = seen = cut(roots.select("root").distinct().select("root", F.col("root").alias("name"), F.lit(0).alias("level")))
     for level in range(1, depth + 1):
         new = front.join(e, "name").select("root", F.col("child").alias("name")).distinct()
         front = cut(new.join(seen, ["root", "name"], "left_anti").withColumn("level", F.lit(level)))
@@ -286,7 +286,7 @@ def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFr
     The edges a root can reach within the depth are gathered level by level by joins,
     so a task holds one root's own edges, not the graph. Children come in name order.
     """
-    own, _ = _levels(roots, edges, max_depth + 1)
+    own, seen = _levels(roots, edges, max_depth + 1)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         children: dict[str, list[str]] = {}
@@ -298,7 +298,7 @@ def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFr
         root = pdf["root"].iloc[0]
         return pd.DataFrame([(root, *r) for r in walk_tree(root, children, max_depth)], columns=["root", "seq", "parent_seq", "depth", "name", "marker"])
 
-    every = own.union(roots.select("root", F.col("root"), F.lit(None).cast("string")).distinct())
+    every = own.union(seen.where("root = name").select("root", "name", F.lit(None).cast("string")))
     return every.groupBy("root").applyInPandas(build, "root string, seq int, parent_seq int, depth int, name string, marker string")
 
 

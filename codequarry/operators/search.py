@@ -159,6 +159,23 @@ def search(chunks: DataFrame, query_vector: list[float], query: str, *, limit: i
     return rows.orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def keyword_topk_by(chunks: DataFrame, query: str, k: int, by: str) -> DataFrame:
+    """``(chunk_id, score, <by>)``: the k best of every value of a column, in one pass; a rank
+    limit per partition keeps a hot value from being sorted whole."""
+    terms = query.lower().split()
+    scored = chunks.select(by, "chunk_id", keyword_score(F.col("content"), F.col("file_path"), terms).alias("score") if terms else F.lit(0.0).alias("score")).where("score > 0")
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def federated_keywords(chunks: DataFrame, repositories: DataFrame, query: str, k: int, limit: int) -> DataFrame:
+    """As ``federated`` over one table that holds all repositories: the k best chunks of each
+    registered one ``(name, role)``, labelled, merged and cut again."""
+    own = repositories.select(F.col("name").alias("dep_name"), F.col("role").alias("dep_role")).distinct()
+    top = keyword_topk_by(chunks.join(own.select(F.col("dep_name").alias("repo")), "repo", "left_semi"), query, k, "repo")
+    return top.join(own, F.col("repo") == F.col("dep_name")).drop("repo").orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
 def federated(results: list[tuple[str, str, DataFrame]], limit: int) -> DataFrame:
     """Union of the results of several repositories, labelled (name, role), cut again."""
     out = None

@@ -87,13 +87,8 @@ def r4_best_keyword_chunk_per_file(spark, sf):
 
 def u1_federated_keyword_search(spark, sf):
     """Best ten chunks of every repository, labelled with its name and role, merged by score."""
-    c = _chunks(spark, sf)
     repos = choose_repositories(read_table(spark, sf, "repos"), every=True)
-    parts = []
-    for r in repos.orderBy("name").collect():  # the registered repositories, a setting
-        own = c.where(F.col("repo") == r.name)
-        parts.append((r.name, r.role, s.keyword_topk(own, QUERY_TEXT, 10)))
-    out = s.federated(parts, 200)
+    out = s.federated_keywords(_chunks(spark, sf), repos, QUERY_TEXT, 10, 200)
     return out.select(F.col("dep_name").alias("repo"), F.col("dep_role").alias("role"), "chunk_id", F.round("score", 6).alias("score"))
 
 
