@@ -222,6 +222,7 @@ def most_similar(
     visit: int = 8,
     train_rows: int = 16384,
     block: int = 4096,
+    task_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``(query_id, neighbour_id, cosine, rank)``: up to k neighbours of each vector.
 
@@ -304,7 +305,11 @@ def most_similar(
 
     kind = "g long, tag int, rid long, data binary"
     blocks = reps.select("rid", "vec").mapInArrow(route(True), kind).union(asked.mapInArrow(route(False), kind))
-    hits = blocks.repartition("g").sortWithinPartitions("g", "tag").mapInArrow(search, "q long, x long, cosine double")
+    # as many tasks as hold about ``task_bytes`` each: a number of its own, as adaptive execution only merges
+    n_asked = asked.count()
+    sent = (n + n_asked * min(probes, len(index.cells))) * (4 * dim + SUBSPACES + 24)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // task_bytes))
+    hits = blocks.repartition(int(tasks), "g").sortWithinPartitions("g", "tag").mapInArrow(search, "q long, x long, cosine double")
     near = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "x"))).where(F.col("r") <= k).select("q", "x", "cosine")
     # of each class of equal vectors, the k + 1 smallest ids can stand among anyone's k neighbours
     few = member.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rid").alias("x"), F.col("id").alias("neighbour_id"))
