@@ -247,9 +247,10 @@ def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     at most 2^BITS numbers a document. Besides the languages of ``FAMILIES`` every label
     of at least 50 documents and ``least_share`` of the labelled ones is a language."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), normal_label(F.col(label_col)).alias("lang")).where("lang is not null and text is not null and id is not null")
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    least = max(50, least_share * (counted.agg(F.sum("n")).first()[0] or 0))
-    labels = [r.lang for r in counted.where(F.col("lang").isin(*LANGUAGES) | (F.col("n") >= least)).select("lang").collect()]  # at most 1 / least_share more
+    # at most 1 / least_share labels can have that share; the row without a label is the total
+    counted = [(r.lang, r.n) for r in rows.rollup("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(int(1 / least_share) + len(LANGUAGES) + 1).collect()]
+    least = max(50, least_share * max((n for lang, n in counted if lang is None), default=0))
+    labels = [lang for lang, n in counted if lang and (lang in LANGUAGES or n >= least)]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = rows.where(F.col("lang").isin(labels)).select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang")
     sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang").mapInArrow(_longest, "id string, lang string, gram array<int>, times array<long>")
