@@ -228,7 +228,7 @@ def gram_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _longest(batches):
-    schema = pa.schema([("id", pa.string()), ("lang", pa.string()), ("gram", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.string()), ("lang", pa.string()), ("gram", pa.binary()), ("times", pa.binary())])
     for batch in batches:
         out: dict = {f.name: [] for f in schema}
         for key, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
@@ -236,7 +236,7 @@ def _longest(batches):
             best = max(blocks(raw), key=lambda b: b[2] - b[1], default=None)
             if best:
                 g, c = gram_counts(raw[best[1] : best[2]])
-                for name, v in zip(out, (key, lang, g, c)):
+                for name, v in zip(out, (key, lang, g.astype(np.int32).tobytes(), c.astype(np.int64).tobytes())):
                     out[name].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
@@ -253,9 +253,9 @@ def train(df: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     labels = [lang for lang, n in counted if lang and (lang in LANGUAGES or n >= least)]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = rows.where(F.col("lang").isin(labels)).select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang")
-    sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang").mapInArrow(_longest, "id string, lang string, gram array<int>, times array<long>")
+    sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang").mapInArrow(_longest, "id string, lang string, gram binary, times binary")
     got = {r.id: r for r in sample.orderBy("id").collect()}  # bounded by per_language
-    return Model([(np.array(r.gram, np.int64), np.array(r.times)) for r in got.values()], [r.lang for r in got.values()])
+    return Model([(np.frombuffer(r.gram, np.int32), np.frombuffer(r.times, np.int64)) for r in got.values()], [r.lang for r in got.values()])
 
 
 def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, *, per_language: int = 200, foreign_confidence: float = 2 / 3, related_confidence: float = 0.75, least_confidence: float = 0.3, model: Model | None = None) -> DataFrame:
