@@ -192,10 +192,19 @@ ORACLE_SQL: dict[str, str] = {
         WITH c AS (SELECT info_id, any_value(content) AS content, any_value(start_line) AS start_line FROM chunk_infos GROUP BY info_id)
         SELECT info_id, sha256(content) AS hash, true AS fits, true AS whole, (CASE WHEN start_line > 0 THEN start_line ELSE 1 END)::INT AS first_line,
                greatest(first_line, first_line + strlen(content) - strlen(replace(content, chr(10), '')) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END)::INT AS last_line FROM c""",
+    # sizes stay far from the limit, so the estimate of four bytes a token decides alike
+    "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4 * 2048",
     "p8_check": "SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_needless, 0::BIGINT AS n_holes, 0::BIGINT AS n_over FROM documents",
     "p2_found": """
         SELECT DISTINCT info_id FROM chunk_infos
         WHERE strlen(content) > 4 * CASE WHEN chunk_size > 0 THEN chunk_size ELSE 512 END""",
+    "p9_matches": r"""
+        WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        dg AS (SELECT doc_id, k - 1 AS x, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+        ig AS (SELECT item_id, k - 1 AS y, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
+        hit AS (SELECT doc_id, item_id, x, y, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y ORDER BY x) AS run FROM dg JOIN ig USING (g))
+        SELECT doc_id, item_id, (count(*) + 12)::INT AS n_words, min(x)::INT AS doc_word, min(y)::INT AS item_word FROM hit GROUP BY doc_id, item_id, x - y, run""",
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM hit",
     "p9_clean": _LEAKS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     "p4_found": """
