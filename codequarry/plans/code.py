@@ -193,6 +193,10 @@ ORACLE_SQL = {
         WITH RECURSIVE {_E}, d AS (SELECT DISTINCT caller, callee FROM e), r AS (SELECT DISTINCT caller AS root FROM d WHERE caller NOT IN (SELECT callee FROM d)),
         w AS (SELECT root, root AS name, 0 AS n FROM r UNION SELECT w.root, d.callee, w.n + 1 FROM w JOIN d ON d.caller = w.name WHERE w.n < 3)
         SELECT root, count(DISTINCT name) AS n_reached FROM w GROUP BY root""",
+    "g7_reachable_full": f"""
+        WITH RECURSIVE {_E}, d AS (SELECT DISTINCT caller, callee FROM e), r AS (SELECT DISTINCT caller AS root FROM d WHERE caller NOT IN (SELECT callee FROM d)),
+        w AS (SELECT root, root AS name, 0 AS n FROM r UNION SELECT w.root, d.callee, w.n + 1 FROM w JOIN d ON d.caller = w.name WHERE w.n < 8)
+        SELECT root, count(DISTINCT name) AS n_reached FROM w GROUP BY root""",
     "w3_suppressed": _W3,
     "w3_suppressed_stream": _W3,
     "w4_debounced": f"WITH {_EV} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS tick_start, path, arg_max(op, (ts, seq)) AS op, count(*) AS n_events FROM v GROUP BY 1, 2",
