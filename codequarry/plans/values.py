@@ -124,9 +124,11 @@ def u2_chosen_repositories(spark, sf):
 
 def j19_compatible_configs(spark, sf):
     """Whether the vectors of each configuration can be compared with those of the first."""
-    c = read_table(spark, sf, "embedder_configs").dropDuplicates(["config_id"]).select("config_id", "provider", "model", "dimensions")
-    first = c.orderBy("config_id").limit(1)
-    return c.alias("a").crossJoin(F.broadcast(first.alias("b"))).select("a.config_id", same_vectors("a", "b").alias("same"))  # with one row
+    c = read_table(spark, sf, "embedder_configs").dropDuplicates(["config_id"])
+    first = c.orderBy("config_id").first()
+    names = ("provider", "model", "dimensions")
+    of = F.struct(*(F.lit(first[n] if first else None).cast(c.schema[n].dataType).alias(n) for n in names))
+    return c.select("config_id", F.struct(*names).alias("a"), of.alias("b")).select("config_id", same_vectors("a", "b").alias("same"))
 
 
 def _events(spark, sf):
