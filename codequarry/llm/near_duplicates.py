@@ -5,11 +5,10 @@ Signature: the two permutations are bijections of the 32-bit numbers. The first
 applied to the result shifted circularly by k, for every coordinate k. One pair of
 permutations so gives all coordinates.
 
-Shape at scale: one Python pass over the texts makes ``bands`` 8-byte keys and the sorted
-shingle hashes of a text; texts with the same shingle set fall together before anything
+Shape at scale: one Python pass over the texts makes ``bands`` 8-byte keys a text; texts with the same shingle set fall together before anything
 is paired, so exact copies cost one row each. Pairs join the keys with themselves (one
-exchange, used twice; adaptive execution splits a hot key) and only candidates fetch their
-shingle sets, never texts. Groups need no pairs: each bucket is first checked against its
+exchange, used twice; adaptive execution splits a hot key) and only candidates are shingled
+again; pairs fetch these sets, never texts. Groups need no pairs: each bucket is first checked against its
 smallest member only, and members are paired only where that left a bucket in several groups.
 """
 
@@ -62,8 +61,13 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return tk.mix64(x + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def _class_of(u: np.ndarray) -> np.ndarray:
+    """128 bits that name a set of sorted shingle hashes."""
+    return np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def _signer(width: int, bands: int, rows: int):
-    schema = pa.schema([("id", pa.string()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("grams", pa.binary())])
+    schema = pa.schema([("id", pa.string()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -75,16 +79,29 @@ def _signer(width: int, bands: int, rows: int):
             ends = np.append(sb[keep], sb[-1])
             keys = band_keys(signatures(s, ends, bands * rows), bands)
             hi, lo, n = (np.empty(len(keep), t) for t in (np.int64, np.int64, np.int32))
-            grams = []
             for r in range(len(keep)):
                 u = np.unique(s[ends[r] : ends[r + 1]])
-                grams.append(u.tobytes())
-                hi[r], lo[r] = np.frombuffer(hashlib.blake2b(grams[-1], digest_size=16).digest(), np.int64)
+                hi[r], lo[r] = _class_of(u)
                 n[r] = len(u)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)).cast(pa.string()), pa.array(hi), pa.array(lo), pa.array(n), lists, pa.array(grams, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)).cast(pa.string()), pa.array(hi), pa.array(lo), pa.array(n), lists], schema=schema)
+
+    return run, "id string, hi long, lo long, n int, keys array<long>"
 
-    return run, "id string, hi long, lo long, n int, keys array<long>, grams binary"
+
+def _shingler(width: int):
+    """Class and sorted shingle hashes of every text."""
+
+    def run(batches):
+        for batch in batches:
+            h, bounds = tk.tokens(*tk.flat(batch.column(0)))
+            s, sb = tk.shingles(h, bounds, width)
+            sets = [u for i in range(len(sb) - 1) if len(u := np.unique(s[sb[i] : sb[i + 1]]))]
+            if sets:
+                names = np.stack([_class_of(u) for u in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([u.tobytes() for u in sets], pa.binary())], names=["hi", "lo", "grams"])
+
+    return run, "hi long, lo long, grams binary"
 
 
 def _verifier(threshold: float):
@@ -106,8 +123,11 @@ def _verifier(threshold: float):
 _PAIR = ["a_hi", "a_lo", "b_hi", "b_lo"]
 
 
-def _signed(df: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+
+
+def _signed(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     run, schema = _signer(width, bands, rows)
     return cut(texts.mapInArrow(run, schema))
 
@@ -133,10 +153,15 @@ def _alike_in_size(threshold: float):
 _ASCENDING = "(a_hi < b_hi or (a_hi = b_hi and a_lo < b_lo))"
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of classes whose shingle sets are alike, with their Jaccard similarity."""
+def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs of classes whose shingle sets are alike, with their Jaccard similarity. One
+    text of every class at stake is shingled again, so no sets are stored for the others; a
+    set names its class itself, whatever other texts its id has."""
     ends = pairs.selectExpr("a_hi as hi", "a_lo as lo").union(pairs.selectExpr("b_hi", "b_lo")).distinct()
-    sets = cut(signed.select("hi", "lo", "grams").join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("grams").alias("grams")))
+    ids = signed.select("id", "hi", "lo").join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("id").alias("id")).select("id").distinct()
+    run, schema = _shingler(width)
+    sets = texts.join(ids, "id", "left_semi").select("text").mapInArrow(run, schema)
+    sets = cut(sets.join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("grams").alias("grams")))
     run, schema = _verifier(threshold)
     both = pairs.join(sets.toDF("a_hi", "a_lo", "a_grams"), ["a_hi", "a_lo"]).join(sets.toDF("b_hi", "b_lo", "b_grams"), ["b_hi", "b_lo"])
     return both.select(*_PAIR, "a_grams", "b_grams").mapInArrow(run, schema)
@@ -152,11 +177,12 @@ def classes_and_links(df: DataFrame, id_col: str, text_col: str, *, threshold: f
     null or empty one, has no shingles and so is in no class. Rows with a null id
     are left out; rows that repeat an id count once. Other columns are ignored.
     """
-    signed = _signed(df, id_col, text_col, width, bands, rows)
+    texts = _texts(df, id_col, text_col)
+    signed = _signed(texts, width, bands, rows)
     members = _members(signed)
     keyed = _keyed(signed.join(members.select("hi", "lo").distinct(), ["hi", "lo"], "left_semi"))
     pairs = cut(_side(keyed, "a").join(_side(keyed, "b"), "key").where(_ASCENDING).where(_alike_in_size(threshold)).select(*_PAIR).distinct())
-    return members, _verified(pairs, signed, threshold)
+    return members, _verified(pairs, signed, texts, width, threshold)
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **params) -> DataFrame:
@@ -178,7 +204,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, *, threshol
     that leaves a bucket in several groups are its classes paired across groups, so a
     bucket of m near-copies costs m links, not m^2 / 2.
     """
-    signed = _signed(df, id_col, text_col, width, bands, rows)
+    texts = _texts(df, id_col, text_col)
+    signed = _signed(texts, width, bands, rows)
     members = cut(_members(signed))
     names = members.groupBy("hi", "lo").agg(F.min("id").alias("class_id"))
     keyed = _keyed(signed.join(names.select("hi", "lo"), ["hi", "lo"], "left_semi"))
@@ -187,7 +214,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, *, threshol
     stars = cut(least.join(_side(keyed, "b"), "key").where(_ASCENDING).where(_alike_in_size(threshold)).select(*_PAIR).distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
-        found = _verified(pairs, signed, threshold)
+        found = _verified(pairs, signed, texts, width, threshold)
         return found.join(names.toDF("a_hi", "a_lo", "src"), ["a_hi", "a_lo"]).join(names.toDF("b_hi", "b_lo", "dst"), ["b_hi", "b_lo"]).select("src", "dst")
 
     links = cut(linked(stars))
