@@ -171,12 +171,11 @@ GUARDS = {"go": r"^package\s+main\b", "python": r"^if\s+__name__\s*==", "python2
 
 def route_handlers(lines: DataFrame) -> DataFrame:
     """``(name)`` of every handler that a route registration names, once."""
-    out = None
+    hits = []
     for names, handler in ROUTES.values():
         tail = F.regexp_extract("text", _ROUTE_CALL.format(names=names), 3)
-        own = lines.select(F.regexp_extract(tail, handler, 1).alias("name")).where("name != ''")
-        out = own if out is None else out.union(own)
-    return out.distinct()
+        hits.append(F.regexp_extract(tail, handler, 1))
+    return lines.select(F.explode(F.array(*hits)).alias("name")).where("name != ''").distinct()
 
 
 def marked_handlers(functions: DataFrame, lines: DataFrame, reach: int = 5) -> DataFrame:
@@ -206,14 +205,18 @@ def command_handlers(lines: DataFrame, window: int = 20) -> DataFrame:
     first speaks for a name."""
     at = Window.partitionBy("path").orderBy("line").rangeBetween(-window, 0)
     use = F.nullif(F.regexp_extract("text", r"\bUse:\s*\"([^\"\s]+)", 1), F.lit(""))
-    said = lines.withColumn("_use", F.last(use, ignorenulls=True).over(at)).withColumn("name", F.regexp_extract("text", r"\bRunE?\s*:\s*(?:\w+\.)?(\w+)", 1)).where("name != '' and name != 'func'")
+    run = F.regexp_extract("text", r"\bRunE?\s*:\s*(?:\w+\.)?(\w+)", 1)
+    marks = lines.select("path", "line", use.alias("_own"), run.alias("name")).where("_own is not null or name != ''")
+    said = marks.withColumn("_use", F.last("_own", ignorenulls=True).over(at)).where("name != '' and name != 'func'")
     return said.groupBy("name").agg(F.min_by(F.coalesce("_use", "name"), F.struct("path", "line")).alias("label"))
 
 
 def entry_points(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """``(name, path, line, kind, label)``: language entry functions, command handlers,
     route and marked handlers, framework methods; one row per name and file, main
-    before command before handler before init."""
+    before command before handler before init. The symbols are read several times, so
+    they are written once first; lines are read several times too."""
+    symbols = cut(symbols)
     funcs = symbols.where(F.col("kind").isin("function", "method"))
     at = ["name", "path", F.col("start_line").alias("line")]
     entry = F.lit(False)
@@ -227,11 +230,13 @@ def entry_points(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     handlers = first.join(route_handlers(lines), "name", "left_semi").select("name", "path", "line", F.lit("handler").alias("kind"), F.col("name").alias("label"))
     marked = marked_handlers(funcs, lines).select("name", "path", "line", F.lit("handler").alias("kind"), "label")
     out = main.unionByName(commands).unionByName(handlers).unionByName(marked)
-    classes = symbols.where(F.col("kind") == "class")
+    labels, called = [], F.lit(False)
     for label, (bases, methods) in FRAMEWORKS.items():
         base = rf"(?:\bextends|\bimplements|:|\()\s*(?:[\w.<>]+\s*,\s*)*(?:\w+\.)*(?:{bases.replace(' ', '|')})\b"
-        own = classes.where(F.col("signature").rlike(base)).select("path", F.col("name").alias("parent")).distinct()
-        out = out.unionByName(funcs.where(F.col("name").isin(methods.split())).join(own, ["path", "parent"]).select(*at, F.lit("handler").alias("kind"), F.lit(label).alias("label")))
+        labels.append(F.when(F.col("signature").rlike(base), label))
+        called = called | ((F.col("label") == label) & F.col("name").isin(methods.split()))
+    own = symbols.where(F.col("kind") == "class").select("path", F.col("name").alias("parent"), F.explode(F.array_compact(F.array(*labels))).alias("label")).distinct()
+    out = out.unionByName(funcs.join(own, ["path", "parent"]).where(called).select(*at, F.lit("handler").alias("kind"), "label"))
     w = Window.partitionBy("name", "path").orderBy(_kind_order(), "line", "label")
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 

@@ -16,7 +16,7 @@ from codequarry.operators import prompting, symbols, trace
 from codequarry.operators.controlflow import graph_table
 from codequarry.operators.symbols import symbol_table
 from codequarry.plans import pipelines
-from codequarry.session import read_table
+from codequarry.session import cut, read_table
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,6 +56,13 @@ def _edges(spark, sf):
     return trace.call_edges(_lines(spark, sf), _symbols(spark, sf))
 
 
+def _written(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and lines of files that are written once. A query that reads them several times
+    would otherwise plan the files' joins each time, and the driver has to hold that plan."""
+    f = cut(files(spark, sf))
+    return symbol_table(f, "path", "content"), trace.lines_table(f, "path", "content")
+
+
 def _shared_name(spark: SparkSession, sf: str) -> str:
     """The name that most nodes share, the smallest of several."""
     row = read_table(spark, sf, "flow_nodes").groupBy("name").agg(F.countDistinct("node_id").alias("n")).orderBy(F.desc("n"), "name").first()
@@ -172,7 +179,7 @@ def g1_entry_points(spark, sf):
 
 def r7_entry_point_order(spark, sf):
     """Their order in a list."""
-    e = arch.order_entry_points(arch.entry_points(_symbols(spark, sf), _lines(spark, sf)))
+    e = arch.order_entry_points(arch.entry_points(*_written(spark, sf)))
     w = Window.orderBy("_i")  # the list that a report shows, already sorted
     return e.withColumn("_i", F.monotonically_increasing_id()).select("name", "path", F.row_number().over(w).alias("position"))
 
