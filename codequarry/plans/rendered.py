@@ -117,7 +117,10 @@ def g14_callees_of(spark, sf):
 
 def g16_full_trace(spark, sf):
     """Definitions, references, callers and callees of one name, as places."""
-    t = trace.full_trace(_shared_name(spark, sf), _symbols(spark, sf), _lines(spark, sf), _edges(spark, sf))
+    name, (found, lines) = _shared_name(spark, sf), _written(spark, sf)
+    found = cut(found)
+    near = cut(trace.call_edges(lines, found).where((F.col("caller") == name) | (F.col("callee") == name)))  # callers and callees in one pass
+    t = trace.full_trace(name, found, lines, near)
     rows = [t["definition"].select(F.lit("definition").alias("part"), "path", F.col("start_line").alias("line")), t["references"].select(F.lit("reference"), "path", "line")]
     rows += [t[p + "s"].select(F.lit(p), F.col("caller_file"), F.col("caller_line")) for p in ("caller", "callee")]
     out = rows[0]

@@ -30,3 +30,12 @@ def test_entry_point_order_plans_the_files_once(spark, nodes):
     ]
     table, extractor, joins = reads(e)
     assert (table, extractor) == (0, 0) and joins <= 5
+
+
+def test_full_trace_plans_the_files_once(spark, nodes):
+    t = rendered.g16_full_trace(spark, nodes)
+    n1, n2, n4 = (f"lib/{x}.go" for x in ("a/n1", "a/n2", "b/n4"))
+    want = {("definition", n2, 8), ("definition", n4, 8), ("caller", n1, 9), ("caller", n1, 11), ("callee", n2, 9), ("callee", n2, 10), ("callee", n2, 11), ("callee", n4, 9)}
+    want |= {("reference", n1, 9), ("reference", n1, 11), *(("reference", p, line) for p, line in ((n2, 7), (n2, 8), (n2, 15), (n2, 16), (n4, 7), (n4, 8)))}
+    assert {tuple(r) for r in t.collect()} == want
+    assert reads(t) == (0, 0, 0)
