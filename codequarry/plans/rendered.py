@@ -177,7 +177,7 @@ def g11c_package_names(spark, sf):
 
 def g1_entry_points(spark, sf):
     """Entry functions, command and route handlers."""
-    return arch.entry_points(_symbols(spark, sf), _lines(spark, sf)).select("name", "path", "line", "kind", "label")
+    return arch.entry_points(*_written(spark, sf)).select("name", "path", "line", "kind", "label")
 
 
 def r7_entry_point_order(spark, sf):

@@ -39,3 +39,13 @@ def test_full_trace_plans_the_files_once(spark, nodes):
     want |= {("reference", n1, 9), ("reference", n1, 11), *(("reference", p, line) for p, line in ((n2, 7), (n2, 8), (n2, 15), (n2, 16), (n4, 7), (n4, 8)))}
     assert {tuple(r) for r in t.collect()} == want
     assert reads(t) == (0, 0, 0)
+
+
+def test_entry_points_plan_the_files_once(spark, nodes):
+    e = rendered.g1_entry_points(spark, nodes)
+    assert {tuple(r) for r in e.collect()} == {
+        ("main", "lib/a/n1.go", 14, "main", "main"), ("load", "lib/a/n2.go", 8, "command", "load"),
+        *((name, f"lib/{at}.go", 8, "handler", name) for name, at in (("keep", "a/n3"), ("parse", "b/n6"), ("read", "b/n5"), ("sum", "b/n8"))),
+    }
+    table, extractor, joins = reads(e)
+    assert (table, extractor) == (0, 0) and joins <= 5
