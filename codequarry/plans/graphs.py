@@ -50,18 +50,35 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Full path, depth, root and number of descendants of every flow node."""
+    """Full path, depth, root and number of descendants of every flow node; only descendants
+    neither on nor below a cycle count. ``p5_flow_paths`` counts all."""
     links, _ = _flow_links(spark, sf)
     t = cut(_flow(spark, sf, True))
     return _with_counts(t, _above_trees(links, "node_id", "child_id", t))
 
 
 def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of a flow node and one of its descendants, both neither on nor below a cycle."""
+    """Every pair of a flow node and one of its descendants, both neither on nor below a cycle;
+    ``p5_flow_descendants`` has all pairs."""
     links, _ = _flow_links(spark, sf)
     return _above_trees(links, "node_id", "child_id", cut(_flow(spark, sf, False)))
 
 
+def p5_flow_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with all descendants counted, of every node: those on or below a cycle have no
+    path, but descendants, and are some of the nodes above them."""
+    links, _ = _flow_links(spark, sf)
+    t = cut(_flow(spark, sf, True))
+    return _with_counts(t, reach(links, "node_id", "child_id")).withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
+
+
+def p5_flow_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a flow node and one of its descendants, with the fewest links between them;
+    a node on a cycle is among its own."""
+    links, _ = _flow_links(spark, sf)
+    return reach(links, "node_id", "child_id")
+
+
 def p5_call_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Path (by the smallest caller at each step), depth, root and number of distinct functions
     below every function; those on or below a cycle have no path, but all their descendants count."""
@@ -85,7 +102,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return flatten(read_table(spark, sf, "raw_results"), "record_id", "payload").select(F.col("id").alias("record_id"), "entity", "seq", "parent_seq")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p5_call_paths, p5_call_descendants, p7_found, p7_flat)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p5_flow_paths, p5_flow_descendants, p5_call_paths, p5_call_descendants, p7_found, p7_flat)}
 
 _FLOW_REACH = """
     WITH RECURSIVE n AS (SELECT node_id, any_value(children) AS children FROM flow_nodes GROUP BY node_id),
@@ -120,4 +137,19 @@ ORACLE_SQL = {
     SELECT r.a AS ancestor, r.b AS descendant, (coalesce(x.depth, 0) - coalesce(y.depth, 0))::INT AS distance
     FROM r LEFT JOIN up x ON x.node = r.b LEFT JOIN up y ON y.node = r.a
     WHERE r.b NOT IN (SELECT node FROM low) AND r.b NOT IN (SELECT node FROM c)""",
+    "p5_flow_paths": _FLOW_REACH
+    + """,
+    w AS (SELECT node_id AS node, node_id::VARCHAR AS path FROM n WHERE node_id NOT IN (SELECT b FROM e) AND node_id NOT IN (SELECT node FROM c)
+          UNION ALL SELECT e.b, w.path || '/' || e.b FROM w JOIN e ON e.a = w.node WHERE e.b NOT IN (SELECT node FROM c) AND e.b NOT IN (SELECT node FROM low)),
+    k AS (SELECT a AS node, count(*) AS n FROM r GROUP BY a),
+    t AS (SELECT node, split_part(path, '/', 1)::BIGINT AS root, (strlen(path) - strlen(replace(path, '/', '')))::INT AS depth, 'tree' AS state, path FROM w
+          UNION ALL SELECT node, root, -1, 'cycle', '' FROM c
+          UNION ALL SELECT node, NULL, NULL, 'below', '' FROM low WHERE node NOT IN (SELECT node FROM c))
+    SELECT t.node, root, depth, state, coalesce(k.n, 0) AS n_descendants, path FROM t LEFT JOIN k ON k.node = t.node""",
+    "p5_flow_descendants": """
+    WITH RECURSIVE n AS (SELECT node_id, any_value(children) AS children FROM flow_nodes GROUP BY node_id),
+    e AS (SELECT DISTINCT a, b FROM (SELECT node_id AS a, unnest(children) AS b FROM n) WHERE b IN (SELECT node_id FROM n)),
+    s(a, b, d) USING KEY (a, b) AS (SELECT a, b, 1 FROM e UNION SELECT s.a, e.b, s.d + 1 FROM s JOIN e ON e.a = s.b
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.s AS o WHERE o.a = s.a AND o.b = e.b))
+    SELECT a AS ancestor, b AS descendant, d AS distance FROM s""",
 }

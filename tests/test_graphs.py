@@ -106,6 +106,20 @@ def test_call_queries_give_shared_functions_to_all_callers(spark, tmp_path):
     assert got["x"] == ("x", -1, "cycle", 3, "") and got["z"] == (None, None, "below", 0, "")
 
 
+def test_flow_queries_have_descendants_on_and_below_cycles(spark, tmp_path):
+    edges = [(1, 2), (2, 3), (3, 2), (3, 4), (4, 5), (1, 6), (7, 7), (8, 6)]
+    children = {a: [y for x, y in edges if x == a] for a in range(1, 9)}
+    rows = [(a, [*c, 99, None, *c[:1]]) for a, c in children.items()]
+    spark.createDataFrame([*rows, rows[0]], "node_id long, children array<long>").write.parquet(f"{tmp_path}/flow_nodes.parquet")
+    _, below, _, _ = brute(edges, range(1, 9))
+    got = {(x.ancestor, x.descendant): x.distance for x in graphs.p5_flow_descendants(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(a, b) for a in below for b in below[a]}
+    assert (got[1, 5], got[2, 2], got[3, 3], got[7, 7], got[2, 5]) == (4, 2, 2, 1, 3)
+    paths = {x.node: tuple(x)[1:] for x in graphs.p5_flow_paths(spark, str(tmp_path)).collect()}
+    assert {a: p[3] for a, p in paths.items()} == {a: len(b) for a, b in below.items()}
+    assert paths[1] == (1, 0, "tree", 5, "1") and paths[2] == (2, -1, "cycle", 4, "") and paths[4] == (None, None, "below", 1, "") and paths[6] == (1, 1, "tree", 0, "1/6")
+
+
 @pytest.mark.parametrize("most", [10**6, 2])
 def test_only_cycles(spark, most):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "x"), ("m", "n"), ("n", "hub"), ("a", "hub"), ("p", "q"), ("q", "p"), ("q", "a")]
